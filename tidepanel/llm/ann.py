@@ -80,7 +80,7 @@ class Index:
             ok = (dist[:, j] <= self.spread * dist[:, 0]) & (keep.sum(1) < self.copies)
             for i in range(j):
                 between = np.linalg.norm(self.centroids[ids[:, i]] - self.centroids[ids[:, j]], axis=1)
-                ok &= ~(keep[:, i] & (between < 0.7 * dist[:, j]))
+                ok &= ~(keep[:, i] & (between < 0.4 * dist[:, j]))
             keep[:, j] = ok
         row, at = np.nonzero(keep)
         return row, ids[row, at]
