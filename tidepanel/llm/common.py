@@ -77,21 +77,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """A view of the 8 bytes from each position on, zeros behind the end; index it, copy and view as uint64."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte runs [start, end), equal for equal runs wherever they stand.
 
     A run is cut into 8-byte pieces, last one padded, and the pieces are folded with mix64; the run's length goes in too.
     """
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    eight = padded[: len(data) + 1].astype(np.uint64)
-    for k in range(1, 8):
-        eight |= padded[k : k + len(data) + 1].astype(np.uint64) << np.uint64(8 * k)
+    eight = eights(data)
     length = ends - starts
     h = mix64(length.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
     live, at = np.arange(len(starts)), starts.copy()
     while len(live):
         left = ends[live] - at[live]
-        piece = eight[at[live]]
+        piece = np.ascontiguousarray(eight[at[live]]).view(np.uint64).ravel()
         short = left < 8
         keep = np.where(short, (np.uint64(1) << (np.uint64(8) * np.minimum(left, 7).astype(np.uint64))) - np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF))
         h[live] = mix64(h[live] * np.uint64(0x9E3779B97F4A7C15) ^ (piece & keep))

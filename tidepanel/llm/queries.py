@@ -28,6 +28,13 @@ def op3_balanced_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"))
 
 
+def op4_bucket_pointer_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import dedup_bytes
+
+    arrow_batches(spark, 500)
+    return dedup_bytes(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import digests, find_pii
 
@@ -50,6 +57,13 @@ def op8_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op9_super_kmer_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import dedup_windows
+
+    arrow_batches(spark, 500)
+    return dedup_windows(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -89,7 +103,7 @@ FROM served GROUP BY rid, doc_id, size, source_size, target
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mix_to_weights, op2_tiff_pages, op3_balanced_postings, op5_contextual_pii, op6_noisy_or_toxicity, op8_text_density, op10_rank_queue_bpe]
+    found = [op1_mix_to_weights, op2_tiff_pages, op3_balanced_postings, op4_bucket_pointer_suffixes, op5_contextual_pii, op6_noisy_or_toxicity, op8_text_density, op9_super_kmer_windows, op10_rank_queue_bpe]
     return {f.__name__: f for f in found}
 
 
