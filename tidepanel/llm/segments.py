@@ -21,7 +21,8 @@ from .common import mix64, raw_bytes, sliding_min
 
 LAST = (1 << 63) - 1
 _A = np.uint64(0x9E3779B97F4A7C15)
-CODEC = "zstd"
+#: Text whose segments a worker gathers before it packs them.
+GATHERED = 12 << 20
 
 
 def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -107,24 +108,34 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[np.n
         yield portion()
 
 
-def pack(ids, keys, owner, start, slices, mark=None) -> bytes:
-    used, at = np.unique(owner, return_inverse=True)
+def planes(x: np.ndarray) -> bytes:
+    """32-bit integers, lowest bytes first, then the next and so on; small numbers leave planes of zeros."""
+    return np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(body: bytes, n: int, at: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8, 4 * n, at).reshape(4, n).T).view("<i4").ravel().astype(np.int64)
+
+
+def pack(ids: np.ndarray, keys: np.ndarray, start: np.ndarray, slices: list[bytes]) -> bytes:
+    """Segments of one bucket, by document and start."""
+    new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])])
     text = b"".join(slices)
-    lengths = np.fromiter(map(len, slices), np.int32, len(slices))
-    head = np.array([len(used), len(slices), len(text)], np.int64)
-    body = head.tobytes() + ids[used].tobytes() + keys[used].tobytes() + at.astype(np.int32).tobytes() + start.astype(np.int32).tobytes() + lengths.tobytes() + text
-    return np.int64(len(body)).tobytes() + pa.compress(body, codec=CODEC, asbytes=True)
+    lengths = np.fromiter(map(len, slices), np.int64, len(slices))
+    head = np.array([new.sum(), len(slices), len(text)], np.int64)
+    body = b"".join([head.tobytes(), ids[new].tobytes(), keys[new].tobytes(), planes(new), planes(np.diff(start, prepend=0)), planes(lengths), text])
+    return np.int64(len(body)).tobytes() + pa.Codec("zstd", compression_level=5).compress(body, asbytes=True)
 
 
 def unpack(blob: bytes):
-    body = pa.decompress(blob[8:], int(np.frombuffer(blob[:8], np.int64)[0]), codec=CODEC, asbytes=True)
-    docs, n, size = np.frombuffer(body, np.int64, 3)
+    body = pa.Codec("zstd").decompress(blob[8:], int(np.frombuffer(blob[:8], np.int64)[0]), asbytes=True)
+    docs, n, size = (int(x) for x in np.frombuffer(body, np.int64, 3))
     at = 24
     ids, keys = np.frombuffer(body, np.int64, docs, at), np.frombuffer(body, np.int64, docs, at + 8 * docs)
     at += 16 * docs
-    owner, start, lengths = (np.frombuffer(body, np.int32, n, at + 4 * n * k) for k in range(3))
-    at += 12 * n
-    return ids[owner], keys[owner], start.astype(np.int64), lengths.astype(np.int64), body[at : at + size]
+    new, start, lengths = (from_planes(body, n, at + 4 * n * k) for k in range(3))
+    owner = np.cumsum(new) - 1
+    return ids[owner], keys[owner], np.cumsum(start), lengths, body[at + 12 * n : at + 12 * n + size]
 
 
 @dataclass
@@ -141,7 +152,7 @@ class Search:
     growth: float  # bytes of segments for each byte of text
 
     def documents(self, docs: DataFrame) -> DataFrame:
-        text = F.coalesce("text", F.lit(""))
+        text = F.coalesce(F.col("text"), F.lit(""))
         return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), F.xxhash64(text).alias("key"), text.cast("binary").alias("data"))
 
     def hot(self, docs: DataFrame, raw: int, buckets: int, sample_bytes: int = 16 << 20) -> np.ndarray:
@@ -171,18 +182,18 @@ class Search:
         hot = docs.sparkSession.sparkContext.broadcast(self.hot(docs, raw, buckets))
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: dict[bytes, int] = {}  # segment -> the id of its first document
+            held, size = [], 0
             for ids, keys, texts in chunks(batches, self.chunk):
                 units = self.read(texts)
                 first, last, key = runs(units, self.window, self.per_window, hot.value)
                 owner, data = units.doc[first], units.data
-                begin, end = units.starts[first], units.ends[last + self.window - 1]
-                slices = [data[a:b] for a, b in zip(begin.tolist(), end.tolist())]
-                seen: dict[bytes, int] = {}
-                known = np.fromiter((seen.setdefault(s, k) for k, s in enumerate(slices)), np.int64, len(slices))
-                again = known != np.arange(len(slices))
-                if not self.same_document:  # repeats within a document stay with their first one
-                    again &= ids[owner[known]] < ids[owner]
                 start = first - units.first[owner]
+                slices = [data[a:b] for a, b in zip(units.starts[first].tolist(), units.ends[last + self.window - 1].tolist())]
+                mine = list(zip(ids[owner].tolist(), start.tolist()))
+                known = [seen.setdefault(s, m) for s, m in zip(slices, mine)]
+                # an earlier copy answers for a segment; repeats within a document may stay with their first one
+                again = np.fromiter((a < b for a, b in zip(known, mine)) if self.same_document else (a[0] < b[0] for a, b in zip(known, mine)), np.bool_, len(slices))
                 if again.any():
                     who, a, b = owner[again], start[again], (last - first + start)[again] + self.window
                     cut = np.flatnonzero(np.diff(who)) + 1
@@ -190,13 +201,26 @@ class Search:
                     blobs = [spans_bytes(x, y) for x, y in zip(np.split(a, cut), np.split(b, cut))]
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(heads)) % buckets, pa.int32()), pa.array(ids[who[heads]]), pa.array(keys[who[heads]]), pa.array(blobs, pa.binary())], ["bucket", "did", "key", "blob"])
                 go = np.flatnonzero(~again)
-                bucket = (mix64(key[go]) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                go, bucket = go[order], bucket[order]
-                at = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(go)]]) if len(go) else np.zeros(1, np.int64)
-                blobs = [pack(ids, keys, owner[p := go[a:b]], start[p], [slices[i] for i in p.tolist()]) for a, b in zip(at[:-1], at[1:])]
+                held.append(((mix64(key[go]) % np.uint64(buckets)).astype(np.int64), ids[owner[go]], keys[owner[go]], start[go], [slices[i] for i in go.tolist()]))
+                size += len(data)
+                if size >= GATHERED:
+                    yield from packed(held)
+                    seen, held, size = {}, [], 0
+            yield from packed(held)
+
+        def packed(held: list) -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            bucket, ids, keys, start = (np.concatenate([h[k] for h in held]) for k in range(4))
+            slices = [s for h in held for s in h[4]]
+            order = np.lexsort((start, keys, ids, bucket))
+            bucket, ids, keys, start = bucket[order], ids[order], keys[order], start[order]
+            at = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(order)]]) if len(order) else np.zeros(1, np.int64)
+            for k in range(0, len(at) - 1, 64):
+                ends = at[k : k + 65]
+                blobs = [pack(ids[a:b], keys[a:b], start[a:b], [slices[i] for i in order[a:b].tolist()]) for a, b in zip(ends[:-1], ends[1:])]
                 none = pa.nulls(len(blobs), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]] if len(go) else [], pa.int32()), none, none, pa.array(blobs, pa.binary())], ["bucket", "did", "key", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[ends[:-1]], pa.int32()), none, none, pa.array(blobs, pa.binary())], ["bucket", "did", "key", "blob"])
 
         def settle(group: pa.Table) -> pa.Table:
             local = group.filter(group["did"].is_valid())
@@ -221,15 +245,23 @@ class Search:
     def apply(self, docs: DataFrame, finish: Callable, schema: str, names: list[str]) -> DataFrame:
         """finish(text bytes, blobs of ranges) -> values of `names` for each row of docs."""
         ranges = self.ranges(docs).groupBy("did", "key").agg(F.collect_list("blob").alias("blobs"))  # within one document
-        rows = self.documents(docs).join(ranges, ["did", "key"], "left").select("doc_id", "data", "blobs")
+        kind = docs.schema["doc_id"].dataType.simpleString()
+
+        def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            codec = pa.Codec("zstd", compression_level=4)
+            for batch in batches:
+                data = [np.int64(len(d)).tobytes() + codec.compress(d, asbytes=True) for d in batch.column("data").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(data, pa.binary())], ["doc_id", "did", "key", "data"])
+
+        texts = self.documents(docs).mapInArrow(shrink, f"doc_id {kind}, did long, key long, data binary")  # texts cross the shuffle compressed
+        rows = texts.join(ranges, ["did", "key"], "left").select("doc_id", "data", "blobs")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kinds = None
+            kinds, codec = None, pa.Codec("zstd")
             for batch in batches:
-                got = [finish(d, b or []) for d, b in zip(batch.column("data").to_pylist(), batch.column("blobs").to_pylist(), strict=True)]
+                got = [finish(codec.decompress(d[8:], int(np.frombuffer(d[:8], np.int64)[0]), asbytes=True), b or []) for d, b in zip(batch.column("data").to_pylist(), batch.column("blobs").to_pylist(), strict=True)]
                 kinds = kinds or [pa.string() if isinstance(v, str) else pa.binary() if isinstance(v, bytes) else pa.int64() for v in finish(b"", [])]
                 columns = list(zip(*got, strict=True)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], ["doc_id", *names])
 
-        kind = docs.schema["doc_id"].dataType.simpleString()
         return rows.mapInArrow(run, f"doc_id {kind}, {schema}")

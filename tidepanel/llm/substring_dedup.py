@@ -89,7 +89,7 @@ def dedup_windows(docs: DataFrame, window: int = 20) -> DataFrame:
     no window is earlier than one at the same place of another; an empty table gives no rows; other columns are ignored.
     Words are compared by their 64-bit hashes.
     """
-    search = Search(read_words, window, window - GRAM + 1, judge_words(window), True, 6 << 20, 16 << 20, 3.0)
+    search = Search(read_words, window, window - GRAM + 1, judge_words(window), True, 4 << 20, 12 << 20, 3.0)
 
     def finish(data: bytes, blobs: list[bytes]):
         words = spaced(data).split()

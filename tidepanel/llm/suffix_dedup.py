@@ -10,7 +10,13 @@ from pyspark.sql import DataFrame
 from .common import eights, mix64
 from .segments import Search, Units, covered, joined
 
-GRAM = 16
+#: Bytes of a gram, 8 to 16.
+GRAM = 12
+
+
+def gram_names(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Scrambled names of grams by their first and last 8 bytes."""
+    return mix64(low * np.uint64(0x9E3779B97F4A7C15) ^ (high << np.uint64(31) | high >> np.uint64(33)))
 
 
 def read_bytes(texts: list[bytes]) -> Units:
@@ -19,7 +25,7 @@ def read_bytes(texts: list[bytes]) -> Units:
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     at = np.arange(len(array))
     eight = np.ascontiguousarray(eights(array)[:-1]).view(np.uint64).ravel()
-    grams = mix64(eight[:-8] * np.uint64(0x9E3779B97F4A7C15) ^ (eight[8:] << np.uint64(31) | eight[8:] >> np.uint64(33)))[: max(0, len(array) - GRAM + 1)] if len(array) >= GRAM else eight[:0]
+    grams = gram_names(eight[: len(array) - GRAM + 1], eight[GRAM - 8 : len(array) - 7]) if len(array) >= GRAM else eight[:0]
     return Units(data, at, at + 1, grams, np.repeat(np.arange(len(texts)), sizes), np.cumsum(sizes) - sizes)
 
 
@@ -73,10 +79,10 @@ def judge_bytes(window: int):
         # the minimiser of a segment is that of its first window
         wide = window - GRAM + 1
         lead = np.zeros(len(begin), np.uint64)
-        for a in range(0, len(begin), 50_000):
-            rows = begin[a : a + 50_000, None] + np.arange(wide)[None, :]
-            low, high = (np.ascontiguousarray(eight[rows + k]).view(np.uint64)[..., 0] for k in (0, 8))
-            lead[a : a + 50_000] = mix64(low * np.uint64(0x9E3779B97F4A7C15) ^ (high << np.uint64(31) | high >> np.uint64(33))).min(1)
+        for a in range(0, len(begin), 20_000):
+            rows = begin[a : a + 20_000, None] + np.arange(wide)[None, :]
+            low, high = (np.ascontiguousarray(eight[rows + k]).view(np.uint64)[..., 0] for k in (0, GRAM - 8))
+            lead[a : a + 20_000] = gram_names(low, high).min(1)
         order = np.lexsort((ids, lead))
         new = np.concatenate([[True], lead[order][1:] != lead[order][:-1]])
         group = np.cumsum(new) - 1
@@ -114,7 +120,7 @@ def dedup_bytes(docs: DataFrame, window: int = 50) -> DataFrame:
     Rows that repeat an id are of one document and take nothing from each other; an empty table gives no rows; other columns
     are ignored.
     """
-    search = Search(read_bytes, window, window - GRAM + 1, judge_bytes(window), False, 2 << 20, 12 << 20, 3.7)
+    search = Search(read_bytes, window, window - GRAM + 1, judge_bytes(window), False, 2 << 20, 7 << 20, 3.5)
 
     def finish(data: bytes, blobs: list[bytes]):
         if not blobs:
