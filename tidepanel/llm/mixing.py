@@ -34,7 +34,7 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), share=1.5, repeats=2) ->
     return level.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * common)).select("skey", "source", "source_size", "weight", "target", "budget")
 
 
-def mix_to_weights(docs: DataFrame, weights=(5, 2, 1), share=1.5, repeats=2, seed="mix") -> DataFrame:
+def mix_to_weights(docs: DataFrame, weights=(5, 2, 1), share=1.5, repeats=2, seed="mix", carry=()) -> DataFrame:
     """How many words a mix takes from each document: doc_id, source, size, source_size, target, taken, copies.
 
     Documents of a source are shuffled by md5 of their id. Each of up to `repeats` passes over the source gives a document
@@ -44,9 +44,9 @@ def mix_to_weights(docs: DataFrame, weights=(5, 2, 1), share=1.5, repeats=2, see
 
     Nulls: a null text has size 0; a null source is a source of its own, last in order; a null doc_id is shuffled like an id.
     Rows that agree in id, source and size are interchangeable: which of them is taken is undetermined, how many is not.
-    An empty table gives no rows. Other columns of docs are ignored.
+    An empty table gives no rows. Columns named in carry come along with their rows; others are ignored.
     """
-    sized = docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_PATTERN)).cast("long").alias("size"))
+    sized = docs.select("doc_id", "source", *carry, F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_PATTERN)).cast("long").alias("size"))
     # a hash's hexadecimal digits in order are the shuffled order of a source's documents
     keyed = sized.withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("h", F.md5(F.concat(F.lit(seed), F.lit("|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
     top = F.conv(F.substring("h", 1, 3), 16, 10).cast("int")  # 12 bits: GRID x GRID ranges in the hash's order
@@ -86,6 +86,18 @@ def mix_to_weights(docs: DataFrame, weights=(5, 2, 1), share=1.5, repeats=2, see
     one = lambda c: F.first(c).alias(c)
     return (
         served.groupBy("skey", "coarse", "fine", "row")
-        .agg(one("doc_id"), one("source"), one("size"), one("source_size"), one("target"), F.sum(F.col("size") * F.col("took")).alias("taken"), F.sum("took").cast("int").alias("copies"))
+        .agg(one("doc_id"), one("source"), *map(one, carry), one("size"), one("source_size"), one("target"), F.sum(F.col("size") * F.col("took")).alias("taken"), F.sum("took").cast("int").alias("copies"))
         .drop("skey", "coarse", "fine", "row")
     )
+
+
+def mixed(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of docs that the mix takes, those it takes twice two times, with the columns of docs. Rows that agree in id and text
+    are interchangeable."""
+    names = docs.columns
+    same = ["__did", "__key"]
+    keyed = docs.withColumn("__did", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("__key", F.xxhash64("text"))
+    taken = mix_to_weights(keyed, carry=same, **settings).where("copies > 0").groupBy(*same).agg(F.sort_array(F.collect_list("copies"), False).alias("__copies"))
+    numbered = keyed.withColumn("__row", F.row_number().over(Window.partitionBy(*same).orderBy("source")))
+    kept = numbered.join(taken, same).where(F.col("__row") <= F.size("__copies"))
+    return kept.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.element_at("__copies", F.col("__row"))))).select(*[f"`{c}`" for c in names])

@@ -50,6 +50,13 @@ def op6_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_divide_skip_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import similar_documents
+
+    arrow_batches(spark, 500)
+    return similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extract import extract_main_text
 
@@ -103,7 +110,7 @@ FROM served GROUP BY rid, doc_id, size, source_size, target
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_mix_to_weights, op2_tiff_pages, op3_balanced_postings, op4_bucket_pointer_suffixes, op5_contextual_pii, op6_noisy_or_toxicity, op8_text_density, op9_super_kmer_windows, op10_rank_queue_bpe]
+    found = [op1_mix_to_weights, op2_tiff_pages, op3_balanced_postings, op4_bucket_pointer_suffixes, op5_contextual_pii, op6_noisy_or_toxicity, op7_divide_skip_join, op8_text_density, op9_super_kmer_windows, op10_rank_queue_bpe]
     return {f.__name__: f for f in found}
 
 

@@ -46,24 +46,36 @@ class Units:
 Reader = Callable[[list[bytes]], Units]
 
 
-def runs(units: Units, window: int, per_window: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last window of each run and its routing key."""
+def runs(units: Units, window: int, per_window: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last window of each run, its routing key, and where its minimiser stands after its first unit.
+
+    The minimiser is the leftmost of a window's smallest grams; a run is of windows that share it in place.
+    """
     n = len(units.starts) - window + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64)
-    key = sliding_min(units.grams, per_window)[:n]
+        return none, none, none.astype(np.uint64), none
+    bits = np.uint64(max(1, len(units.grams).bit_length()))
+    at = np.arange(len(units.grams), dtype=np.uint64)
+    place = lambda g: (sliding_min((g >> bits) << bits | at, per_window)[:n] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    pos = place(units.grams)
+    ok = units.doc[:n] == units.doc[window - 1 :]
+    split = (pos[1:] != pos[:-1]) | (units.doc[1:n] != units.doc[: n - 1]) | (ok[1:] != ok[:-1])
+    key = units.grams[pos]
     if len(hot):
-        at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
-        if (is_hot := hot[at] == key).any():
+        spot = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+        if (is_hot := hot[spot] == key).any():
             # windows of a frequent minimiser are dealt out by a second one, of another order
-            key = np.where(is_hot, joined(key, sliding_min(mix64(units.grams ^ _A), per_window)[:n]), key)
-    ok = units.doc[:n] == units.doc[window - 1 :]
-    change = np.flatnonzero((key[1:] != key[:-1]) | (units.doc[1:n] != units.doc[: n - 1]) | (ok[1:] != ok[:-1])) + 1
+            second = mix64(units.grams ^ _A)
+            other = place(second)
+            key = np.where(is_hot, joined(key, second[other]), key)
+            split |= key[1:] != key[:-1]
+    change = np.flatnonzero(split) + 1
     first = np.concatenate([[0], change])
     last = np.concatenate([change - 1, [n - 1]])
     keep = ok[first]
-    return first[keep], last[keep], key[first[keep]]
+    first = first[keep]
+    return first, last[keep], key[first], pos[first] - first
 
 
 def spans_bytes(start: np.ndarray, end: np.ndarray) -> bytes:
@@ -117,13 +129,13 @@ def from_planes(body: bytes, n: int, at: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(body, np.uint8, 4 * n, at).reshape(4, n).T).view("<i4").ravel().astype(np.int64)
 
 
-def pack(ids: np.ndarray, keys: np.ndarray, start: np.ndarray, slices: list[bytes]) -> bytes:
+def pack(ids: np.ndarray, keys: np.ndarray, start: np.ndarray, place: np.ndarray, slices: list[bytes]) -> bytes:
     """Segments of one bucket, by document and start."""
     new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])])
     text = b"".join(slices)
     lengths = np.fromiter(map(len, slices), np.int64, len(slices))
     head = np.array([new.sum(), len(slices), len(text)], np.int64)
-    body = b"".join([head.tobytes(), ids[new].tobytes(), keys[new].tobytes(), planes(new), planes(np.diff(start, prepend=0)), planes(lengths), text])
+    body = b"".join([head.tobytes(), ids[new].tobytes(), keys[new].tobytes(), planes(new), planes(np.diff(start, prepend=0)), planes(lengths), place.astype(np.uint8).tobytes(), text])
     return np.int64(len(body)).tobytes() + pa.Codec("zstd", compression_level=5).compress(body, asbytes=True)
 
 
@@ -135,7 +147,7 @@ def unpack(blob: bytes):
     at += 16 * docs
     new, start, lengths = (from_planes(body, n, at + 4 * n * k) for k in range(3))
     owner = np.cumsum(new) - 1
-    return ids[owner], keys[owner], np.cumsum(start), lengths, body[at + 12 * n : at + 12 * n + size]
+    return ids[owner], keys[owner], np.cumsum(start), lengths, np.frombuffer(body, np.uint8, n, at + 12 * n), body[at + 13 * n : at + 13 * n + size]
 
 
 @dataclass
@@ -162,7 +174,7 @@ class Search:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _, _, texts in chunks(batches, self.chunk):
-                first, last, key = runs(self.read(texts), self.window, self.per_window, np.zeros(0, np.uint64))
+                first, last, key, _ = runs(self.read(texts), self.window, self.per_window, np.zeros(0, np.uint64))
                 names, at = np.unique(key, return_inverse=True)
                 n = np.bincount(at, last - first + 1, len(names)).astype(np.int64)
                 total = int(n.sum())
@@ -186,7 +198,7 @@ class Search:
             held, size = [], 0
             for ids, keys, texts in chunks(batches, self.chunk):
                 units = self.read(texts)
-                first, last, key = runs(units, self.window, self.per_window, hot.value)
+                first, last, key, place = runs(units, self.window, self.per_window, hot.value)
                 owner, data = units.doc[first], units.data
                 start = first - units.first[owner]
                 slices = [data[a:b] for a, b in zip(units.starts[first].tolist(), units.ends[last + self.window - 1].tolist())]
@@ -201,7 +213,7 @@ class Search:
                     blobs = [spans_bytes(x, y) for x, y in zip(np.split(a, cut), np.split(b, cut))]
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(heads)) % buckets, pa.int32()), pa.array(ids[who[heads]]), pa.array(keys[who[heads]]), pa.array(blobs, pa.binary())], ["bucket", "did", "key", "blob"])
                 go = np.flatnonzero(~again)
-                held.append(((mix64(key[go]) % np.uint64(buckets)).astype(np.int64), ids[owner[go]], keys[owner[go]], start[go], [slices[i] for i in go.tolist()]))
+                held.append(((mix64(key[go]) % np.uint64(buckets)).astype(np.int64), ids[owner[go]], keys[owner[go]], start[go], place[go], [slices[i] for i in go.tolist()]))
                 size += len(data)
                 if size >= GATHERED:
                     yield from packed(held)
@@ -211,14 +223,14 @@ class Search:
         def packed(held: list) -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            bucket, ids, keys, start = (np.concatenate([h[k] for h in held]) for k in range(4))
-            slices = [s for h in held for s in h[4]]
+            bucket, ids, keys, start, place = (np.concatenate([h[k] for h in held]) for k in range(5))
+            slices = [s for h in held for s in h[5]]
             order = np.lexsort((start, keys, ids, bucket))
-            bucket, ids, keys, start = bucket[order], ids[order], keys[order], start[order]
+            bucket, ids, keys, start, place = (x[order] for x in (bucket, ids, keys, start, place))
             at = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(order)]]) if len(order) else np.zeros(1, np.int64)
             for k in range(0, len(at) - 1, 64):
                 ends = at[k : k + 65]
-                blobs = [pack(ids[a:b], keys[a:b], start[a:b], [slices[i] for i in order[a:b].tolist()]) for a, b in zip(ends[:-1], ends[1:])]
+                blobs = [pack(ids[a:b], keys[a:b], start[a:b], place[a:b], [slices[i] for i in order[a:b].tolist()]) for a, b in zip(ends[:-1], ends[1:])]
                 none = pa.nulls(len(blobs), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[ends[:-1]], pa.int32()), none, none, pa.array(blobs, pa.binary())], ["bucket", "did", "key", "blob"])
 
@@ -227,10 +239,10 @@ class Search:
             parts = [unpack(b) for b in group.filter(group["did"].is_null())["blob"].to_pylist()]
             out = [local.select(["did", "key", "blob"]).combine_chunks()]
             if parts:
-                ids, keys, start, lengths = (np.concatenate([p[k] for p in parts]) for k in range(4))
-                text = b"".join(p[4] for p in parts)
+                ids, keys, start, lengths, place = (np.concatenate([p[k] for p in parts]) for k in range(5))
+                text = b"".join(p[5] for p in parts)
                 del parts
-                did, key, a = self.judge(ids, keys, start, lengths, text)
+                did, key, a = self.judge(ids, keys, start, lengths, place, text)
                 if len(did):
                     order = np.lexsort((a, key, did))
                     did, key, a = did[order], key[order], a[order]

@@ -36,7 +36,7 @@ def window_names(h: np.ndarray, window: int) -> np.ndarray:
 
 
 def judge_words(window: int):
-    def judge(ids, keys, start, lengths, text):
+    def judge(ids, keys, start, lengths, place, text):
         """Windows of a bucket that also start earlier. Window names are sorted; equal names are held against the words themselves."""
         stops = np.cumsum(lengths)
         begin = stops - lengths

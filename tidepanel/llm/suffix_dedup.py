@@ -11,7 +11,7 @@ from .common import eights, mix64
 from .segments import Search, Units, covered, joined
 
 #: Bytes of a gram, 8 to 16.
-GRAM = 12
+GRAM = 8
 
 
 def gram_names(low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -69,26 +69,33 @@ def equal_suffixes(data: np.ndarray, live: np.ndarray, depth: int) -> tuple[np.n
 
 
 def judge_bytes(window: int):
-    def judge(ids, keys, start, lengths, text):
-        """Windows of a bucket that also start in a document of smaller id. Segments come with a minimiser; those of which no other document has
-        the minimiser's bytes can't match and are left out before suffixes are sorted."""
+    def judge(ids, keys, start, lengths, place, text):
+        """Windows of a bucket that also start in a document of smaller id.
+
+        A window holds its minimiser, and on one side of it at least half of its other bytes. Segments of which no other document has
+        the minimiser with that many bytes on either side can't match and are left out before suffixes are sorted.
+        """
         array = np.frombuffer(text, np.uint8)
         stops = np.cumsum(lengths)
         begin = stops - lengths
-        eight = eights(array)
-        # the minimiser of a segment is that of its first window
-        wide = window - GRAM + 1
-        lead = np.zeros(len(begin), np.uint64)
-        for a in range(0, len(begin), 20_000):
-            rows = begin[a : a + 20_000, None] + np.arange(wide)[None, :]
-            low, high = (np.ascontiguousarray(eight[rows + k]).view(np.uint64)[..., 0] for k in (0, GRAM - 8))
-            lead[a : a + 20_000] = gram_names(low, high).min(1)
-        order = np.lexsort((ids, lead))
-        new = np.concatenate([[True], lead[order][1:] != lead[order][:-1]])
-        group = np.cumsum(new) - 1
-        low, high = np.minimum.reduceat(ids[order], np.flatnonzero(new)), np.maximum.reduceat(ids[order], np.flatnonzero(new))
+        middle = begin + place
+        side = (window - GRAM + 1) // 2
         shared = np.zeros(len(ids), np.bool_)
-        shared[order] = (low != high)[group]
+        eight = eights(array)
+        word = lambda at: np.ascontiguousarray(eight[at]).view(np.uint64).ravel()
+        for low, high in ((middle - side, middle + GRAM), (middle, middle + GRAM + side)):
+            inside = np.flatnonzero((low >= begin) & (high <= stops))
+            a, b = low[inside], high[inside]
+            name = word(a)
+            for k in range(8, GRAM + side, 8):
+                name = joined(name, word(np.minimum(a + k, b - 8)))
+            order = np.argsort(name, kind="stable")
+            name, who = name[order], ids[inside][order]
+            new = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else inside
+            if not len(new):
+                continue
+            several = np.minimum.reduceat(who, new) != np.maximum.reduceat(who, new)
+            shared[inside[order]] |= np.repeat(several, np.diff(np.append(new, len(name))))
         pick = np.flatnonzero(shared)
         if not len(pick):
             return (np.zeros(0, np.int64),) * 3
@@ -120,7 +127,7 @@ def dedup_bytes(docs: DataFrame, window: int = 50) -> DataFrame:
     Rows that repeat an id are of one document and take nothing from each other; an empty table gives no rows; other columns
     are ignored.
     """
-    search = Search(read_bytes, window, window - GRAM + 1, judge_bytes(window), False, 2 << 20, 7 << 20, 3.5)
+    search = Search(read_bytes, window, window - GRAM + 1, judge_bytes(window), False, 2 << 20, 10 << 20, 3.3)
 
     def finish(data: bytes, blobs: list[bytes]):
         if not blobs:
