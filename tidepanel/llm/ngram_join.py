@@ -10,9 +10,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from heapq import merge
-from itertools import groupby
-from math import ceil, log
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -56,25 +54,32 @@ def node_of(grams: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def divide_skip(lists: list, t: int, mu: float = 0.01):
-    """Ids that stand in at least t of the sorted lists, with their number: short lists are merged, long ones are probed by binary search."""
-    lists = sorted((x for x in lists if len(x)), key=len)
+def divide_skip(lists: list[np.ndarray], t: int, mu: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+    """Ids that stand in at least t of the sorted lists, with the number of lists.
+
+    The longest lists, fewer than t, are set apart: an id must stand in enough of the others, which are merged, before the long
+    ones are probed for it by binary search. Where all lists are short none is set apart.
+    """
+    none = np.zeros(0, np.int64)
     if len(lists) < t:
-        return
+        return none, none
+    lists = sorted(lists, key=len)
     longest = len(lists[-1])
-    long = min(t - 1, int(t / (mu * log(longest + 1) + 1))) if longest > 1 else 0
-    short, probed = lists[: len(lists) - long], lists[len(lists) - long :]
-    for i, same in groupby(merge(*short)):
-        n = sum(1 for _ in same)
-        if n < t - long:
-            continue
-        for k, x in enumerate(probed):
-            if n + len(probed) - k < t:
-                break
-            at = int(np.searchsorted(x, i))
-            n += at < len(x) and x[at] == i
-        if n >= t:
-            yield i, n
+    long = min(t - 1, int(t / (mu * log(longest) + 1))) if longest > 8 else 0
+    short = np.sort(np.concatenate(lists[: len(lists) - long]), kind="stable")  # a merge of sorted runs
+    at = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]]))
+    ids, n = short[at], np.diff(np.append(at, len(short)))
+    keep = n >= t - long
+    ids, n = ids[keep], n[keep]
+    for k, probed in enumerate(lists[len(lists) - long :]):
+        if not len(ids):
+            break
+        at = np.minimum(np.searchsorted(probed, ids), len(probed) - 1)
+        n = n + (probed[at] == ids)
+        keep = n + (long - k - 1) >= t
+        if not keep.all():
+            ids, n = ids[keep], n[keep]
+    return ids, n
 
 
 @dataclass
@@ -107,11 +112,14 @@ def linked(sets: list[np.ndarray], percent: int = 80) -> list[int]:
     rank: list[int] = []
     for i in order:
         grams = sets[i].tolist()
+        found = [x for x in map(leaders.get, grams) if x]
         hit = False
-        for k, n in divide_skip([leaders[g] for g in grams if g in leaders], need(i)):
-            if fits(i, rank[k], n):
-                roots.join(i, rank[k])
-                hit = True
+        if len(found) >= need(i):
+            ids, n = divide_skip([np.array(x) for x in found], need(i)) if len(rank) > 1 else (np.zeros(1, np.int64), np.array([len(found)]))
+            for k, both in zip(ids.tolist(), n.tolist()):
+                if fits(i, rank[k], both):
+                    roots.join(i, rank[k])
+                    hit = True
         if not hit:
             rank.append(i)
             for g in grams:
@@ -133,9 +141,10 @@ def linked(sets: list[np.ndarray], percent: int = 80) -> list[int]:
             low, high = np.searchsorted(grams, sets[i]), np.searchsorted(grams, sets[i], "right")
             if np.count_nonzero(high > low) < need(i):
                 continue
-            for k, n in divide_skip([who[a:b] for a, b in zip(low.tolist(), high.tolist()) if b > a], need(i)):
-                if k != i and fits(i, int(k), n):
-                    roots.join(i, int(k))
+            ids, n = divide_skip([who[a:b] for a, b in zip(low.tolist(), high.tolist()) if b > a], need(i))
+            for k, both in zip(ids.tolist(), n.tolist()):
+                if k != i and fits(i, k, both):
+                    roots.join(i, k)
     return [roots.find(i) for i in range(len(sets))]
 
 
@@ -288,7 +297,7 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFra
                     right.append(nodes[once[r]])
         return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
-    links = cut(texts.select("node", "root", "task", "data").groupBy("task").applyInArrow(find, "a long, b long"))
+    links = cut(texts.select("node", "root", "task", "data").repartition(min(max(32, tasks // 2), 20_000), "task").groupBy("task").applyInArrow(find, "a long, b long"))
     if member.where("blocks > 1").limit(1).count():
         labels = components(links)
     else:  # every component was found whole, in one task
