@@ -30,14 +30,15 @@ def read_bytes(texts: list[bytes]) -> Units:
 
 
 def refine(names: np.ndarray, live: np.ndarray) -> np.ndarray:
-    """The positions of `live` whose bucket, given by its name, holds another of them."""
+    """The positions of `live` whose bucket, given by its name, holds another of them; by bucket."""
     own = names[live]
-    ordered = np.sort(own)
-    twice = ordered[1:][ordered[1:] == ordered[:-1]]
-    if not len(twice):
-        return live[:0]
-    twice = twice[np.concatenate([[True], twice[1:] != twice[:-1]])]
-    return live[twice[np.minimum(np.searchsorted(twice, own), len(twice) - 1)] == own]
+    order = np.argsort(own)
+    own = own[order]
+    same = own[1:] == own[:-1]
+    keep = np.zeros(len(own), np.bool_)
+    keep[1:] = same
+    keep[:-1] |= same
+    return live[order[keep]]
 
 
 def equal_suffixes(data: np.ndarray, live: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,14 +50,11 @@ def equal_suffixes(data: np.ndarray, live: np.ndarray, depth: int) -> tuple[np.n
     """
     eight = eights(data)
     names, reach = np.ascontiguousarray(eight[:-1]).view(np.uint64).ravel(), 8
-    live = refine(names, live)
     while reach < depth and len(live):
         step = min(reach, depth - reach)
         names = np.concatenate([joined(names[:-step], names[step:]), names[-step:]])
         reach += step
         live = refine(names, live)
-    order = np.argsort(names[live], kind="stable")
-    live = live[order]
     own = names[live]
     head = np.ones(len(live), np.bool_)
     head[1:] = own[1:] != own[:-1]
