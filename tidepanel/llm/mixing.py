@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN
+from .common import WORD_PATTERN, cut
 
 #: Per source, shuffled documents fall into GRID x GRID ranges of their hash, and the queue into QUEUE ranges per unit of finish time.
 GRID, QUEUE = 64, 2048
@@ -51,6 +51,7 @@ def mix_to_weights(docs: DataFrame, weights=(5, 2, 1), share=1.5, repeats=2, see
     keyed = sized.withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("h", F.md5(F.concat(F.lit(seed), F.lit("|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
     top = F.conv(F.substring("h", 1, 3), 16, 10).cast("int")  # 12 bits: GRID x GRID ranges in the hash's order
     keyed = keyed.withColumn("coarse", F.floor(top / GRID).cast("int")).withColumn("fine", top % GRID)
+    keyed = cut(keyed)  # a few numbers for each document; texts are read and counted once
 
     fine = keyed.groupBy("skey", "coarse", "fine").agg(F.sum("size").alias("words"), F.max("source").alias("source"))
     coarse = fine.groupBy("skey", "coarse").agg(F.sum("words").alias("words"), F.max("source").alias("source"))
@@ -75,6 +76,7 @@ def mix_to_weights(docs: DataFrame, weights=(5, 2, 1), share=1.5, repeats=2, see
         .withColumn("finish", F.when(F.col("target") > 0, (F.col("pass") * F.col("source_size") + F.col("cum")) / F.col("target")).otherwise(F.lit(0.0)))
         .withColumn("slot", F.least(F.floor(F.col("finish") * QUEUE), F.lit(4 * QUEUE)).cast("int"))
     )
+    queued = cut(queued.select("doc_id", "source", *carry, "size", "skey", "coarse", "fine", "row", "h", "source_size", "target", "budget", "pass", "finish", "slot"))
     slots = queued.groupBy("slot").agg(F.sum("size").alias("words"))  # at most 4 * QUEUE + 1 rows
     slot_at = slots.select("slot", F.coalesce(F.sum("words").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), zero).alias("slot_at"))
     turn = Window.partitionBy("slot").orderBy("finish", "skey", "pass", "h", "row").rowsBetween(Window.unboundedPreceding, 0)

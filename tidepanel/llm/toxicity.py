@@ -142,7 +142,7 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> NoisyOr:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> NoisyOr:
     """Fits on at most per_class toxic and 2 * per_class other labelled documents outside the held-out quarter, those whose
     id hashes lowest; the sample's bound is this parameter, whatever the tables' size."""
     known = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).distinct()
@@ -152,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> NoisyOr:
     return fit([(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))])
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = 2000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = 1500) -> DataFrame:
     """docs with held_out, score, predicted and worst (numbers of sentences that are toxic by themselves, with their probability).
 
     Scores come from the text alone. A null or empty text has no sentence and scores 0; repeated rows score alike; labels that are
