@@ -157,7 +157,7 @@ class Search:
     read: Reader
     window: int
     per_window: int
-    judge: Callable  # of a bucket's segments: windows that are to go
+    judge: Callable  # of a bucket's segments: windows that are to go, by document and start
     same_document: bool  # whether an earlier window of the same document counts
     chunk: int
     bucket_bytes: int
@@ -244,11 +244,16 @@ class Search:
                 del parts
                 did, key, a = self.judge(ids, keys, start, lengths, place, text)
                 if len(did):
-                    order = np.lexsort((a, key, did))
-                    did, key, a = did[order], key[order], a[order]
-                    at = np.concatenate([[0], np.flatnonzero((did[1:] != did[:-1]) | (key[1:] != key[:-1])) + 1, [len(did)]])
-                    blobs = [spans_bytes(a[x:y], a[x:y] + self.window) for x, y in zip(at[:-1], at[1:])]
-                    out.append(pa.table({"did": did[at[:-1]], "key": key[at[:-1]], "blob": pa.array(blobs, pa.binary())}))
+                    other = np.concatenate([[True], (did[1:] != did[:-1]) | (key[1:] != key[:-1])])
+                    apart = other.copy()
+                    apart[1:] |= a[1:] > a[:-1] + self.window
+                    at = np.flatnonzero(apart)
+                    stop = a[np.append(at[1:], len(a)) - 1] + self.window
+                    pairs = np.stack([a[at], stop], 1).astype(np.int32)
+                    first = np.flatnonzero(other)
+                    ends = np.append(np.cumsum(apart)[first] - 1, len(at)).astype(np.int32) * 8
+                    blobs = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(pairs.tobytes())])
+                    out.append(pa.table({"did": did[first], "key": key[first], "blob": blobs}))
             return pa.concat_tables(out)
 
         routed = self.documents(docs).select("did", "key", "data").mapInArrow(route, "bucket int, did long, key long, blob binary")

@@ -75,7 +75,9 @@ def judge_words(window: int):
         if not same.all():
             raise ValueError("two windows have one name; change the scramble")
         later = (did > did[lead]) | (pos > pos[lead])
-        return did[later], keys[seg[at]][later], pos[later]
+        did, key, pos = did[later], keys[seg[at]][later], pos[later]
+        order = np.lexsort((pos, key, did))
+        return did[order], key[order], pos[order]
 
     return judge
 

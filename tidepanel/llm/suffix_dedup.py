@@ -97,6 +97,7 @@ def judge_bytes(window: int):
         pick = np.flatnonzero(shared)
         if not len(pick):
             return (np.zeros(0, np.int64),) * 3
+        pick = pick[np.lexsort((start[pick], keys[pick], ids[pick]))]
         data = np.frombuffer(b"".join([text[a:b] for a, b in zip(begin[pick].tolist(), stops[pick].tolist())]), np.uint8)
         sizes = lengths[pick]
         base = np.cumsum(sizes) - sizes
@@ -109,9 +110,9 @@ def judge_bytes(window: int):
         seg = np.searchsorted(base, live, "right") - 1
         did = ids[pick][seg]
         low = np.minimum.reduceat(did, np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])))
-        gone = did > low[number]
-        seg = seg[gone]
-        return did[gone], keys[pick][seg], start[pick][seg] + live[gone] - base[seg]
+        live = np.sort(live[did > low[number]])  # segments lie by document and start, and so do the windows in them
+        seg = np.searchsorted(base, live, "right") - 1
+        return ids[pick][seg], keys[pick][seg], start[pick][seg] + live - base[seg]
 
     return judge
 
