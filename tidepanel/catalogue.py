@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Settings
-from .operators import align, alloc, engine, grouping, inference, returns, symbols, windows
+from .operators import align, alloc, engine, grouping, inference, optimise, returns, symbols, windows
 from .sources import panel
 
 S = Settings()
@@ -133,6 +133,24 @@ def _band_sweep(spark, d):
     return out
 
 
+def _local_distances(spark, d):
+    return _rounded(align.pair_distances(_strings(spark, d), S, local=True).drop("d"), "score")
+
+
+def _random_clusters(spark, d):
+    sizes = panel.sectors(spark, d).groupBy("cluster").agg(F.count("*").alias("size"))
+    return grouping.random_clusters(_train(spark, d), sizes)
+
+
+def _pair_pvalues(spark, d):
+    return _rounded(inference.benjamini_hochberg(inference.pair_pvalues(_strings(spark, d), S, 20)), "d", "p")
+
+
+def _block_length(spark, d):
+    net = _methods(spark, d).where("method = 'equal'").select((F.row_number().over(engine.Window.orderBy("dt")) - 1).alias("pos"), "r")
+    return inference.block_length(net)
+
+
 def _alignment_backtest(spark, d):
     w = alloc.two_stage(_train(spark, d), _alignment_clusters(spark, d).select("window_id", "asset", "cluster"), S)
     net = engine.net_returns(engine.gross_returns(_forward(spark, d), w), engine.turnover(w), S.cost_bps).withColumn("method", F.lit("alignment"))
@@ -170,6 +188,12 @@ def queries() -> dict:
         "autocorrelations": _autocorrelations,
         "block_bootstrap_ci": _bootstrap,
         "distance_pairs": _distances,
+        "local_scores": _local_distances,
+        "min_variance": rounded_w(lambda s, d: optimise.optimised(_train(s, d), S)),
+        "mean_variance": rounded_w(lambda s, d: optimise.optimised(_train(s, d), S, 0.5, True)),
+        "random_clusters": _random_clusters,
+        "pair_pvalues": _pair_pvalues,
+        "block_length": _block_length,
         "alignment_clusters": _alignment_clusters,
         "correlation_clusters": _correlation_clusters,
         "cluster_agreement": _agreement,

@@ -44,16 +44,36 @@ def banded_scores(a: np.ndarray, b: np.ndarray, s: Settings, band: int | None =
     return np.maximum(np.maximum(diag, up), side)[:, band]
 
 
+def local_scores(a: np.ndarray, b: np.ndarray, s: Settings) -> np.ndarray:
+    """Best local scores of a[k] against b[k], without a band; gaps too restart at 0. A row's horizontal gaps are a running maximum."""
+    pairs, n = a.shape
+    m = b.shape[1]
+    cost = s.gap_extend * np.arange(m + 1)
+    diag, up, side = (np.zeros((pairs, m + 1)) for _ in range(3))
+    best = np.zeros(pairs)
+    for i in range(n):
+        gap = np.abs(b - a[:, i : i + 1])
+        new = np.zeros((pairs, m + 1))
+        new[:, 1:] = np.maximum(0, np.maximum(np.maximum(diag, up), side)[:, :-1] + np.where(gap == 0, s.match, -gap))
+        up = np.maximum(0, np.maximum(diag + s.gap_open, up) + s.gap_extend)
+        side = np.zeros((pairs, m + 1))
+        side[:, 1:] = np.maximum(0, np.maximum.accumulate(new - cost, axis=1)[:, :-1] + s.gap_open + cost[1:])
+        diag = new
+        best = np.maximum(best, np.maximum(np.maximum(diag, up), side).max(1))
+    return best
+
+
 def codes(symbols: DataFrame, keys: tuple[str, ...] = ("window_id",)) -> DataFrame:
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "code"))), lambda x: x["code"])
     return symbols.groupBy(*keys, "asset").agg(ordered.alias("codes"))
 
 
-def pair_distances(strings: DataFrame, s: Settings, keys: tuple[str, ...] = ("window_id",), band: int | None = None) -> DataFrame:
+def pair_distances(strings: DataFrame, s: Settings, keys: tuple[str, ...] = ("window_id",), band: int | None = None, local: bool = False) -> DataFrame:
     """keys, a, b, score, d for a < b: d = max(0, 1 - score / (match * length)), as a string scores match * length against itself."""
     left = strings.select(*keys, F.col("asset").alias("a"), F.col("codes").alias("x"))
     right = strings.select(*keys, F.col("asset").alias("b"), F.col("codes").alias("y"))
     pairs = left.join(right, list(keys)).where("a < b")
+    scores = local_scores if local else lambda x, y, s: banded_scores(x, y, s, band)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -61,7 +81,7 @@ def pair_distances(strings: DataFrame, s: Settings, keys: tuple[str, ...] = ("wi
             score = np.empty(len(pdf))
             for n in lengths.unique():
                 at = np.flatnonzero(lengths == n)
-                score[at] = banded_scores(np.stack(pdf["x"].iloc[at]).astype(float), np.stack(pdf["y"].iloc[at]).astype(float), s, band)
+                score[at] = scores(np.stack(pdf["x"].iloc[at]).astype(float), np.stack(pdf["y"].iloc[at]).astype(float), s)
             out = pdf.drop(columns=["x", "y"])
             out["score"] = score
             out["d"] = np.maximum(0, 1 - score / (s.match * lengths.to_numpy()))

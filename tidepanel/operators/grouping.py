@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
@@ -98,3 +98,14 @@ def rand_index(left: DataFrame, right: DataFrame, key: str = "window_id") -> Dat
     expected = F.col("rows") * F.col("cols") / F.nullif(F.col("all"), F.lit(0.0))
     top = (F.col("rows") + F.col("cols")) / 2 - expected
     return sums.select(key, F.when(F.abs(top) < 1e-12, 1.0).otherwise((F.col("same") - expected) / F.nullif(top, F.lit(0.0))).alias("ari"))
+
+
+def random_clusters(assets: DataFrame, sizes: DataFrame, seed: int = 42) -> DataFrame:
+    """window_id, asset, cluster: each window's assets in an order of hashes, dealt out to clusters of the given sizes (cluster, size).
+    Assets beyond the sum of sizes have no row."""
+    order = Window.partitionBy("window_id").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "window_id", "asset").cast("binary")), "asset")
+    ranked = assets.select("window_id", "asset").distinct().withColumn("rank", F.row_number().over(order))
+    upto = F.sum("size").over(Window.orderBy("cluster"))  # a row for each cluster
+    bounds = sizes.select("cluster", (upto - F.col("size")).alias("after"), upto.alias("upto"))
+    places = bounds.select("cluster", F.explode(F.sequence((F.col("after") + 1).cast("int"), F.col("upto").cast("int"))).alias("rank"))
+    return ranked.join(places, "rank").select("window_id", "asset", "cluster")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from .align import banded_scores
+from .align import banded_scores, pair_distances
 from .grouping import constrained_labels
 
 
@@ -75,3 +75,37 @@ def autocorrelations(series: DataFrame, lags: int) -> DataFrame:
     moved = x.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(lags)))).withColumn("q", F.col("pos") + F.col("lag")).join(later, "q")
     total = F.broadcast(x.agg(F.sum(F.col("c") * F.col("c")).alias("all")))
     return moved.groupBy("lag").agg(F.sum(F.col("c") * F.col("e")).alias("part")).join(total).select("lag", F.when(F.col("all") > 0, F.col("part") / F.col("all")).otherwise(0.0).alias("rho"))
+
+
+def pair_pvalues(strings: DataFrame, s: Settings, draws: int) -> DataFrame:
+    """window_id, a, b, d, p: the share of draws, itself counted, that bring a pair as near as it is."""
+    real = pair_distances(strings, s).select("window_id", "a", "b", "d")
+    null = pair_distances(shifted(strings, draws, s), s, ("window_id", "draw")).select("window_id", "a", "b", F.col("d").alias("e"))
+    near = null.join(real, ["window_id", "a", "b"]).groupBy("window_id", "a", "b").agg(F.max("d").alias("d"), F.sum((F.col("e") <= F.col("d")).cast("int")).alias("m"))
+    return near.select("window_id", "a", "b", "d", ((F.col("m") + 1) / (draws + 1)).alias("p"))
+
+
+def block_length(series: DataFrame, kind: str = "cb") -> DataFrame:
+    """length: Politis and White's (2004) choice for circular ("cb") or stationary ("sb") blocks, for a column r in order of pos.
+
+    Series of fewer than 50 rows, without variance or without positive dependence get the root of their length. Only the number
+    of rows goes to the driver.
+    """
+    series = series.select("pos", "r").persist()  # read several times
+    n = series.count()
+    root = float(max(1, round(n**0.5)))
+    if n < 50:
+        return series.sparkSession.range(1).select(F.lit(int(root)).alias("length"))
+    look = min(n - 1, max(5, int(np.ceil(10 * np.log10(n)))))
+    most = min(n - 1, 3 * look)
+    limit = 2 * (np.log10(n) / n) ** 0.5
+    rho = autocorrelations(series, most).persist()
+    ahead = F.max(F.abs("rho")).over(Window.orderBy("lag").rowsBetween(1, look))  # a row for each lag
+    calm = rho.withColumn("ahead", ahead).agg(F.min(F.when((F.col("lag") <= look) & (F.col("ahead") < limit), F.col("lag"))).alias("m"))
+    reach = calm.select(F.least(2 * F.coalesce(F.col("m"), F.lit(look)), F.lit(most)).alias("reach"))
+    t = F.col("lag") / F.col("reach")
+    taper = F.when(t <= 0.5, 1.0).when(t <= 1, 2 * (1 - t)).otherwise(0.0)
+    sums = rho.join(F.broadcast(reach)).agg((1 + 2 * F.sum(taper * F.col("rho"))).alias("s"), (2 * F.sum(taper * F.col("lag") * F.col("rho"))).alias("g"))
+    d = (2.0 if kind == "sb" else 4 / 3) * F.col("s") * F.col("s")
+    b = F.pow(2 * F.col("g") * F.col("g") / d, F.lit(1 / 3)) * float(n) ** (1 / 3)
+    return sums.select(F.greatest(F.lit(1), F.least(F.lit(n), F.bround(F.when((F.col("g") > 0) & (F.col("s") != 0), b).otherwise(root)).cast("int"))).alias("length"))
