@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Settings
-from .operators import align, alloc, engine, grouping, inference, optimise, returns, symbols, windows
+from .operators import align, alloc, engine, grouping, inference, optimise, outlook, returns, symbols, windows
 from .sources import panel
 
 S = Settings()
@@ -157,6 +157,10 @@ def _alignment_backtest(spark, d):
     return engine.metrics(net.unionByName(_methods(spark, d)), S, ["method"])
 
 
+def _composites(spark, d):
+    return outlook.composites(_train(spark, d), panel.sectors(spark, d))
+
+
 def queries() -> dict:
     w = ["window_id", "asset", "w"]
     rounded_w = lambda f: lambda spark, d: _rounded(f(spark, d).select(*w), "w")
@@ -200,6 +204,9 @@ def queries() -> dict:
         "band_sweep": _band_sweep,
         "null_gate": lambda s, d: inference.null_gate(_strings(s, d), S, 10),
         "alignment_backtest": _alignment_backtest,
+        "hist_mean_forecast": lambda s, d: _rounded(outlook.historical_mean(_composites(s, d), S.hold), "expected_return"),
+        # training windows have 24 months, so 20 returns are enough here
+        "spline_forecast": lambda s, d: _rounded(outlook.forecasts(_composites(s, d), S.hold, 20), "expected_return"),
     }
 
 
@@ -291,6 +298,7 @@ def oracle_sql() -> dict[str, str]:
         "metrics_table": _metrics_sql("net", "method"),
         "cost_sweep": _metrics_sql("swept", "bps"),
         "correlation_distance": "SELECT a.window_id, a.asset AS a, b.asset AS b, round(1 - corr(a.r, b.r), 8) AS d FROM train a JOIN train b ON a.window_id = b.window_id AND a.pos = b.pos AND a.asset < b.asset GROUP BY 1, 2, 3",
+        "hist_mean_forecast": "SELECT window_id, cluster, round(avg(r) * 3, 8) AS expected_return FROM comp GROUP BY 1, 2",
         "autocorrelations": "SELECT k AS lag, round(sum(a.y * b.y) / (SELECT sum(y * y) FROM cy), 7) AS rho FROM (SELECT pos, y - (SELECT avg(y) FROM pairs) AS y FROM pairs) a JOIN cy b ON b.pos > a.pos JOIN (SELECT CAST(k AS INTEGER) AS k FROM range(1, 11) t(k)) l ON b.pos = a.pos + k GROUP BY k",
         "block_bootstrap_ci": """SELECT round(quantile_cont(gap, 0.025), 6) AS lo, round(quantile_cont(gap, 0.975), 6) AS hi FROM (
   SELECT q, (avg(x) / stddev_pop(x) - avg(y) / stddev_pop(y)) * sqrt(12.0) AS gap FROM (
