@@ -10,6 +10,8 @@ from .operators import align, alloc, engine, grouping, inference, optimise, outl
 from .sources import panel
 
 S = Settings()
+#: Draws of a null, as in the reference's reports.
+DRAWS = 1000
 
 
 def _panel(spark: SparkSession, d: str, fill: str = "drop") -> DataFrame:
@@ -143,7 +145,7 @@ def _random_clusters(spark, d):
 
 
 def _pair_pvalues(spark, d):
-    return _rounded(inference.benjamini_hochberg(inference.pair_pvalues(_strings(spark, d), S, 20)), "d", "p")
+    return _rounded(inference.benjamini_hochberg(inference.pair_pvalues(_strings(spark, d), S, DRAWS, inference.hashed_offset)), "d", "p")
 
 
 def _block_length(spark, d):
@@ -202,7 +204,7 @@ def queries() -> dict:
         "correlation_clusters": _correlation_clusters,
         "cluster_agreement": _agreement,
         "band_sweep": _band_sweep,
-        "null_gate": lambda s, d: inference.null_gate(_strings(s, d), S, 10),
+        "null_gate": lambda s, d: inference.null_gate(_strings(s, d), S, DRAWS),
         "alignment_backtest": _alignment_backtest,
         "hist_mean_forecast": lambda s, d: _rounded(outlook.historical_mean(_composites(s, d), S.hold), "expected_return"),
         # training windows have 24 months, so 20 returns are enough here

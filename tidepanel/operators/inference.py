@@ -13,16 +13,23 @@ from .grouping import constrained_labels
 
 
 def shift_offset(band: int, length, draw, asset):
-    """A deterministic offset in band + 1 .. length - band - 3 for each draw and asset."""
+    """An offset in band + 1 .. length - band - 3 by arithmetic. It repeats after length - 2 * band - 3 draws: for plain counts, not for a null."""
     room = length - 2 * band - 3
     return band + 1 + F.pmod(draw * 7 + asset * 13 + draw * asset * 3, room)
 
 
-def shifted(strings: DataFrame, draws: int, s: Settings) -> DataFrame:
+def hashed_offset(band: int, length, draw, asset):
+    """An offset in band + 1 .. length - band - 2 from a hash of window, draw and asset: draws don't repeat, and each asset turns on its own."""
+    room = length - 2 * band - 2
+    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", "window_id", draw, asset).cast("binary")), 1, 15), 16, 10).cast("long")
+    return F.when(room > 0, band + 1 + F.pmod(hashed, F.greatest(room, F.lit(1)))).otherwise(F.raise_error(F.lit("strings are too short to turn beyond the band")))
+
+
+def shifted(strings: DataFrame, draws: int, s: Settings, offset=hashed_offset) -> DataFrame:
     """window_id, draw, asset, codes: every string turned by its offset."""
     each = strings.crossJoin(F.broadcast(strings.sparkSession.range(draws).select(F.col("id").cast("int").alias("draw"))))
     n = F.size("codes")
-    off = shift_offset(s.band, n, F.col("draw"), F.col("asset")).cast("int")
+    off = offset(s.band, n, F.col("draw"), F.col("asset")).cast("int")
     return each.withColumn("off", off).select("window_id", "draw", "asset", F.concat(F.slice("codes", F.col("off") * -1, F.col("off")), F.slice("codes", F.lit(1), n - F.col("off"))).alias("codes"))
 
 
@@ -77,10 +84,10 @@ def autocorrelations(series: DataFrame, lags: int) -> DataFrame:
     return moved.groupBy("lag").agg(F.sum(F.col("c") * F.col("e")).alias("part")).join(total).select("lag", F.when(F.col("all") > 0, F.col("part") / F.col("all")).otherwise(0.0).alias("rho"))
 
 
-def pair_pvalues(strings: DataFrame, s: Settings, draws: int) -> DataFrame:
-    """window_id, a, b, d, p: the share of draws, itself counted, that bring a pair as near as it is."""
+def pair_pvalues(strings: DataFrame, s: Settings, draws: int, offset=shift_offset) -> DataFrame:
+    """window_id, a, b, d, p: the share of draws, itself counted, that bring a pair as near as it is. A null of many draws needs hashed_offset."""
     real = pair_distances(strings, s).select("window_id", "a", "b", "d")
-    null = pair_distances(shifted(strings, draws, s), s, ("window_id", "draw")).select("window_id", "a", "b", F.col("d").alias("e"))
+    null = pair_distances(shifted(strings, draws, s, offset), s, ("window_id", "draw")).select("window_id", "a", "b", F.col("d").alias("e"))
     near = null.join(real, ["window_id", "a", "b"]).groupBy("window_id", "a", "b").agg(F.max("d").alias("d"), F.sum((F.col("e") <= F.col("d")).cast("int")).alias("m"))
     return near.select("window_id", "a", "b", "d", ((F.col("m") + 1) / (draws + 1)).alias("p"))
 
