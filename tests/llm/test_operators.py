@@ -177,6 +177,19 @@ def test_pii_learns_contexts(spark, nothing):
     assert out[100] == "please call us at [phone] for more" and out[102] is None
 
 
+def test_pii_keeps_every_trusted_context(spark):
+    graph = spark.range(20_500).selectExpr("explode(sequence(0, 2)) k", "concat('p', id, ' at _') pattern").selectExpr("pattern", "'phone' kind", "concat(pattern, k) instance", "true seed", "1L n")
+    assert pii.bootstrap(graph, rounds=1).count() == 20_500
+
+
+def test_pii_joins_contexts_that_are_many(spark):
+    rows = [(k, f"please call us at +1 (555) 555-{1000 + k} for more and mail a{k}@b.example.com today") for k in range(30)]
+    rows += [(100, "please call us at 5550199 for more"), (100, "please call us at 5550199 for more"), (None, "or call us at 5550198 for 5550197"), (101, "a number 5550199 of no kind"), (102, None), (103, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain, joined = (sorted(map(repr, pii.find_pii(docs, few=few).collect())) for few in (500_000, 0))
+    assert plain == joined and len(joined) == len(rows) and sum("found=True" in x for x in joined) == 3
+
+
 def test_toxicity_learns_from_documents(spark, nothing):
     r = random.Random(4)
     calm = lambda n: " ".join(r.choices(["alpha", "beta", "gamma", "delta", "omega", "sigma"], k=n)) + ". "

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -129,12 +129,12 @@ def context_graph(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "pattern string, kind string, instance string, seed boolean, n long").groupBy("pattern", "kind", "instance", "seed").agg(F.sum("n").alias("n"))
 
 
-def bootstrap(graph: DataFrame, rounds: int = 3, confidence: float = 0.8, support: int = 3, most: int = 20_000) -> DataFrame:
+def bootstrap(graph: DataFrame, rounds: int = 3, confidence: float = 0.8, support: int = 3) -> DataFrame:
     """Scores patterns and instances in turns and returns the trusted patterns: pattern, kind, confidence, support.
 
     A pattern's confidence for a kind is the share, by trust, of its occurrences that are of that kind; seeds have trust 1 and other
     instances the noisy-or of the trusted patterns they occur in. A trusted pattern has at least `support` trusted instances and
-    `confidence`; the `most` best by confidence x log2(support) are kept, a bound on what scanning broadcasts.
+    `confidence`; all of them are kept.
     """
     totals = graph.groupBy("pattern").agg(F.sum("n").alias("all"), F.count_if("seed").alias("seeds")).where(F.col("seeds") >= 1)
     edges = cut(graph.join(totals, "pattern").where(F.col("kind").isin(*KINDS)))
@@ -150,41 +150,65 @@ def bootstrap(graph: DataFrame, rounds: int = 3, confidence: float = 0.8, suppor
         if k < rounds - 1:
             found = edges.where(~F.col("seed")).join(patterns.select("pattern", "kind", "confidence"), ["pattern", "kind"]).groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("trust"))
             trust = cut(edges.where("seed").select("kind", "instance").distinct().withColumn("trust", F.lit(1.0)).unionByName(found).groupBy("kind", "instance").agg(F.max("trust").alias("trust")))
-    return patterns.orderBy(F.desc(F.col("confidence") * F.log2("support")), "pattern", "kind").limit(most)
+    return patterns
 
 
-def find_pii(docs: DataFrame, **settings) -> DataFrame:
+def named(kind: str, pattern: str) -> bytes:
+    """16 bytes that stand for a pattern of a kind."""
+    return hashlib.sha256(f"{kind} {pattern}".encode()).digest()[:16]
+
+
+def find_pii(docs: DataFrame, few: int = 500_000, **settings) -> DataFrame:
     """docs with spans: array of (kind, start, end, found), by kind as in KINDS, then start; offsets in code points, end exclusive.
 
     Known forms come first; found spans are tokens of a fitting shape in a trusted context, and never overlap known ones.
     A null text has no spans; repeated rows give repeated results (and their contexts count again); an empty table gives no rows;
-    a column named spans is replaced, other columns stay. Patterns learn from all documents; scanning needs no shuffle.
+    a column named spans is replaced, other columns stay. Patterns learn from all documents. Up to `few` trusted patterns are broadcast,
+    16 bytes each, and scanning needs no shuffle; more are joined with the candidates, with the same result, and the documents are
+    written once and joined with what was found.
     """
     spark = docs.sparkSession
-    trusted: dict[str, set[str]] = {}
-    for r in bootstrap(context_graph(docs), **settings).collect():  # at most `most` rows
-        trusted.setdefault(r["kind"], set()).add(r["pattern"])
-    shared = spark.sparkContext.broadcast(trusted)
     docs = docs.drop("spans")
     names = docs.columns
+    patterns = cut(bootstrap(context_graph(docs), **settings).select(F.unhex(F.substring(F.sha2(F.concat_ws(" ", "kind", "pattern").cast("binary"), 256), 1, 32)).alias("name")))
+    many = patterns.count() > few
+    shared = spark.sparkContext.broadcast(None if many else frozenset(bytes(r["name"]) for r in patterns.collect()))  # at most `few` rows
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("found", pa.bool_())]))
 
-    def spans_of(text: str) -> list[dict]:
+    def spans_of(text: str, good: Collection[bytes]) -> list[dict]:
         base = base_spans(text)
         spans = [(k, s, e, False) for k, s, e in base]
-        if shared.value:
+        if good:
             for k, s, e in candidates(text, base):
-                if (good := shared.value.get(k)) and any(c in good for c in contexts(text, s, e)):
+                if k in KINDS and any(named(k, c) in good for c in contexts(text, s, e)):
                     spans.append((k, s, e, True))
             spans.sort(key=lambda x: (KINDS.index(x[0]), x[1]))
         return [{"kind": k, "start": s, "end": e, "found": f} for k, s, e, f in spans]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [spans_of(t.as_py() or "") for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], [*names, "spans"])
+            if many:
+                good = [frozenset(x or ()) for x in batch.column("__good").to_pylist()]
+            else:
+                good = [shared.value] * batch.num_rows
+            spans = [spans_of(t.as_py() or "", g) for t, g in zip(batch.column("text"), good, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(spans, kind)], [*names, "spans"])
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, wanted = [], []
+            for row, t in zip(batch.column("__row").to_pylist(), batch.column("text")):
+                text = t.as_py() or ""
+                own = {named(k, c) for k, s, e in candidates(text, base_spans(text)) if k in KINDS for c in contexts(text, s, e)}
+                rows += [row] * len(own)
+                wanted += own
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(wanted, pa.binary())], ["__row", "name"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    if many:
+        docs = cut(docs.withColumn("__row", F.monotonically_increasing_id()))  # written, so that ids stay
+        met = docs.select("__row", "text").mapInArrow(asked, "__row long, name binary").join(patterns, "name")
+        docs = docs.join(met.groupBy("__row").agg(F.collect_list("name").alias("__good")), "__row", "left")
     return docs.mapInArrow(run, f"{fields}, spans array<struct<kind:string,start:int,end:int,found:boolean>>")
 
 
