@@ -190,6 +190,36 @@ def test_pii_joins_contexts_that_are_many(spark):
     assert plain == joined and len(joined) == len(rows) and sum("found=True" in x for x in joined) == 3
 
 
+def test_pii_reaches_contexts_without_seeds(spark):
+    rows = [(k, f"please call us at +1 (555) 555-{1000 + k} for more") for k in range(60)]
+    rows += [(100 + k, f"please call us at 555019{k} for more. Later the desk answers 555019{k} every day") for k in range(8)]
+    rows += [(200, "In May the desk answers 5550777 every day")]
+    got = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[200] == "In May the desk answers [phone] every day"
+
+
+def test_pii_finds_what_is_written_with_spaces(spark):
+    rows = [(k, f"please call us at +1 (555) 555-{1000 + k} for more") for k in range(30)]
+    valid = [c for c in (f"4111 1111 1111 {k}" for k in range(1000, 1200)) if pii.luhn(c.replace(" ", ""))]
+    rows += [(50 + k, f"we charge my card {c} today") for k, c in enumerate(valid)]
+    rows += [(100, "please call us at (555) 555-1234 for more"), (101, "please call us at 555 123 4567 for more"), (102, "we charge my card 4111 1111 1111 1112 today")]
+    rows += [(103, "please call us at 555 123 4567 2020 2021 2022 times"), (104, "in 2019 2020 2021 they won 12 (3) 45"), (105, "please call us at 555, 123 or 4567 for more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert got[100] == got[101] == "please call us at [phone] for more"
+    assert got[102] == "we charge my card [card] today"
+    assert got[103] == "please call us at [phone] 2020 2021 2022 times"
+    assert [got[k] for k in (104, 105)] == [dict(rows)[k] for k in (104, 105)]
+    for spans in (r["spans"] for r in pii.find_pii(docs, few=0).collect()):
+        ends = sorted((s["start"], s["end"]) for s in spans)
+        assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+
+
+def test_pii_runs_take_time_in_proportion():
+    text = "12 34 " * 50_000
+    assert len(pii.candidates(text, [], True)) < 20 * 100_000
+
+
 def test_toxicity_learns_from_documents(spark, nothing):
     r = random.Random(4)
     calm = lambda n: " ".join(r.choices(["alpha", "beta", "gamma", "delta", "omega", "sigma"], k=n)) + ". "

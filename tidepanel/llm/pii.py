@@ -25,6 +25,8 @@ _MARKED = re.compile(r"[^\s]*[0-9@][^\s]*")
 _TRIM = "\"'.,;:!?()[]{}<>*#%&$|"
 _BEFORE = re.compile(r"(\S+)\s+(\S+)\s*\Z|(\S+)\s*\Z")
 _AFTER = re.compile(r"\s*(\S+)")
+_PIECE = re.compile(r"\+?[0-9][0-9().+-]*")
+_GAP = re.compile(r"\)?[\x20\t\xa0]\(?")
 
 
 def luhn(digits: str) -> bool:
@@ -79,7 +81,7 @@ def shape(token: str) -> str:
         return "other"
     if token.count(".") == 3 or token.count(":") >= 3:
         return "ip"
-    return "card" if 12 <= digits <= 19 else "phone" if 7 <= digits <= 11 else "other"
+    return digits_kind(digits)
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:
@@ -91,10 +93,43 @@ def contexts(text: str, start: int, end: int) -> list[str]:
     return [f"{clean(before and before[1])} {one} _", f"{one} _ {clean(after and after[1])}"]
 
 
-def candidates(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Tokens with a digit or @ outside the known spans, trimmed, with the kind they could be."""
+def digits_kind(n: int) -> str:
+    return "card" if 12 <= n <= 19 else "phone" if 7 <= n <= 11 else "other"
+
+
+def joined(text: str, pieces: list[tuple[int, int]]) -> tuple[str, int, int]:
+    """Adjacent tokens as one candidate, with a parenthesis whose other half is in it."""
+    start, end = pieces[0][0], pieces[-1][1]
+    n = sum(c in "0123456789" for c in text[start:end])
+    if start and text[start - 1] == "(" and ")" in text[start:end]:
+        start -= 1
+    if text[start:end].count("(") > text[start:end].count(")") and text[end : end + 1] == ")":
+        end += 1
+    return digits_kind(n), start, end
+
+
+def candidates(text: str, spans: list[tuple[str, int, int]], parts: bool = False) -> list[tuple[str, int, int]]:
+    """What has a digit or @ outside the known spans, with the kind it could be: tokens, trimmed, and runs of adjacent tokens of digits
+    that could be a card or a phone. Tokens in such a run that are of no kind themselves are left out. With parts, what could be
+    one inside a run comes too."""
     taken = sorted((s, e) for _, s, e in spans)
     out, k = [], 0
+    run: list[tuple[int, int]] = []
+
+    def end_run() -> None:
+        whole = joined(text, run) if len(run) > 1 else ("other", 0, 0)
+        for s, e in run:
+            kind = shape(text[s:e])
+            if kind != "other" or whole[0] == "other":
+                out.append((kind, s, e))
+        if whole[0] != "other":
+            out.append(whole)
+        for i in range(len(run) - 1 if parts else 0):
+            for j in range(i + 2, min(len(run), i + 19) + 1):  # each has a digit, and 19 are the most
+                if j - i < len(run) and (part := joined(text, run[i:j]))[0] != "other":
+                    out.append(part)
+        run.clear()
+
     for m in _MARKED.finditer(text):
         token = m[0].strip(_TRIM)
         if not token:
@@ -105,7 +140,35 @@ def candidates(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str,
             k += 1
         if k < len(taken) and taken[k][0] < end:
             continue
-        out.append((shape(token), start, end))
+        piece = _PIECE.fullmatch(token)
+        if run and not (piece and start - run[-1][1] <= 3 and _GAP.fullmatch(text, run[-1][1], start)):
+            end_run()
+        if piece:
+            run.append((start, end))
+        else:
+            out.append((shape(token), start, end))
+    end_run()
+    return out
+
+
+def longest(found: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Of spans that overlap, the longest, of these the first."""
+    out, group, reach = [], [], 0
+
+    def end_group() -> None:
+        chosen: list[tuple[str, int, int]] = []
+        for x in sorted(group, key=lambda x: (x[1] - x[2], x[1], x[0])):
+            if all(x[2] <= s or e <= x[1] for _, s, e in chosen):
+                chosen.append(x)
+        out.extend(chosen)
+        group.clear()
+
+    for x in sorted(found, key=lambda x: x[1]):
+        if x[1] >= reach:
+            end_group()
+        group.append(x)
+        reach = max(reach, x[2])
+    end_group()
     return out
 
 
@@ -134,11 +197,16 @@ def bootstrap(graph: DataFrame, rounds: int = 3, confidence: float = 0.8, suppor
 
     A pattern's confidence for a kind is the share, by trust, of its occurrences that are of that kind; seeds have trust 1 and other
     instances the noisy-or of the trusted patterns they occur in. A trusted pattern has at least `support` trusted instances and
-    `confidence`; all of them are kept.
+    `confidence`; all of them are kept, also those that no seed stands in and only found instances lead to.
     """
-    totals = graph.groupBy("pattern").agg(F.sum("n").alias("all"), F.count_if("seed").alias("seeds")).where(F.col("seeds") >= 1)
-    edges = cut(graph.join(totals, "pattern").where(F.col("kind").isin(*KINDS)))
-    trust = edges.where("seed").select("kind", "instance").distinct().withColumn("trust", F.lit(1.0))
+    graph = cut(graph)
+    # only what could be trusted if all of its instances were; this drops no pattern that a later round can reach
+    totals = graph.groupBy("pattern").agg(F.sum("n").alias("all"))
+    able = graph.where(F.col("kind").isin(*KINDS)).groupBy("pattern", "kind").agg(F.sum("n").alias("own"), F.count("*").alias("most")).where(F.col("most") >= support)
+    able = able.join(totals, "pattern").where(F.col("own") / F.col("all") >= confidence).select("pattern", "kind", "all")
+    edges = cut(graph.join(able, ["pattern", "kind"]))
+    seeds = cut(graph.where("seed").select("kind", "instance").distinct().withColumn("trust", F.lit(1.0)))
+    trust = seeds
     patterns = None
     for k in range(rounds):
         scored = edges.join(trust, ["kind", "instance"], "left").withColumn("trust", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("trust", F.lit(0.0))))
@@ -149,7 +217,7 @@ def bootstrap(graph: DataFrame, rounds: int = 3, confidence: float = 0.8, suppor
         )
         if k < rounds - 1:
             found = edges.where(~F.col("seed")).join(patterns.select("pattern", "kind", "confidence"), ["pattern", "kind"]).groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("trust"))
-            trust = cut(edges.where("seed").select("kind", "instance").distinct().withColumn("trust", F.lit(1.0)).unionByName(found).groupBy("kind", "instance").agg(F.max("trust").alias("trust")))
+            trust = cut(seeds.unionByName(found).groupBy("kind", "instance").agg(F.max("trust").alias("trust")))
     return patterns
 
 
@@ -161,7 +229,8 @@ def named(kind: str, pattern: str) -> bytes:
 def find_pii(docs: DataFrame, few: int = 500_000, **settings) -> DataFrame:
     """docs with spans: array of (kind, start, end, found), by kind as in KINDS, then start; offsets in code points, end exclusive.
 
-    Known forms come first; found spans are tokens of a fitting shape in a trusted context, and never overlap known ones.
+    Known forms come first; found spans are tokens, or adjacent tokens of digits, of a fitting shape in a trusted context. They never
+    overlap known ones or each other: the longest stays.
     A null text has no spans; repeated rows give repeated results (and their contexts count again); an empty table gives no rows;
     a column named spans is replaced, other columns stay. Patterns learn from all documents. Up to `few` trusted patterns are broadcast,
     16 bytes each, and scanning needs no shuffle; more are joined with the candidates, with the same result, and the documents are
@@ -179,9 +248,8 @@ def find_pii(docs: DataFrame, few: int = 500_000, **settings) -> DataFrame:
         base = base_spans(text)
         spans = [(k, s, e, False) for k, s, e in base]
         if good:
-            for k, s, e in candidates(text, base):
-                if k in KINDS and any(named(k, c) in good for c in contexts(text, s, e)):
-                    spans.append((k, s, e, True))
+            met = [(k, s, e) for k, s, e in candidates(text, base, True) if k in KINDS and any(named(k, c) in good for c in contexts(text, s, e))]
+            spans += [(*x, True) for x in longest(met)]
             spans.sort(key=lambda x: (KINDS.index(x[0]), x[1]))
         return [{"kind": k, "start": s, "end": e, "found": f} for k, s, e, f in spans]
 
@@ -199,7 +267,7 @@ def find_pii(docs: DataFrame, few: int = 500_000, **settings) -> DataFrame:
             rows, wanted = [], []
             for row, t in zip(batch.column("__row").to_pylist(), batch.column("text")):
                 text = t.as_py() or ""
-                own = {named(k, c) for k, s, e in candidates(text, base_spans(text)) if k in KINDS for c in contexts(text, s, e)}
+                own = {named(k, c) for k, s, e in candidates(text, base_spans(text), True) if k in KINDS for c in contexts(text, s, e)}
                 rows += [row] * len(own)
                 wanted += own
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(wanted, pa.binary())], ["__row", "name"])
