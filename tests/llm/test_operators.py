@@ -277,3 +277,10 @@ def test_pipeline_stages(spark, tmp_path, docs):
         if k < len(corpus_pipeline.STAGES) - 1:
             assert left.columns == docs.columns, name
     assert left.count() > 0
+
+
+def test_few_vectors_have_all_neighbours(spark):
+    for n in (18, 30):
+        rows = [(k, v.tolist()) for k, v in enumerate(np.random.default_rng(n).normal(size=(n, 8)))]
+        got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=1).toPandas()
+        assert (got.groupby("query_id").size() == min(20, n - 1)).all() and got["query_id"].nunique() == n

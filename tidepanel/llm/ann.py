@@ -29,6 +29,8 @@ class Index:
     ratio: float = 1.0
     copies: int = 4
     spread: float = 1.15
+    held: np.ndarray | None = None  # ids of the sample by their nearest list
+    least: int = 0
 
     def lift(self, x: np.ndarray) -> np.ndarray:
         x = x.astype(np.float32)
@@ -86,9 +88,12 @@ class Index:
         return row, ids[row, at]
 
     def probes(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list): the lists at most `ratio` times as far as the nearest one."""
+        """(row, list): the lists at most `ratio` times as far as the nearest one, and more until they hold `least` ids."""
         ids, dist = self.nearest(self.ask(q), len(self.centroids))
-        row, at = np.nonzero(dist <= self.ratio * np.maximum(dist[:, :1], 1e-12))
+        wanted = dist <= self.ratio * np.maximum(dist[:, :1], 1e-12)
+        if self.held is not None:
+            wanted |= np.cumsum(self.held[ids], axis=1) - self.held[ids] < self.least
+        row, at = np.nonzero(wanted)
         return row, ids[row, at]
 
 
@@ -174,6 +179,9 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, lists: int = 128, s
     facts = vectors.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v)).alias("top"), F.count("*").alias("n")).first()
     points = np.stack([np.asarray(v, np.float32) for v in drawn["embedding"] if len(v) == length])
     index = build(points, float(facts["top"]) ** 0.5, lists, recall)
+    fitting = drawn[drawn["embedding"].map(len) == length]["vec_id"].to_numpy()
+    row, at = index.lists_of(points[np.unique(fitting, return_index=True)[1]])
+    index.held, index.least = np.bincount(at[np.unique(row, return_index=True)[1]], minlength=len(index.centroids)), k + 1
     shared = spark.sparkContext.broadcast(index)  # `lists` centroids
     # the blocks of a list are as many as its share of the sample asks for; copies of one vector can make it longer, which hashing spreads as well
     row, at = index.lists_of(points)
