@@ -284,3 +284,9 @@ def test_few_vectors_have_all_neighbours(spark):
         rows = [(k, v.tolist()) for k, v in enumerate(np.random.default_rng(n).normal(size=(n, 8)))]
         got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=1).toPandas()
         assert (got.groupby("query_id").size() == min(20, n - 1)).all() and got["query_id"].nunique() == n
+
+
+def test_unknown_sections_do_not_end_a_page():
+    for odd in ("<![foo[ x>", "<![ x>", "<![>"):
+        page = f"<article><p>The first text goes on for a while.</p>{odd}<p>The second text goes on for a while.</p></article>"
+        assert html_extract.main_text(page).count("goes on") == 2, odd

@@ -98,6 +98,12 @@ class Lines(HTMLParser):
         if not self.skip:
             self.text.append(data)
 
+    def parse_marked_section(self, i, report=1):
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:  # not a section that the parser knows: up to the next >, as browsers do
+            return self.parse_bogus_comment(i)
+
     def close(self):
         super().close()
         self.end_line()
