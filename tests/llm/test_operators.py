@@ -290,3 +290,14 @@ def test_unknown_sections_do_not_end_a_page():
     for odd in ("<![foo[ x>", "<![ x>", "<![>"):
         page = f"<article><p>The first text goes on for a while.</p>{odd}<p>The second text goes on for a while.</p></article>"
         assert html_extract.main_text(page).count("goes on") == 2, odd
+
+
+def test_one_of_each_keeps_one_row(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, long), (None, long), (None, long + " more"), (5, long.upper() + " a b c d e f"), (9, "x y z"), (9, "x y z"), (None, "p q r s t"), (None, "p q r s t"), (None, ""), (None, ""), (3, None)]
+    other = " ".join(f"v{k}" for k in range(60))
+    rows += [(7, other), (7, other + " more"), (8, other)]
+    kept = [tuple(r) for r in ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert [r for r in kept if r[1] and r[1].lower().startswith("w0 ")] == [rows[3]]
+    assert sum(bool(r[1]) and r[1].startswith("v0 ") for r in kept) == 1 and kept.count((None, "p q r s t")) == kept.count((9, "x y z")) == 1
+    assert kept.count((None, "")) == 2 and kept.count((3, None)) == 1 and len(kept) == 7

@@ -308,18 +308,21 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFra
     return (
         named.join(ids, "class", "left")
         .withColumn("component_id", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("low") < LAST, F.col("low"))))
-        .select("did", "key", "doc_id", "node", F.col("n").alias("n_shingles"), "component_id")
+        .select("did", "key", "doc_id", "node", F.col("n").alias("n_shingles"), "component_id", "class")
     )
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs without near-duplicates: of each component the row of smallest id stays (of rows that repeat that id, one)."""
+    """The rows of docs without near-duplicates: of each component one row stays, of the smallest id, null last, then hash of the text. Rows
+    without words are no duplicates; of those that repeat an id, one stays."""
     found = similar_documents(docs, n, percent)
     text = F.coalesce(F.col("text"), F.lit(""))
-    first = found.where((F.col("n_shingles") == 0) | (F.col("did") == F.coalesce("component_id", F.lit(LAST)))).select("did", "key").distinct()
+    least = found.where("n_shingles > 0").groupBy("class").agg(F.min(F.struct("did", "key")).alias("x")).select("x.did", "x.key", F.lit(False).alias("blank"))
+    first = least.unionByName(found.where("n_shingles = 0").select("did", "key", F.lit(True).alias("blank")).distinct())
     names = docs.columns
     keyed = docs.withColumn("__did", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("__key", F.xxhash64(text))
-    kept = keyed.join(first, (F.col("__did") == first["did"]) & (F.col("__key") == first["key"]), "left_semi")
-    # of rows that repeat an id and a text, and of those with an id only, one
+    first = first.select(F.col("did").alias("__did"), F.col("key").alias("__key"), F.col("blank").alias("__blank"))
+    kept = keyed.join(first, ["__did", "__key"])
+    # of rows that repeat an id and a text one, but all of those with neither id nor words
     row = Window.partitionBy("__did", "__key").orderBy(*[F.col(f"`{c}`") for c in names if c != "text"])
-    return kept.withColumn("__row", F.row_number().over(row)).where((F.col("__row") == 1) | (F.col("__did") == LAST)).select(*[f"`{c}`" for c in names])
+    return kept.withColumn("__row", F.row_number().over(row)).where((F.col("__row") == 1) | F.col("__blank") & (F.col("__did") == LAST)).select(*[f"`{c}`" for c in names])
