@@ -101,9 +101,24 @@ def test_divide_skip_counts_exactly():
     for _ in range(200):
         lists = [np.unique(r.integers(0, 40, r.integers(1, 60))) for _ in range(r.integers(1, 12))]
         t = int(r.integers(1, 6))
-        ids, n = ngram_join.divide_skip(lists, t)
         count = np.bincount(np.concatenate(lists), minlength=40)
-        assert dict(zip(ids.tolist(), n.tolist())) == {i: int(c) for i, c in enumerate(count) if c >= t}
+        assert dict(ngram_join.divide_skip(lists, t)) == {i: int(c) for i, c in enumerate(count) if c >= t}
+        assert dict(ngram_join.divide_skip([x.tolist() for x in lists], t, 0.9)) == {i: int(c) for i, c in enumerate(count) if c >= t}
+
+
+def test_linked_sets_share_a_signature():
+    r = np.random.default_rng(9)
+    for n in [*range(1, 40), 100, 333]:
+        for _ in range(20):
+            names = np.unique(r.integers(0, 1 << 62, 3 * n + 9).astype(np.uint64))
+            names = r.permutation(names)
+            size = int(r.integers(n, n * 5 // 4 + 1))
+            both = -(-80 * (n + size) // 180)  # the least overlap of a link
+            if both > n:
+                continue
+            a, b = names[:n], np.concatenate([names[:both], names[n : n + size - both]])
+            signed, who = ngram_join.signatures([np.sort(a), np.sort(b)], 80)
+            assert set(signed[who == 0].tolist()) & set(signed[who == 1].tolist()), (n, size)
 
 
 def test_bpe_equals_tiktoken(docs, nothing):

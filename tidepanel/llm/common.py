@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
+import tempfile
 import types
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 _SPACES = bytes([9, 10, 11, 12, 13])
 _TO_SPACE = bytes(0x20 if b in _SPACES else b for b in range(256))
+#: Folders that `cut` has written.
+_CUTS: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,18 +39,83 @@ def once_per_worker(key, make):
     return kept[key]
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Only a session on this machine alone may do without the setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return once_per_worker("folder", lambda: tempfile.mkdtemp(prefix="cuts-"))
+    raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and reads it back, so that nothing before it runs again
-    and the loss of an executor costs no more than a read."""
+    and the loss of an executor costs no more than a read. `drop_cuts` removes what was written."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "/tmp/checkpoints"
-    path = f"{base}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    _CUTS.append(path)
+    df.write.option("parquet.block.size", 32 << 20).parquet(path)
     return spark.read.parquet(path)
 
 
+def drop_cuts(spark: SparkSession) -> None:
+    """Deletes all that `cut` has written from this driver; to be called once results are stored."""
+    jvm = spark.sparkContext._jvm
+    while _CUTS:
+        path = jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dominant(df: DataFrame, key: str, share: int = 2000) -> DataFrame:
+    """The values of key that at least one row in `share` has: no more than `share` of them, whatever df's size."""
+    counts = df.groupBy(key).agg(F.count("*").alias("__n"))
+    total = df.count()
+    return counts.where(F.col(key).isNotNull() & (F.col("__n") * share >= total)).select(key)
+
+
+def join_one(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
+    """left with the columns of right's row of the same key, null where there is none; right has one row for each key.
+
+    Rows whose key dominates left never meet in one task: the rows of right for such keys, at most as many as `dominant` gives, are
+    broadcast; all other rows are shuffled, those of dominating keys by a hash of their own."""
+    values = [c for c in right.columns if c != key]
+    hot = dominant(left, key) if hot is None else hot
+    few = F.broadcast(right.join(F.broadcast(hot), key).select(F.col(key).alias("__hot"), *[F.col(c).alias(f"__h_{c}") for c in values]))
+    wide = left.join(few, F.col(key) == F.col("__hot"), "left")
+    wide = wide.withColumn("__key", F.when(F.col("__hot").isNull(), F.col(key)))
+    wide = wide.withColumn("__deal", F.when(F.col("__key").isNull(), F.xxhash64(*[F.col(f"`{c}`") for c in left.columns])).otherwise(F.lit(0)))
+    rest = right.select(F.col(key).alias("__key"), F.lit(0).cast("long").alias("__deal"), *[F.col(c).alias(f"__r_{c}") for c in values])
+    out = wide.join(rest, ["__key", "__deal"], "left")
+    return out.select(*[F.col(f"`{c}`") for c in left.columns], *[F.coalesce(f"__h_{c}", f"__r_{c}").alias(c) for c in values])
+
+
+def maybe_among(df: DataFrame, names, members: DataFrame, rows: int, most: int = 1 << 20) -> DataFrame:
+    """df with __among: false only where the 64-bit column `names` is surely none of members' (a column `name` of `rows` values).
+
+    One bit stands for a name, with 8 bits for each member and 64 * `most` bits at the most, broadcast as at most `most` pairs of
+    numbers. Beyond some 8 * `most` members more and more others pass; nothing is ever lost."""
+    words = 1
+    while words < most and words * 8 < rows:
+        words *= 2
+    place = lambda c: F.pmod(F.xxhash64(c, F.lit(71)), F.lit(words * 64))
+    bits = members.select(place(F.col("name")).alias("at")).groupBy(F.shiftright("at", 6).alias("__word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("__bits"))
+    df = df.withColumn("__at", place(names))
+    out = df.join(F.broadcast(bits), F.shiftright("__at", 6) == F.col("__word"), "left")
+    found = F.call_function("shiftright", F.col("__bits"), (F.col("__at") % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return out.withColumn("__among", F.coalesce(found, F.lit(False))).drop("__at", "__word", "__bits")
+
+
+def free_memory() -> None:
+    """Gives a worker's freed memory back to the machine; workers outlive tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def raw_bytes(df: DataFrame, column: str = "text") -> int:
     """Total UTF-8 bytes of a text column: what numbers of buckets are derived from."""
     got = df.agg(F.sum(F.octet_length(column)).alias("b")).first()

@@ -1,28 +1,36 @@
 """Similarity join on sets of word n-grams: T-occurrence search with DivideSkip inside groups of possible partners.
 
-Sets that are equal are one node. Ordered by hash, a set's first 0.4 n grams hold at least 0.16 n of those it shares with any
-partner, so nodes that share fewer of them with others have no link. The rest form groups that no link leaves; inside a group
-inverted lists are searched exactly. A group that is too large for a task is dealt out in blocks, one task for each two blocks.
+Sets that are equal are one node. Two linked sets differ in few grams, so when hashes deal the grams of both into one part more than
+that, some part is the same in both: parts that stand in one node only lead nowhere. Nodes that share a part form groups that no
+link leaves; inside a group inverted lists are searched exactly. A group that is too large for a task is dealt out in blocks, each
+searched by itself; what its largest class leaves over is searched for in all blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from heapq import heapify, heappop, heappush
 from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, raw_bytes, spaced, word_bounds, word_hashes
+from .common import cut, dominant, free_memory, join_one, maybe_among, mix64, raw_bytes, spaced, word_bounds, word_hashes
 from .segments import LAST, joined
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Grams in a task's block.
-BLOCK = 3_000_000
+BLOCK = 750_000
+#: Signatures that a worker gathers before it sends them on.
+GATHERED = 1_000_000
+#: How often a set is dealt out anew when too many of its parts are empty.
+DEALS = 64
 
 
 def shingle_sets(texts: list[bytes], n: int = 5) -> list[np.ndarray]:
@@ -54,32 +62,48 @@ def node_of(grams: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def divide_skip(lists: list[np.ndarray], t: int, mu: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
-    """Ids that stand in at least t of the sorted lists, with the number of lists.
+def divide_skip(lists: Sequence[Sequence[int]], t: int, mu: float = 0.05) -> list[tuple[int, int]]:
+    """(id, number of lists) of the ids that stand in at least t of the sorted lists.
 
-    The longest lists, fewer than t, are set apart: an id must stand in enough of the others, which are merged, before the long
-    ones are probed for it by binary search. Where all lists are short none is set apart.
+    The longest lists, fewer than t, are set apart. The others are merged on a heap of their heads; where a head stands in too few of
+    them, as many more are popped as can't make up an answer either, and all of these skip to the next head by binary search. An id
+    that stands in enough of the short lists is looked up in each long one. Where all lists are short none is set apart.
     """
-    none = np.zeros(0, np.int64)
     if len(lists) < t:
-        return none, none
+        return []
     lists = sorted(lists, key=len)
     longest = len(lists[-1])
     long = min(t - 1, int(t / (mu * log(longest) + 1))) if longest > 8 else 0
-    short = np.sort(np.concatenate(lists[: len(lists) - long]), kind="stable")  # a merge of sorted runs
-    at = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]]))
-    ids, n = short[at], np.diff(np.append(at, len(short)))
-    keep = n >= t - long
-    ids, n = ids[keep], n[keep]
-    for k, probed in enumerate(lists[len(lists) - long :]):
-        if not len(ids):
-            break
-        at = np.minimum(np.searchsorted(probed, ids), len(probed) - 1)
-        n = n + (probed[at] == ids)
-        keep = n + (long - k - 1) >= t
-        if not keep.all():
-            ids, n = ids[keep], n[keep]
-    return ids, n
+    short, probed = lists[: len(lists) - long], lists[len(lists) - long :]
+    short = [x.tolist() if isinstance(x, np.ndarray) else x for x in short]
+    need, out, at = t - long, [], [0] * len(short)
+    heap = [(x[0], k) for k, x in enumerate(short) if len(x)]
+    heapify(heap)
+    while len(heap) >= need:
+        value = heap[0][0]
+        popped = []
+        while heap and heap[0][0] == value:
+            popped.append(heappop(heap)[1])
+        if len(popped) >= need:
+            n = len(popped)
+            for x in probed:
+                k = bisect_left(x, value)
+                n += k < len(x) and x[k] == value
+            if n >= t:
+                out.append((value, n))
+            for k in popped:
+                at[k] += 1
+        else:
+            while heap and len(popped) < need - 1:
+                popped.append(heappop(heap)[1])
+            if not heap:
+                break
+            for k in popped:
+                at[k] = bisect_left(short[k], heap[0][0], at[k])
+        for k in popped:
+            if at[k] < len(short[k]):
+                heappush(heap, (short[k][at[k]], k))
+    return out
 
 
 @dataclass
@@ -97,6 +121,39 @@ class Roots:
         self.parent[max(i, j)] = min(i, j)
 
 
+class Inverted:
+    """Inverted lists over sets, by gram."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        grams = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        by = np.argsort(grams, kind="stable")
+        self.grams, self.who = grams[by], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[by]
+
+    def without_private(self, owner: np.ndarray) -> None:
+        """Drops the lists that sets of one owner only are in."""
+        if not len(self.grams):
+            return
+        new = np.flatnonzero(np.concatenate([[True], self.grams[1:] != self.grams[:-1]]))
+        mixed = np.minimum.reduceat(owner[self.who], new) != np.maximum.reduceat(owner[self.who], new)
+        keep = np.repeat(mixed, np.diff(np.append(new, len(self.grams))))
+        self.grams, self.who = self.grams[keep], self.who[keep]
+
+    def search(self, grams: np.ndarray, t: int) -> list[tuple[int, int]]:
+        low, high = np.searchsorted(self.grams, grams), np.searchsorted(self.grams, grams, "right")
+        if np.count_nonzero(high > low) < t:
+            return []
+        return divide_skip([self.who[a:b] for a, b in zip(low.tolist(), high.tolist()) if b > a], t)
+
+
+def needed(n: int, percent: int) -> int:
+    """The least overlap of a set of n grams with any partner."""
+    return -(-percent * n // 100)
+
+
+def fits(a: int, b: int, both: int, percent: int) -> bool:
+    return 100 * both >= percent * (a + b - both)
+
+
 def linked(sets: list[np.ndarray], percent: int = 80) -> list[int]:
     """For each set the smallest number of a set that links reach. Every link between different components so far is looked for.
 
@@ -106,20 +163,15 @@ def linked(sets: list[np.ndarray], percent: int = 80) -> list[int]:
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), i))
     roots = Roots(list(range(len(sets))))
     size = [len(s) for s in sets]
-    need = lambda i: -(-percent * size[i] // 100)  # noqa: E731  overlap with any partner
-    fits = lambda i, j, n: 100 * n >= percent * (size[i] + size[j] - n)
     leaders: dict[int, list[int]] = {}
     rank: list[int] = []
     for i in order:
         grams = sets[i].tolist()
-        found = [x for x in map(leaders.get, grams) if x]
         hit = False
-        if len(found) >= need(i):
-            ids, n = divide_skip([np.array(x) for x in found], need(i)) if len(rank) > 1 else (np.zeros(1, np.int64), np.array([len(found)]))
-            for k, both in zip(ids.tolist(), n.tolist()):
-                if fits(i, rank[k], both):
-                    roots.join(i, rank[k])
-                    hit = True
+        for k, both in divide_skip([x for x in map(leaders.get, grams) if x], needed(size[i], percent)):
+            if fits(size[i], size[rank[k]], both, percent):
+                roots.join(i, rank[k])
+                hit = True
         if not hit:
             rank.append(i)
             for g in grams:
@@ -128,149 +180,197 @@ def linked(sets: list[np.ndarray], percent: int = 80) -> list[int]:
     own = np.array([roots.find(i) for i in range(len(sets))])
     names, at, counts = np.unique(own, return_inverse=True, return_counts=True)
     if len(names) > 1:
-        grams = np.concatenate(sets)
-        who = np.repeat(np.arange(len(sets)), size)
-        by = np.argsort(grams, kind="stable")
-        grams, who = grams[by], who[by]
-        new = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
-        mixed = np.minimum.reduceat(at[who], new) != np.maximum.reduceat(at[who], new)
-        keep = np.repeat(mixed, np.diff(np.append(new, len(grams))))
-        grams, who = grams[keep], who[keep]
-        biggest = int(np.argmax(counts))
-        for i in np.flatnonzero(at != biggest).tolist():
-            low, high = np.searchsorted(grams, sets[i]), np.searchsorted(grams, sets[i], "right")
-            if np.count_nonzero(high > low) < need(i):
-                continue
-            ids, n = divide_skip([who[a:b] for a, b in zip(low.tolist(), high.tolist()) if b > a], need(i))
-            for k, both in zip(ids.tolist(), n.tolist()):
-                if k != i and fits(i, k, both):
+        lists = Inverted(sets)
+        lists.without_private(at)
+        for i in np.flatnonzero(at != int(np.argmax(counts))).tolist():
+            for k, both in lists.search(sets[i], needed(size[i], percent)):
+                if k != i and fits(size[i], size[k], both, percent):
                     roots.join(i, k)
     return [roots.find(i) for i in range(len(sets))]
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(a, b) -> (node, root): the smallest node that edges reach. Labels go to neighbours and on to the labels themselves; each round is cut."""
+    """(a, b) -> (node, root): the smallest node that edges reach. Labels go to neighbours and on to the labels themselves; each round is cut.
+    Nodes and labels that dominate are joined by broadcast."""
     both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "node"))
+    hot = cut(dominant(both, "b"))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("low"))
+        near = join_one(both, labels.withColumnRenamed("node", "b"), "b", hot).groupBy("a").agg(F.min("root").alias("low"))
         # the label of a label shortens chains
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        new = cut(labels.join(near, labels["node"] == near["a"]).join(jump, "root", "left").select("node", "root", F.least("root", "low", F.coalesce("next", "root")).alias("now")))
+        new = cut(join_one(labels, jump, "root").join(near, F.col("node") == F.col("a")).select("node", "root", F.least("root", "low", F.coalesce("next", "root")).alias("now")))
         changed = new.where("now < root").limit(1).count()
         labels = new.select("node", F.col("now").alias("root"))
         if not changed:
             return labels
 
 
-def _prefix(n: int, percent: int) -> int:
-    """Grams of a set that are compared first."""
-    return min(n, n - -(-percent * n // 100) + max(1, n // 5))
+def size_classes(most: int, percent: int) -> list[int]:
+    """First sizes of classes, so that the partners of a set are in its own class or in those beside it."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(out[-1] * 100 // percent + 1)
+    return out
+
+
+def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, number of the set): names of the parts of each set; any two linked sets have at least one in common.
+
+    A set deals its grams into parts for its own size class, where partners have at most the next class's sizes, and for the class
+    before. Linked sets differ in at most `apart` grams, so all but that many parts are the same. A part without grams says nothing
+    and has no signature: a set with so many of those that they could be all that is the same is dealt out again by another hash,
+    and so are its partners if the same holds for them.
+    """
+    size = np.array([len(s) for s in sets], np.int64)
+    have = np.flatnonzero(size)
+    out_s, out_w = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    if not len(have):
+        return out_s[0], out_w[0]
+    bounds = np.array(size_classes(int(size.max()), percent), np.int64)
+    own = np.searchsorted(bounds, size, "right") - 1
+    for before in (0, 1):
+        who = have[own[have] >= before]
+        for deal in range(DEALS + 1):
+            if not len(who):
+                break
+            kind = own[who] - before
+            apart = (np.append(bounds, bounds[-1] * 100 // percent + 1)[kind + 1] - 1) * (100 - percent) // percent
+            parts = apart + 1 + -(-apart * 12 // 100)
+            if deal == DEALS:  # as good as never: sets that no hash spreads are all compared
+                parts = np.ones(len(who), np.int64)
+            grams = mix64(np.concatenate([sets[i] for i in who.tolist()]) + np.uint64(0x9E3779B97F4A7C15 * (deal + 1) & 0xFFFFFFFFFFFFFFFF))
+            base = np.cumsum(parts) - parts
+            n = size[who]
+            cell = np.repeat(base, n) + ((grams >> np.uint64(20)) % np.repeat(parts, n).astype(np.uint64)).astype(np.int64)
+            sums = np.zeros(int(parts.sum()), np.uint64)
+            if deal == DEALS:
+                some = np.ones(len(sums), np.bool_)
+            else:
+                np.add.at(sums, cell, grams)
+                some = np.bincount(cell, minlength=len(sums)) > 0
+            row = np.repeat(np.arange(len(who)), parts)
+            number = np.arange(len(sums)) - base[row]
+            salt = (kind[row] * (DEALS + 1) + deal) * (1 << 40) + number
+            out_s.append(mix64(sums * np.uint64(0x9E3779B97F4A7C15) ^ mix64(salt.astype(np.uint64)))[some])
+            out_w.append(who[row[some]])
+            who = who[np.add.reduceat(some.astype(np.int64), base) < apart + 1]
+    return np.concatenate(out_s), np.concatenate(out_w)
+
+
+def stars(names: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each name its smallest node (name, node), and the distinct pairs (node, smallest node) of the others."""
+    order = np.argsort(names, kind="stable")
+    names, nodes = names[order], nodes[order]
+    at = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, np.int64)
+    if not len(at):
+        return names, nodes, nodes, nodes
+    low = np.minimum.reduceat(nodes, at)
+    center = np.repeat(low, np.diff(np.append(at, len(names))))
+    other = nodes != center
+    pairs = np.unique(np.stack([nodes[other], center[other]], 1), axis=0)
+    return names[at], low, pairs[:, 0], pairs[:, 1]
 
 
 def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """did, key, doc_id, node, n_shingles, component_id for each row of docs: documents whose sets of word n-grams have a Jaccard similarity
-    of at least percent / 100 are linked, equal sets included; a component is what links reach, named by its smallest id.
+    """did, key, doc_id, node, n_shingles, component_id, first for each row of docs: documents whose sets of word n-grams have a Jaccard
+    similarity of at least percent / 100 are linked, equal sets included; a component is what links reach, named by its smallest id.
 
     Words are lower-cased in A-Z. A text with fewer than n words has its whole sequence as one gram; a null text or one without words has
     none and is linked with nothing. Rows with a null doc_id take part and count as larger than all; a component of such rows only has a
-    null component_id. Repeated rows are equal sets. An empty table gives no rows; other columns are ignored. Grams are compared by
-    64-bit names, sets by 64-bit digests.
+    null component_id. `first` is (did, key), id and hash of the text, of the component's first row, null without words. Repeated rows
+    are equal sets. An empty table gives no rows; other columns are ignored. Grams are compared by 64-bit names, sets by 64-bit digests.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), F.xxhash64(text).alias("key"), text.cast("binary").alias("data"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    raw = raw_bytes(docs)
-    buckets = max(8, raw // (8 << 20) + 1)
+    buckets = max(8, raw_bytes(docs) // (16 << 20) + 1)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of kind 0: a document's node and size. Rows of kind 1: a bucket's grams with their nodes and sizes."""
+        for batch in batches:
+            sets = shingle_sets(batch.column("data").to_pylist(), n)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "did", "key", "node", "n"])
+        free_memory()
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Signatures with their nodes, by bucket; of those that several of the gathered nodes have, only the smallest node, and pairs
+        of it with the others go through any bucket. So what many nodes share is not many in its bucket."""
         seen: set[int] = set()
-        held: list[tuple[np.ndarray, int, int]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def packed():
             if not held:
                 return
-            grams = np.concatenate([h[0] for h in held])
-            owner = np.repeat(np.arange(len(held)), [len(h[0]) for h in held])
-            nodes, sizes = np.array([h[1] for h in held], np.int64), np.array([h[2] for h in held], np.int64)
-            bucket = (grams >> np.uint64(7)) % np.uint64(buckets)
+            names, nodes, left, right = stars(*(np.concatenate([h[k] for h in held]) for k in range(2)))
+            bucket = ((names >> np.uint64(7)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            bucket, grams, owner = bucket[order].astype(np.int64), grams[order], owner[order]
+            bucket, names, nodes = bucket[order], names[order], nodes[order]
             at = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-            blobs = []
-            for a, b in zip(at[:-1], at[1:]):
-                used, index = np.unique(owner[a:b], return_inverse=True)
-                n_grams = np.bincount(index).astype(np.int32)  # grams stand by owner
-                blobs.append(np.array([len(used), b - a], np.int64).tobytes() + nodes[used].tobytes() + sizes[used].astype(np.int32).tobytes() + n_grams.tobytes() + grams[a:b].tobytes())
-            none = pa.nulls(len(blobs), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(blobs), doc_kind), none, none, none, none, pa.array(bucket[at[:-1]], pa.int32()), pa.array(blobs, pa.binary())], names)
-
-        names = ["doc_id", "did", "key", "node", "n", "bucket", "blob"]
+            blobs = [names[a:b].tobytes() + nodes[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
+            where = bucket[at[:-1]].tolist()
+            pairs = [left[k : k + 20_000].tobytes() + right[k : k + 20_000].tobytes() for k in range(0, len(left), 20_000)]
+            yield pa.RecordBatch.from_arrays([pa.array(where + [(where[0] + k) % buckets for k in range(len(pairs))], pa.int32()), pa.array([False] * len(blobs) + [True] * len(pairs)), pa.array(blobs + pairs, pa.binary())], ["bucket", "paired", "blob"])
+
         for batch in batches:
-            doc_kind = batch.schema.field("doc_id").type
             sets = shingle_sets(batch.column("data").to_pylist(), n)
-            nodes = [node_of(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names)
-            for s, node in zip(sets, nodes):
-                if len(s) and node not in seen:
+            new, nodes = [], []
+            for s in sets:
+                if len(s) and (node := node_of(s)) not in seen:
                     seen.add(node)
-                    part = s[: _prefix(len(s), percent)]
-                    held.append((part, node, len(s)))
-                    size += len(part)
-            if size > 1_500_000:
+                    new.append(s)
+                    nodes.append(node)
+            names, who = signatures(new, percent)
+            held.append((names, np.array(nodes, np.int64)[who]))
+            size += len(names)
+            if size > GATHERED:
                 yield from packed()
                 held, size = [], 0
-            if len(seen) > 2_000_000:
+            if len(seen) > 200_000:
                 seen.clear()
         yield from packed()
+        held.clear()
+        free_memory()
 
     def meet(group: pa.Table) -> pa.Table:
-        """Of a bucket: how many grams each node shares with others, by the smallest node that has the gram too."""
-        grams, nodes, sizes = [], [], []
-        for blob in group["blob"].to_pylist():
-            k, m = (int(x) for x in np.frombuffer(blob, np.int64, 2))
-            count = np.frombuffer(blob, np.int32, k, 16 + 12 * k)
-            nodes.append(np.repeat(np.frombuffer(blob, np.int64, k, 16), count))
-            sizes.append(np.repeat(np.frombuffer(blob, np.int32, k, 16 + 8 * k), count))
-            grams.append(np.frombuffer(blob, np.uint64, m, 16 + 16 * k))
-        grams, nodes, sizes = np.concatenate(grams), np.concatenate(nodes), np.concatenate(sizes)
-        order = np.lexsort((nodes, grams))
-        grams, nodes, sizes = grams[order], nodes[order], sizes[order]
-        once = np.concatenate([[True], (grams[1:] != grams[:-1]) | (nodes[1:] != nodes[:-1])])
-        grams, nodes, sizes = grams[once], nodes[once], sizes[once]
-        head = np.concatenate([[True], grams[1:] != grams[:-1]])
-        at = np.flatnonzero(head)
-        length = np.diff(np.append(at, len(grams)))
-        several = np.repeat(length > 1, length)
-        nodes, center, sizes = nodes[several], np.repeat(nodes[at], length)[several], sizes[several]
-        order = np.lexsort((center, nodes))
-        nodes, center, sizes = nodes[order], center[order], sizes[order]
-        first = np.flatnonzero(np.concatenate([[True], (nodes[1:] != nodes[:-1]) | (center[1:] != center[:-1])])) if len(nodes) else np.zeros(0, np.int64)
-        return pa.table({"node": nodes[first], "center": center[first], "n": sizes[first].astype(np.int64), "shared": np.diff(np.append(first, len(nodes)))})
-
-    measured = cut(rows.mapInArrow(measure, f"doc_id {kind}, did long, key long, node long, n long, bucket int, blob binary"))
-    facts = measured.where(F.col("bucket").isNull()).select("doc_id", "did", "key", "node", "n")
-    shares = measured.where(F.col("bucket").isNotNull()).select("bucket", "blob").groupBy("bucket").applyInArrow(meet, "node long, center long, n long, shared long")
-    shares = cut(shares.groupBy("node", "center").agg(F.max("n").alias("n"), F.sum("shared").alias("shared")))
-    smallest = F.ceil(F.col("n") * percent / 100)
-    least = F.greatest(F.lit(1), F.least(F.floor(F.col("n") / 5), F.floor(smallest / 5)))
-    able = shares.groupBy("node").agg(F.max("n").alias("n"), F.sum("shared").alias("all"), F.count("*").alias("centers")).where(F.col("all") >= least).withColumn("least", least / F.col("centers"))
-    # of the grams two linked nodes share, some smallest node answers for at least the mean
-    edges = shares.join(able.select("node", "least"), "node").where(F.col("shared") >= F.col("least")).select(F.col("node").alias("a"), F.col("center").alias("b"))
-    groups = components(edges)
+        halves = lambda paired, kind: [(np.frombuffer(b, kind, len(b) // 16), np.frombuffer(b, np.int64, len(b) // 16, len(b) // 2)) for b in group.filter(pc.equal(group["paired"], paired))["blob"].to_pylist()]
+        found = halves(False, np.uint64)
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if found:
+            _, _, a, b = stars(*(np.concatenate([h[k] for h in found]) for k in range(2)))
+            left, right = [a], [b]
+        for a, b in halves(True, np.int64):
+            left.append(a)
+            right.append(b)
+        out = pa.table({"a": np.concatenate(left), "b": np.concatenate(right)})
+        free_memory()
+        return out
+
+    facts = cut(rows.mapInArrow(measure, f"doc_id {kind}, did long, key long, node long, n long"))
+    signed = rows.select("data").mapInArrow(sign, "bucket int, paired boolean, blob binary")
+    groups = components(signed.groupBy("bucket").applyInArrow(meet, "a long, b long"))
     # one document stands for its node
-    able = able.select("node", "n").join(groups, "node")
-    member = able.join(facts.groupBy("node").agg(F.min(F.struct("did", "key")).alias("rep")), "node").select("node", "n", "root", "rep.did", "rep.key")
+    nodes = cut(facts.groupBy("node").agg(F.min(F.struct("did", "key")).alias("rep"), F.max("n").alias("n")))
+    member = cut(groups.join(nodes, "node").select("node", "root", "n", "rep.did", "rep.key"))
+    labels = cut(_classes(rows, member, n, percent))
+    # each node's class, and each class's first row
+    known = cut(nodes.where("n > 0").join(labels, "node", "left").select("node", F.coalesce("class", "node").alias("class"), "rep"))
+    first = known.groupBy("class").agg(F.min("rep").alias("first"))
+    named = cut(join_one(known.select("node", "class"), first, "class").select("node", "first"))
+    low = F.col("first.did")
+    return join_one(facts, named, "node").select(
+        "did", "key", "doc_id", "node", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(low < LAST, low)).alias("component_id"), "first"
+    )
+
+
+def _classes(rows: DataFrame, member: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, class) of the nodes that links lead to others from. member: node, root of its group, n, did and key of its document."""
     sizes = member.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("grams")).where("members > 1")
-    member = member.join(sizes, "root").withColumn("blocks", F.ceil(F.col("grams") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    member = cut(member.select("node", "did", "key", "root", "blocks", "block"))
-    total = sizes.agg(F.sum("grams")).first()[0] or 0
-    tasks = max(1, int(total) // (BLOCK // 3) + 1)
-    # a block meets every block of its group, itself included; groups of one block share tasks
-    pairs = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("x"), F.greatest(j, F.col("block")).alias("y"))))
-    placed = member.withColumn("pair", F.explode(pairs)).withColumn("task", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.xxhash64("root", "pair")))
+    total, small = sizes.agg(F.sum("grams"), F.sum(F.when(F.col("grams") <= BLOCK, F.col("grams")))).first()
+    tasks = max(1, int(small or 0) // (BLOCK // 3) + 1)
+    large = cut(sizes.where(F.col("grams") > BLOCK).select("root", F.ceil(F.col("grams") / BLOCK).cast("int").alias("blocks")))
+    placed = join_one(member, large, "root").withColumn("block", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    placed = cut(placed.withColumn("task", F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.xxhash64("root", "block"))))
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", compression_level=4)
@@ -278,51 +378,99 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFra
             data = [np.int64(len(d)).tobytes() + codec.compress(d, asbytes=True) for d in batch.column("data").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(data, pa.binary())], ["did", "key", "data"])
 
-    texts = rows.select("did", "key", "data").mapInArrow(shrink, "did long, key long, data binary").join(placed.select("did", "key", "node", "root", "task"), ["did", "key"])
+    def sets_of(data: list[bytes]) -> list[np.ndarray]:
+        codec, out = pa.Codec("zstd"), []
+        for k in range(0, len(data), 200):
+            out += shingle_sets([codec.decompress(d[8:], int(np.frombuffer(d[:8], np.int64)[0]), asbytes=True) for d in data[k : k + 200]], n)
+        return out
+
+    # only texts that may be asked for leave their place
+    asked = maybe_among(rows.select("did", "key", "data"), F.xxhash64("did", "key"), member.select(F.xxhash64("did", "key").alias("name")), member.count())
+    texts = asked.where("__among").select("did", "key", "data").mapInArrow(shrink, "did long, key long, data binary")
+    held = cut(texts.join(placed, ["did", "key"]).select("node", "root", "n", "blocks", "block", "task", "data"))
 
     def find(group: pa.Table) -> pa.Table:
+        """Links (a, b) of each node to the first of its class, inside each group."""
         group = group.sort_by([("root", "ascending"), ("node", "ascending")])
-        roots, nodes, data = group["root"].to_numpy(), group["node"].to_numpy(), group["data"].to_pylist()
-        codec = pa.Codec("zstd")
+        roots, names, data = group["root"].to_numpy(), group["node"].to_numpy(), group["data"].to_pylist()
         at = np.concatenate([[0], np.flatnonzero(np.diff(roots)) + 1, [len(roots)]])
         left, right = [], []
         for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-            once = [k for k in range(a, b) if k == a or nodes[k] != nodes[k - 1]]
-            if len(once) < 2:
-                continue
-            sets = [s for k in range(0, len(once), 200) for s in shingle_sets([codec.decompress(data[i][8:], int(np.frombuffer(data[i][:8], np.int64)[0]), asbytes=True) for i in once[k : k + 200]], n)]
-            for i, r in zip(once, linked(sets, percent)):
-                if once[r] != i:
-                    left.append(nodes[i])
-                    right.append(nodes[once[r]])
-        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
-
-    links = cut(texts.select("node", "root", "task", "data").repartition(min(max(32, tasks // 2), 20_000), "task").groupBy("task").applyInArrow(find, "a long, b long"))
-    if member.where("blocks > 1").limit(1).count():
-        labels = components(links)
-    else:  # every component was found whole, in one task
-        labels = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    named = facts.join(labels, "node", "left").withColumn("class", F.when(F.col("n") > 0, F.coalesce("root", "node")))
-    # the smallest id of a class first by node, so that a class of many copies is small before it is shuffled
-    ids = named.where("n > 0").groupBy("class").agg(F.min("did").alias("low"))
-    return (
-        named.join(ids, "class", "left")
-        .withColumn("component_id", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("low") < LAST, F.col("low"))))
-        .select("did", "key", "doc_id", "node", F.col("n").alias("n_shingles"), "component_id", "class")
-    )
+            once = [k for k in range(a, b) if k == a or names[k] != names[k - 1]]
+            if len(once) > 1:
+                for i, r in zip(once, linked(sets_of([data[k] for k in once]), percent)):
+                    if once[r] != i:
+                        left.append(names[i])
+                        right.append(names[once[r]])
+        out = pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+        del data, group
+        free_memory()
+        return out
+
+    def search(placed: DataFrame) -> DataFrame:
+        return cut(placed.select("node", "root", "task", "data").repartition(max(32, min(20_000, tasks // 2)), "task").groupBy("task").applyInArrow(find, "a long, b long"))
+
+    links = search(held)
+    alone = links.select(F.col("a").alias("node"), F.col("b").alias("class"))
+    if large.limit(1).count() == 0:  # every class was found whole, in one task
+        return alone.unionByName(alone.select(F.col("class").alias("node"), "class").distinct())
+
+    # the classes of a large group's blocks, by one node of each
+    wide = held.where("blocks is not null")
+    local = cut(join_one(wide.select("node", "root", "n", "data"), alone, "node").withColumn("class", F.coalesce("class", "node")))
+    firsts = local.where("node = class")
+    rounds = firsts.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("chunks"))
+    links = links.unionByName(search(join_one(firsts.select("node", "root", "data"), rounds, "root").withColumn("task", F.xxhash64("root", F.pmod(F.xxhash64("node"), F.col("chunks"))))))
+    labels = components(links).withColumnRenamed("root", "class")
+    # nodes outside their group's largest class are searched for in all of its blocks
+    local = cut(join_one(wide.select("node", "root", "n", "blocks", "block", "data"), labels, "node").withColumn("class", F.coalesce("class", "node")))
+    largest = local.groupBy("root", "class").agg(F.count("*").alias("members")).groupBy("root").agg(F.max(F.struct("members", F.col("class"))).alias("x")).select("root", F.col("x.class").alias("main"))
+    rest = cut(join_one(local, largest, "root").where("class <> main").select("node", "root", "n", "blocks", "data"))
+    ask = cut(rest.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("chunks")))
+
+    def probe(group: pa.Table) -> pa.Table:
+        """Links of the nodes asked for with those of a block."""
+        base, query = (group.filter(pc.equal(group["query"], q)) for q in (False, True))
+        left, right = [], []
+        if len(base) and len(query):
+            names, sets = base["node"].to_numpy(), sets_of(base["data"].to_pylist())
+            lists = Inverted(sets)
+            for node, grams in zip(query["node"].to_pylist(), sets_of(query["data"].to_pylist())):
+                for k, both in lists.search(grams, needed(len(grams), percent)):
+                    if names[k] != node and fits(len(grams), len(sets[k]), both, percent):
+                        left.append(node)
+                        right.append(names[k])
+        out = pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+        free_memory()
+        return out
+
+    span = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    queries = join_one(rest, ask, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("block", span("blocks"))
+    base = join_one(local, ask, "root").where("chunks is not null").withColumn("chunk", span("chunks"))
+    both = queries.select("node", "root", "block", "chunk", "data", F.lit(True).alias("query")).unionByName(base.select("node", "root", "block", "chunk", "data", F.lit(False).alias("query")))
+    more = cut(both.groupBy("root", "block", "chunk").applyInArrow(probe, "a long, b long"))
+    if more.limit(1).count() == 0:
+        return labels
+    return components(links.unionByName(more)).withColumnRenamed("root", "class")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs without near-duplicates: of each component one row stays, of the smallest id, null last, then hash of the text. Rows
-    without words are no duplicates; of those that repeat an id, one stays."""
-    found = similar_documents(docs, n, percent)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    least = found.where("n_shingles > 0").groupBy("class").agg(F.min(F.struct("did", "key")).alias("x")).select("x.did", "x.key", F.lit(False).alias("blank"))
-    first = least.unionByName(found.where("n_shingles = 0").select("did", "key", F.lit(True).alias("blank")).distinct())
-    names = docs.columns
-    keyed = docs.withColumn("__did", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("__key", F.xxhash64(text))
-    first = first.select(F.col("did").alias("__did"), F.col("key").alias("__key"), F.col("blank").alias("__blank"))
-    kept = keyed.join(first, ["__did", "__key"])
-    # of rows that repeat an id and a text one, but all of those with neither id nor words
-    row = Window.partitionBy("__did", "__key").orderBy(*[F.col(f"`{c}`") for c in names if c != "text"])
-    return kept.withColumn("__row", F.row_number().over(row)).where((F.col("__row") == 1) | F.col("__blank") & (F.col("__did") == LAST)).select(*[f"`{c}`" for c in names])
+    """The rows of docs without near-duplicates, with the columns of docs: of each component one row stays, of the smallest id, null last,
+    then hash of the text. Rows without words are no duplicates; of those that repeat an id, one stays, and all of a null id.
+
+    Rows that could go, and those that share id and text with others, are joined with what is known of them; the others stay in place.
+    """
+    found = cut(similar_documents(docs, n, percent))
+    blank = F.col("n_shingles") == 0
+    same = found.groupBy("did", "key").agg(F.count("*").alias("rows"), F.max(blank).alias("blank"), F.max("first").alias("first"))
+    same = same.where(~(F.col("blank") & (F.col("did") == LAST)))
+    stays = F.col("blank") | (F.col("first") == F.struct("did", "key"))
+    special = cut(same.withColumn("stays", stays).where(~F.col("stays") | (F.col("rows") > 1)).select(F.col("did").alias("__did"), F.col("key").alias("__key"), F.col("stays").alias("__stays")))
+    names = [f"`{c}`" for c in docs.columns]
+    keyed = docs.withColumn("__did", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("__key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    keyed = maybe_among(keyed, F.xxhash64("__did", "__key"), special.select(F.xxhash64("__did", "__key").alias("name")), special.count())
+    # copies that go are found by a join; of the rows that repeat an id and a text the first one stays
+    met = keyed.where("__among").join(special, ["__did", "__key"], "left")
+    row = Window.partitionBy("__did", "__key").orderBy(*[c for c in names if c != "`text`"])
+    once = met.where("__stays").withColumn("__row", F.row_number().over(row)).where("__row = 1")
+    return keyed.where("not __among").select(*names).unionByName(met.where("__stays is null").select(*names)).unionByName(once.select(*names))
