@@ -1,9 +1,9 @@
 """Similarity join on sets of word n-grams: T-occurrence search with DivideSkip inside groups of possible partners.
 
-Sets that are equal are one node. Two linked sets differ in few grams, so when hashes deal the grams of both into one part more than
-that, some part is the same in both: parts that stand in one node only lead nowhere. Nodes that share a part form groups that no
-link leaves; inside a group inverted lists are searched exactly. A group that is too large for a task is dealt out in blocks, each
-searched by itself; what its largest class leaves over is searched for in all blocks.
+Sets that are equal are one node. In one order of all grams, the first 0.4 n grams of a set hold at least 0.16 n of those it shares
+with any partner, so nodes that share fewer of them with others have no link. The rest form groups that no link leaves; inside a
+group inverted lists are searched exactly. A group that is too large for a task is dealt out in blocks, each searched by itself;
+what its largest class leaves over is searched for in all blocks.
 """
 
 from __future__ import annotations
@@ -21,16 +21,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, dominant, free_memory, join_one, maybe_among, mix64, raw_bytes, spaced, word_bounds, word_hashes
+from .common import cut, dominant, free_memory, join_one, maybe_among, raw_bytes, spaced, word_bounds, word_hashes
 from .segments import LAST, joined
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Grams in a task's block.
-BLOCK = 750_000
-#: Signatures that a worker gathers before it sends them on.
+BLOCK = 1_500_000
+#: Grams that a worker gathers before it sends them on.
 GATHERED = 1_000_000
-#: How often a set is dealt out anew when too many of its parts are empty.
-DEALS = 64
+#: Bytes of text in which frequent grams are looked for, and the nodes there that make a gram frequent.
+SAMPLE, FREQUENT = 16 << 20, 8
 
 
 def shingle_sets(texts: list[bytes], n: int = 5) -> list[np.ndarray]:
@@ -206,70 +206,45 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def size_classes(most: int, percent: int) -> list[int]:
-    """First sizes of classes, so that the partners of a set are in its own class or in those beside it."""
-    out = [1]
-    while out[-1] <= most:
-        out.append(out[-1] * 100 // percent + 1)
-    return out
+def prefix_length(n: int, percent: int) -> int:
+    """Grams of a set that are compared first."""
+    return min(n, n - needed(n, percent) + max(1, n // 5))
 
 
-def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, number of the set): names of the parts of each set; any two linked sets have at least one in common.
+def ordered(grams: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Sorted grams in the order that all sets agree on: those not in `hot` first."""
+    if not len(hot):
+        return grams
+    late = hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams
+    return np.concatenate([grams[~late], grams[late]])
+
+
+def pair_counts(nodes: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (node, center) and how often each stands."""
+    order = np.lexsort((centers, nodes))
+    nodes, centers = nodes[order], centers[order]
+    at = np.flatnonzero(np.concatenate([[True], (nodes[1:] != nodes[:-1]) | (centers[1:] != centers[:-1])])) if len(nodes) else np.zeros(0, np.int64)
+    return nodes[at], centers[at], np.diff(np.append(at, len(nodes)))
 
-    A set deals its grams into parts for its own size class, where partners have at most the next class's sizes, and for the class
-    before. Linked sets differ in at most `apart` grams, so all but that many parts are the same. A part without grams says nothing
-    and has no signature: a set with so many of those that they could be all that is the same is dealt out again by another hash,
-    and so are its partners if the same holds for them.
-    """
-    size = np.array([len(s) for s in sets], np.int64)
-    have = np.flatnonzero(size)
-    out_s, out_w = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    if not len(have):
-        return out_s[0], out_w[0]
-    bounds = np.array(size_classes(int(size.max()), percent), np.int64)
-    own = np.searchsorted(bounds, size, "right") - 1
-    for before in (0, 1):
-        who = have[own[have] >= before]
-        for deal in range(DEALS + 1):
-            if not len(who):
-                break
-            kind = own[who] - before
-            apart = (np.append(bounds, bounds[-1] * 100 // percent + 1)[kind + 1] - 1) * (100 - percent) // percent
-            parts = apart + 1 + -(-apart * 12 // 100)
-            if deal == DEALS:  # as good as never: sets that no hash spreads are all compared
-                parts = np.ones(len(who), np.int64)
-            grams = mix64(np.concatenate([sets[i] for i in who.tolist()]) + np.uint64(0x9E3779B97F4A7C15 * (deal + 1) & 0xFFFFFFFFFFFFFFFF))
-            base = np.cumsum(parts) - parts
-            n = size[who]
-            cell = np.repeat(base, n) + ((grams >> np.uint64(20)) % np.repeat(parts, n).astype(np.uint64)).astype(np.int64)
-            sums = np.zeros(int(parts.sum()), np.uint64)
-            if deal == DEALS:
-                some = np.ones(len(sums), np.bool_)
-            else:
-                np.add.at(sums, cell, grams)
-                some = np.bincount(cell, minlength=len(sums)) > 0
-            row = np.repeat(np.arange(len(who)), parts)
-            number = np.arange(len(sums)) - base[row]
-            salt = (kind[row] * (DEALS + 1) + deal) * (1 << 40) + number
-            out_s.append(mix64(sums * np.uint64(0x9E3779B97F4A7C15) ^ mix64(salt.astype(np.uint64)))[some])
-            out_w.append(who[row[some]])
-            who = who[np.add.reduceat(some.astype(np.int64), base) < apart + 1]
-    return np.concatenate(out_s), np.concatenate(out_w)
-
-
-def stars(names: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each name its smallest node (name, node), and the distinct pairs (node, smallest node) of the others."""
-    order = np.argsort(names, kind="stable")
-    names, nodes = names[order], nodes[order]
-    at = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])) if len(names) else np.zeros(0, np.int64)
-    if not len(at):
-        return names, nodes, nodes, nodes
-    low = np.minimum.reduceat(nodes, at)
-    center = np.repeat(low, np.diff(np.append(at, len(names))))
-    other = nodes != center
-    pairs = np.unique(np.stack([nodes[other], center[other]], 1), axis=0)
-    return names[at], low, pairs[:, 0], pairs[:, 1]
+
+def shared_counts(grams: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node that has the gram) for each gram that several distinct nodes have."""
+    order = np.argsort(grams, kind="stable")
+    grams, nodes = grams[order], nodes[order]
+    alike = grams[1:] == grams[:-1] if len(grams) else np.zeros(0, np.bool_)
+    several = np.zeros(len(grams), np.bool_)
+    several[1:] = alike
+    several[:-1] |= alike
+    grams, nodes = grams[several], nodes[several]
+    order = np.lexsort((nodes, grams))
+    grams, nodes = grams[order], nodes[order]
+    once = np.ones(len(grams), np.bool_)
+    once[1:] = (grams[1:] != grams[:-1]) | (nodes[1:] != nodes[:-1])
+    grams, nodes = grams[once], nodes[once]
+    at = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
+    length = np.diff(np.append(at, len(grams)))
+    several = np.repeat(length > 1, length)
+    return nodes[several], np.repeat(nodes[at], length)[several]
 
 
 def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -284,7 +259,8 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFra
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), F.xxhash64(text).alias("key"), text.cast("binary").alias("data"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    buckets = max(8, raw_bytes(docs) // (16 << 20) + 1)
+    raw = raw_bytes(docs)
+    buckets = max(8, raw // (16 << 20) + 1)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,37 +268,72 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFra
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "did", "key", "node", "n"])
         free_memory()
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Signatures with their nodes, by bucket; of those that several of the gathered nodes have, only the smallest node, and pairs
-        of it with the others go through any bucket. So what many nodes share is not many in its bucket."""
+    facts = cut(rows.mapInArrow(measure, f"doc_id {kind}, did long, key long, node long, n long"))
+    shares = cut(_shares(rows, raw, buckets, n, percent))
+    nodes = cut(facts.groupBy("node").agg(F.min(F.struct("did", "key")).alias("rep"), F.max("n").alias("n")))
+    smallest = F.ceil(F.col("n") * percent / 100)
+    least = F.greatest(F.lit(1), F.least(F.floor(F.col("n") / 5), F.floor(smallest / 5)))
+    able = shares.groupBy("node").agg(F.sum("shared").alias("all"), F.count("*").alias("centers")).join(nodes, "node").where(F.col("all") >= least)
+    able = cut(able.select("node", "n", "rep.did", "rep.key", (least / F.col("centers")).alias("least")))
+    # of the grams two linked nodes share, some smallest node answers for at least the mean
+    edges = shares.join(able.select("node", "least"), "node").where(F.col("shared") >= F.col("least")).select(F.col("node").alias("a"), F.col("center").alias("b"))
+    member = cut(able.drop("least").join(components(edges), "node"))  # one document stands for its node
+    labels = cut(_classes(rows, member, n, percent))
+    # each node's class, and each class's first row
+    known = cut(nodes.where("n > 0").join(labels, "node", "left").select("node", F.coalesce("class", "node").alias("class"), "rep"))
+    first = known.groupBy("class").agg(F.min("rep").alias("first"))
+    named = cut(join_one(known.select("node", "class"), first, "class").select("node", "first"))
+    low = F.col("first.did")
+    return join_one(facts, named, "node").select(
+        "did", "key", "doc_id", "node", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(low < LAST, low)).alias("component_id"), "first"
+    )
+
+
+def _shares(rows: DataFrame, raw: int, buckets: int, n: int, percent: int) -> DataFrame:
+    """(node, center, shared): how many of a node's first grams others have too, by the node that answers for the gram: the smallest that
+    has it, or the smallest of a sample for grams that are frequent there.
+
+    Frequent grams come last in the order of grams and aren't dealt out; their centers are known everywhere. The sample is bounded by
+    SAMPLE, and decides, like sampled bounds of ranges, where sets meet and no result.
+    """
+    data = rows.select("data")
+    parts = max(1, raw // SAMPLE)
+    drawn = rows.where(F.pmod(F.xxhash64("did", "key"), F.lit(parts)) == 0).select("data") if parts > 1 else data
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sends (gram, node) of what is compared first to buckets, and what frequent grams count for to any of them."""
+        names, centers = hot.value
         seen: set[int] = set()
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, int]] = []
         size = 0
 
         def packed():
             if not held:
                 return
-            names, nodes, left, right = stars(*(np.concatenate([h[k] for h in held]) for k in range(2)))
-            bucket = ((names >> np.uint64(7)) % np.uint64(buckets)).astype(np.int64)
+            grams, nodes = np.concatenate([h[0] for h in held]), np.repeat(np.array([h[1] for h in held], np.int64), [len(h[0]) for h in held])
+            local = []
+            if len(names):
+                spot = np.minimum(np.searchsorted(names, grams), len(names) - 1)
+                late = names[spot] == grams
+                found = pair_counts(nodes[late], centers[spot[late]])
+                local = [b"".join(x[k : k + 20_000].astype(np.int64).tobytes() for x in found) for k in range(0, len(found[0]), 20_000)]
+                grams, nodes = grams[~late], nodes[~late]
+            bucket = ((grams >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            bucket, names, nodes = bucket[order], names[order], nodes[order]
-            at = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-            blobs = [names[a:b].tobytes() + nodes[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
-            where = bucket[at[:-1]].tolist()
-            pairs = [left[k : k + 20_000].tobytes() + right[k : k + 20_000].tobytes() for k in range(0, len(left), 20_000)]
-            yield pa.RecordBatch.from_arrays([pa.array(where + [(where[0] + k) % buckets for k in range(len(pairs))], pa.int32()), pa.array([False] * len(blobs) + [True] * len(pairs)), pa.array(blobs + pairs, pa.binary())], ["bucket", "paired", "blob"])
+            bucket, nodes = bucket[order], nodes[order]
+            low = np.ascontiguousarray(grams[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])  # the bucket stands for the rest
+            at = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
+            blobs = [low[a:b].tobytes() + nodes[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
+            where = [*bucket[at[:-1]].tolist(), *((k + len(seen)) % buckets for k in range(len(local)))]
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array([False] * len(blobs) + [True] * len(local)), pa.array(blobs + local, pa.binary())], ["bucket", "counted", "blob"])
 
         for batch in batches:
-            sets = shingle_sets(batch.column("data").to_pylist(), n)
-            new, nodes = [], []
-            for s in sets:
+            for s in shingle_sets(batch.column("data").to_pylist(), n):
                 if len(s) and (node := node_of(s)) not in seen:
                     seen.add(node)
-                    new.append(s)
-                    nodes.append(node)
-            names, who = signatures(new, percent)
-            held.append((names, np.array(nodes, np.int64)[who]))
-            size += len(names)
+                    part = ordered(s, names)[: prefix_length(len(s), percent)]
+                    held.append((part, node))
+                    size += len(part)
             if size > GATHERED:
                 yield from packed()
                 held, size = [], 0
@@ -333,43 +344,48 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFra
         free_memory()
 
     def meet(group: pa.Table) -> pa.Table:
-        halves = lambda paired, kind: [(np.frombuffer(b, kind, len(b) // 16), np.frombuffer(b, np.int64, len(b) // 16, len(b) // 2)) for b in group.filter(pc.equal(group["paired"], paired))["blob"].to_pylist()]
-        found = halves(False, np.uint64)
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        if found:
-            _, _, a, b = stars(*(np.concatenate([h[k] for h in found]) for k in range(2)))
-            left, right = [a], [b]
-        for a, b in halves(True, np.int64):
-            left.append(a)
-            right.append(b)
-        out = pa.table({"a": np.concatenate(left), "b": np.concatenate(right)})
+        blobs = group.filter(pc.invert(group["counted"]))["blob"].to_pylist()
+        sizes = [len(b) // 13 for b in blobs]
+        grams = np.zeros((sum(sizes), 8), np.uint8)
+        if blobs:
+            grams[:, :5] = np.concatenate([np.frombuffer(b, np.uint8, 5 * k).reshape(-1, 5) for b, k in zip(blobs, sizes)])
+        nodes = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(b, np.int64, k, 5 * k) for b, k in zip(blobs, sizes))])
+        del blobs
+        found = [pair_counts(*shared_counts(grams.view("<u8").ravel(), nodes))]
+        found += [np.frombuffer(b, np.int64).reshape(3, -1) for b in group.filter(group["counted"])["blob"].to_pylist()]
+        out = pa.table(dict(zip(["node", "center", "shared"], (np.concatenate([f[k] for f in found]).astype(np.int64) for k in range(3)))))
         free_memory()
         return out
 
-    facts = cut(rows.mapInArrow(measure, f"doc_id {kind}, did long, key long, node long, n long"))
-    signed = rows.select("data").mapInArrow(sign, "bucket int, paired boolean, blob binary")
-    groups = components(signed.groupBy("bucket").applyInArrow(meet, "a long, b long"))
-    # one document stands for its node
-    nodes = cut(facts.groupBy("node").agg(F.min(F.struct("did", "key")).alias("rep"), F.max("n").alias("n")))
-    member = cut(groups.join(nodes, "node").select("node", "root", "n", "rep.did", "rep.key"))
-    labels = cut(_classes(rows, member, n, percent))
-    # each node's class, and each class's first row
-    known = cut(nodes.where("n > 0").join(labels, "node", "left").select("node", F.coalesce("class", "node").alias("class"), "rep"))
-    first = known.groupBy("class").agg(F.min("rep").alias("first"))
-    named = cut(join_one(known.select("node", "class"), first, "class").select("node", "first"))
-    low = F.col("first.did")
-    return join_one(facts, named, "node").select(
-        "did", "key", "doc_id", "node", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(low < LAST, low)).alias("component_id"), "first"
-    )
+    hot = rows.sparkSession.sparkContext.broadcast(_frequent_grams(drawn, n))  # bounded by the sample
+    dealt = data.mapInArrow(deal, "bucket int, counted boolean, blob binary")
+    return dealt.groupBy("bucket").applyInArrow(meet, "node long, center long, shared long").groupBy("node", "center").agg(F.sum("shared").alias("shared"))
+
+
+def _frequent_grams(drawn: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted grams that at least FREQUENT distinct sets of a sample have, and the smallest node of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = {node_of(s): s for s in shingle_sets(batch.column("data").to_pylist(), n) if len(s)}
+            grams = np.concatenate([np.zeros(0, np.uint64), *sets.values()])
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(np.repeat(np.array(list(sets), np.int64), [len(s) for s in sets.values()]))], ["gram", "node"])
+
+    found = drawn.mapInArrow(run, "gram long, node long").distinct().groupBy("gram").agg(F.count("*").alias("nodes"), F.min("node").alias("node")).where(F.col("nodes") >= FREQUENT)
+    rows = found.select("gram", "node").toPandas()
+    grams, nodes = rows["gram"].to_numpy(np.int64).view(np.uint64), rows["node"].to_numpy(np.int64)
+    order = np.argsort(grams)
+    return grams[order], nodes[order]
 
 
 def _classes(rows: DataFrame, member: DataFrame, n: int, percent: int) -> DataFrame:
     """(node, class) of the nodes that links lead to others from. member: node, root of its group, n, did and key of its document."""
-    sizes = member.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("grams")).where("members > 1")
-    total, small = sizes.agg(F.sum("grams"), F.sum(F.when(F.col("grams") <= BLOCK, F.col("grams")))).first()
+    sizes = cut(member.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("grams")).where("members > 1"))
+    small, most = sizes.agg(F.sum(F.when(F.col("grams") <= BLOCK, F.col("grams"))), F.max("grams")).first()
     tasks = max(1, int(small or 0) // (BLOCK // 3) + 1)
-    large = cut(sizes.where(F.col("grams") > BLOCK).select("root", F.ceil(F.col("grams") / BLOCK).cast("int").alias("blocks")))
-    placed = join_one(member, large, "root").withColumn("block", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    blocks = F.when(F.col("grams") > BLOCK, F.ceil(F.col("grams") / BLOCK).cast("int"))
+    placed = join_one(member, sizes.select("root", "members", blocks.alias("blocks")), "root").where("members is not null")
+    placed = placed.withColumn("block", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     placed = cut(placed.withColumn("task", F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.xxhash64("root", "block"))))
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,7 +401,7 @@ def _classes(rows: DataFrame, member: DataFrame, n: int, percent: int) -> DataFr
         return out
 
     # only texts that may be asked for leave their place
-    asked = maybe_among(rows.select("did", "key", "data"), F.xxhash64("did", "key"), member.select(F.xxhash64("did", "key").alias("name")), member.count())
+    asked = maybe_among(rows.select("did", "key", "data"), F.xxhash64("did", "key"), placed.select(F.xxhash64("did", "key").alias("name")), placed.count())
     texts = asked.where("__among").select("did", "key", "data").mapInArrow(shrink, "did long, key long, data binary")
     held = cut(texts.join(placed, ["did", "key"]).select("node", "root", "n", "blocks", "block", "task", "data"))
 
@@ -412,20 +428,22 @@ def _classes(rows: DataFrame, member: DataFrame, n: int, percent: int) -> DataFr
 
     links = search(held)
     alone = links.select(F.col("a").alias("node"), F.col("b").alias("class"))
-    if large.limit(1).count() == 0:  # every class was found whole, in one task
+    if (most or 0) <= BLOCK:  # every class was found whole, in one task
         return alone.unionByName(alone.select(F.col("class").alias("node"), "class").distinct())
 
     # the classes of a large group's blocks, by one node of each
-    wide = held.where("blocks is not null")
-    local = cut(join_one(wide.select("node", "root", "n", "data"), alone, "node").withColumn("class", F.coalesce("class", "node")))
-    firsts = local.where("node = class")
+    wide = placed.where("blocks is not null").select("node", "root", "n", "blocks", "block")
+    data = held.where("blocks is not null").select("node", "data").dropDuplicates(["node"])
+    local = cut(wide.join(alone, "node", "left").withColumn("class", F.coalesce("class", "node")))
+    firsts = local.where("node = class").select("node", "root", "n")
     rounds = firsts.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("chunks"))
-    links = links.unionByName(search(join_one(firsts.select("node", "root", "data"), rounds, "root").withColumn("task", F.xxhash64("root", F.pmod(F.xxhash64("node"), F.col("chunks"))))))
+    firsts = join_one(firsts, rounds, "root").withColumn("task", F.xxhash64("root", F.pmod(F.xxhash64("node"), F.col("chunks"))))
+    links = links.unionByName(search(firsts.join(data, "node")))
     labels = components(links).withColumnRenamed("root", "class")
     # nodes outside their group's largest class are searched for in all of its blocks
-    local = cut(join_one(wide.select("node", "root", "n", "blocks", "block", "data"), labels, "node").withColumn("class", F.coalesce("class", "node")))
+    local = cut(wide.join(labels, "node", "left").withColumn("class", F.coalesce("class", "node")))
     largest = local.groupBy("root", "class").agg(F.count("*").alias("members")).groupBy("root").agg(F.max(F.struct("members", F.col("class"))).alias("x")).select("root", F.col("x.class").alias("main"))
-    rest = cut(join_one(local, largest, "root").where("class <> main").select("node", "root", "n", "blocks", "data"))
+    rest = cut(join_one(local, largest, "root").where("class <> main").select("node", "root", "n", "blocks"))
     ask = cut(rest.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("chunks")))
 
     def probe(group: pa.Table) -> pa.Table:
@@ -447,8 +465,8 @@ def _classes(rows: DataFrame, member: DataFrame, n: int, percent: int) -> DataFr
     span = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     queries = join_one(rest, ask, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("block", span("blocks"))
     base = join_one(local, ask, "root").where("chunks is not null").withColumn("chunk", span("chunks"))
-    both = queries.select("node", "root", "block", "chunk", "data", F.lit(True).alias("query")).unionByName(base.select("node", "root", "block", "chunk", "data", F.lit(False).alias("query")))
-    more = cut(both.groupBy("root", "block", "chunk").applyInArrow(probe, "a long, b long"))
+    both = queries.select("node", "root", "block", "chunk", F.lit(True).alias("query")).unionByName(base.select("node", "root", "block", "chunk", F.lit(False).alias("query")))
+    more = cut(both.join(data, "node").groupBy("root", "block", "chunk").applyInArrow(probe, "a long, b long"))
     if more.limit(1).count() == 0:
         return labels
     return components(links.unionByName(more)).withColumnRenamed("root", "class")
