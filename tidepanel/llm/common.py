@@ -70,9 +70,9 @@ def drop_cuts(spark: SparkSession) -> None:
 
 def dominant(df: DataFrame, key: str, share: int = 2000) -> DataFrame:
     """The values of key that at least one row in `share` has: no more than `share` of them, whatever df's size."""
-    counts = df.groupBy(key).agg(F.count("*").alias("__n"))
-    total = df.count()
-    return counts.where(F.col(key).isNotNull() & (F.col("__n") * share >= total)).select(key)
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"))
+    total = df.agg(F.count("*").alias("__all"))
+    return counts.join(F.broadcast(total)).where(F.col("__n") * share >= F.col("__all")).select(key)
 
 
 def join_one(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:

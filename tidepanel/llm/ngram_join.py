@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, dominant, free_memory, join_one, maybe_among, raw_bytes, spaced, word_bounds, word_hashes
+from .common import cut, free_memory, join_one, maybe_among, raw_bytes, spaced, word_bounds, word_hashes
 from .segments import LAST, joined
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -191,19 +191,17 @@ def linked(sets: list[np.ndarray], percent: int = 80) -> list[int]:
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) -> (node, root): the smallest node that edges reach. Labels go to neighbours and on to the labels themselves; each round is cut.
-    Nodes and labels that dominate are joined by broadcast."""
+    Labels are one small row a node; where a node has very many edges, adaptive execution splits its side of the join."""
     both = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "node"))
-    hot = cut(dominant(both, "b"))
+    labels = cut(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("root")))
     while True:
-        near = join_one(both, labels.withColumnRenamed("node", "b"), "b", hot).groupBy("a").agg(F.min("root").alias("low"))
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("low")).withColumnRenamed("a", "node")
         # the label of a label shortens chains
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        new = cut(join_one(labels, jump, "root").join(near, F.col("node") == F.col("a")).select("node", "root", F.least("root", "low", F.coalesce("next", "root")).alias("now")))
-        changed = new.where("now < root").limit(1).count()
-        labels = new.select("node", F.col("now").alias("root"))
-        if not changed:
+        new = cut(labels.join(near, "node").join(jump, "root").select("node", "root", F.least("low", "next").alias("now")))
+        if new.where("now < root").limit(1).count() == 0:
             return labels
+        labels = new.select("node", F.col("now").alias("root"))
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -278,7 +276,7 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFra
     # of the grams two linked nodes share, some smallest node answers for at least the mean
     edges = shares.join(able.select("node", "least"), "node").where(F.col("shared") >= F.col("least")).select(F.col("node").alias("a"), F.col("center").alias("b"))
     member = cut(able.drop("least").join(components(edges), "node"))  # one document stands for its node
-    labels = cut(_classes(rows, member, n, percent))
+    labels = _classes(rows, member, n, percent)
     # each node's class, and each class's first row
     known = cut(nodes.where("n > 0").join(labels, "node", "left").select("node", F.coalesce("class", "node").alias("class"), "rep"))
     first = known.groupBy("class").agg(F.min("rep").alias("first"))
@@ -384,7 +382,7 @@ def _classes(rows: DataFrame, member: DataFrame, n: int, percent: int) -> DataFr
     small, most = sizes.agg(F.sum(F.when(F.col("grams") <= BLOCK, F.col("grams"))), F.max("grams")).first()
     tasks = max(1, int(small or 0) // (BLOCK // 3) + 1)
     blocks = F.when(F.col("grams") > BLOCK, F.ceil(F.col("grams") / BLOCK).cast("int"))
-    placed = join_one(member, sizes.select("root", "members", blocks.alias("blocks")), "root").where("members is not null")
+    placed = member.join(sizes.select("root", blocks.alias("blocks")), "root")
     placed = placed.withColumn("block", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     placed = cut(placed.withColumn("task", F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.xxhash64("root", "block"))))
 
