@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Collection, Iterator
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_one
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -21,12 +22,13 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[^0-9]")
-_MARKED = re.compile(r"[^\s]*[0-9@][^\s]*")
+_MARK = re.compile(r"[0-9@]")
+_TOKEN = re.compile(r"\S+")
 _TRIM = "\"'.,;:!?()[]{}<>*#%&$|"
-_BEFORE = re.compile(r"(\S+)\s+(\S+)\s*\Z|(\S+)\s*\Z")
-_AFTER = re.compile(r"\s*(\S+)")
 _PIECE = re.compile(r"\+?[0-9][0-9().+-]*")
 _GAP = re.compile(r"\)?[\x20\t\xa0]\(?")
+_DIGIT_RUN = re.compile(r"[0-9]+")
+_LETTER_RUN = re.compile(r"[^\W\d_]+")
 
 
 def luhn(digits: str) -> bool:
@@ -84,13 +86,55 @@ def shape(token: str) -> str:
     return digits_kind(digits)
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns around a span: the two words before it; the word before it and the word after it. Case and edge signs don't count."""
-    before = _BEFORE.search(text[max(0, start - 80) : start])
-    after = _AFTER.match(text, end, end + 60)
-    clean = lambda w: (w or "").strip(_TRIM).lower() or "-"
-    one = clean(before and (before[2] or before[3]))
-    return [f"{clean(before and before[1])} {one} _", f"{one} _ {clean(after and after[1])}"]
+def form(token: str) -> str:
+    """The shape of a token's characters: runs of digits by length, runs of letters as one a, other signs as they are."""
+    out = _LETTER_RUN.sub("a", token)
+    out = _DIGIT_RUN.sub(lambda m: f"9{{{len(m[0])}}}", out)
+    return out if len(out) <= 60 else hashlib.blake2b(out.encode(), digest_size=16).hexdigest()
+
+
+def word_class(word: str) -> str:
+    """- for none, 9 for one with a digit, A for one with a capital first, a for other words, . for signs."""
+    if not word:
+        return "-"
+    if any(c in "0123456789" for c in word):
+        return "9"
+    first = word.strip(_TRIM)[:1]
+    return "." if not first.isalpha() else "A" if first.isupper() else "a"
+
+
+def contexts(text: str, items: list[tuple[str, int, int]]) -> list[list[str]]:
+    """Lexical patterns of each of the spans (kind, start, end), from narrow to wide: the two words before it; the word before it and the
+    word after it; either of these; and for what could be an identifier its form, by itself, between the classes of the words beside it,
+    and with its place in the line. Case and edge signs of words don't count. A word ends at white space or where another span does."""
+    if not items:
+        return []
+    tokens = [m.span() for m in _TOKEN.finditer(text)]
+    starts, ends = [t[0] for t in tokens], sorted({e for _, _, e in items})
+    begins = sorted({s for _, s, _ in items})
+    clean = lambda w: w.strip(_TRIM).lower() or "-"
+    out = []
+    for kind, start, end in items:
+        k = bisect_right(starts, start) - 1
+        j = bisect_right(ends, start) - 1
+        low = max(tokens[k][0], ends[j] if j >= 0 else 0)
+        words = [text[low:start]] if low < start else []
+        words += [text[a:b] for a, b in reversed(tokens[max(0, k - 2 + len(words)) : k])]
+        one, two = (words + ["", ""])[:2]
+        last = bisect_right(starts, end - 1) - 1
+        if end < tokens[last][1]:
+            j = bisect_left(begins, end)
+            after = text[end : min(tokens[last][1], begins[j] if j < len(begins) else len(text))]
+        else:
+            after = text[slice(*tokens[last + 1])] if last + 1 < len(tokens) else ""
+        before, behind = clean(one), clean(after)
+        found = [f"{clean(two)} {before} _", f"{before} _ {behind}", f"{before} _", f"_ {behind}"]
+        if kind != "other":
+            shaped = form(text[start:end])
+            line = "^" if not one or "\n" in text[tokens[k - 1][1] if k and low == start else low : start] else "|"
+            found += [f"= {shaped}", f"{word_class(one)} = {shaped} {word_class(after)}", f"{line} = {shaped}"]
+        out.append(found)
+    return out
 
 
 def digits_kind(n: int) -> str:
@@ -130,7 +174,9 @@ def candidates(text: str, spans: list[tuple[str, int, int]], parts: bool = False
                     out.append(part)
         run.clear()
 
-    for m in _MARKED.finditer(text):
+    for m in _TOKEN.finditer(text):
+        if not _MARK.search(text, *m.span()):
+            continue
         token = m[0].strip(_TRIM)
         if not token:
             continue
@@ -182,9 +228,9 @@ def context_graph(docs: DataFrame) -> DataFrame:
                 text = t.as_py() or ""
                 spans = base_spans(text)
                 for seed, found in ((True, spans), (False, candidates(text, spans))):
-                    for kind, start, end in found:
+                    for (kind, start, end), patterns in zip(found, contexts(text, found), strict=True):
                         name = hashlib.blake2b(text[start:end].encode(), digest_size=12).hexdigest()
-                        for pattern in contexts(text, start, end):
+                        for pattern in patterns:
                             edges[pattern, kind, name, seed] += 1
             columns = list(zip(*[(*k, n) for k, n in edges.items()], strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64()], strict=True)], ["pattern", "kind", "instance", "seed", "n"])
@@ -192,33 +238,37 @@ def context_graph(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "pattern string, kind string, instance string, seed boolean, n long").groupBy("pattern", "kind", "instance", "seed").agg(F.sum("n").alias("n"))
 
 
-def bootstrap(graph: DataFrame, rounds: int = 3, confidence: float = 0.8, support: int = 3) -> DataFrame:
-    """Scores patterns and instances in turns and returns the trusted patterns: pattern, kind, confidence, support.
+def bootstrap(graph: DataFrame, rounds: int | None = None, confidence: float = 0.8, support: int = 3) -> DataFrame:
+    """Scores patterns and instances in turns, until no more patterns are trusted, and returns those: pattern, kind, confidence, support.
 
     A pattern's confidence for a kind is the share, by trust, of its occurrences that are of that kind; seeds have trust 1 and other
     instances the noisy-or of the trusted patterns they occur in. A trusted pattern has at least `support` trusted instances and
-    `confidence`; all of them are kept, also those that no seed stands in and only found instances lead to.
+    `confidence`; all of them are kept, also those that no seed stands in and only found instances lead to. Trust never falls from
+    round to round, so the rounds end. Frequent patterns are joined with their totals by broadcast.
     """
     graph = cut(graph)
     # only what could be trusted if all of its instances were; this drops no pattern that a later round can reach
-    totals = graph.groupBy("pattern").agg(F.sum("n").alias("all"))
-    able = graph.where(F.col("kind").isin(*KINDS)).groupBy("pattern", "kind").agg(F.sum("n").alias("own"), F.count("*").alias("most")).where(F.col("most") >= support)
-    able = able.join(totals, "pattern").where(F.col("own") / F.col("all") >= confidence).select("pattern", "kind", "all")
-    edges = cut(graph.join(able, ["pattern", "kind"]))
+    able = graph.groupBy("pattern", "kind").agg(F.sum("n").alias("own"), F.count("*").alias("most"))
+    totals = able.groupBy("pattern").agg(F.sum("own").alias("all"))
+    able = able.where(F.col("kind").isin(*KINDS) & (F.col("most") >= support)).join(totals, "pattern").where(F.col("own") / F.col("all") >= confidence)
+    able = cut(able.select("pattern", "kind", "all", F.xxhash64("pattern", "kind").alias("pair")))
+    edges = graph.withColumn("pair", F.xxhash64("pattern", "kind"))
+    edges = cut(join_one(edges, able.select("pair", "all"), "pair").where(F.col("all").isNotNull() & F.col("kind").isin(*KINDS)).drop("pair"))
     seeds = cut(graph.where("seed").select("kind", "instance").distinct().withColumn("trust", F.lit(1.0)))
-    trust = seeds
-    patterns = None
-    for k in range(rounds):
+    trust, known = seeds, -1
+    while True:
         scored = edges.join(trust, ["kind", "instance"], "left").withColumn("trust", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("trust", F.lit(0.0))))
-        patterns = (
+        patterns = cut(
             scored.groupBy("pattern", "kind")
             .agg((F.sum(F.col("trust") * F.col("n")) / F.max("all")).alias("confidence"), F.count_if(F.col("trust") >= confidence).alias("support"))
             .where((F.col("confidence") >= confidence) & (F.col("support") >= support))
         )
-        if k < rounds - 1:
-            found = edges.where(~F.col("seed")).join(patterns.select("pattern", "kind", "confidence"), ["pattern", "kind"]).groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("trust"))
-            trust = cut(seeds.unionByName(found).groupBy("kind", "instance").agg(F.max("trust").alias("trust")))
-    return patterns
+        rounds = None if rounds is None else rounds - 1
+        before, known = known, patterns.count()
+        if known == before or known == 0 or rounds == 0:
+            return patterns
+        found = edges.where(~F.col("seed")).join(patterns.select("pattern", "kind", "confidence"), ["pattern", "kind"]).groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("trust"))
+        trust = cut(seeds.unionByName(found).groupBy("kind", "instance").agg(F.max("trust").alias("trust")))
 
 
 def named(kind: str, pattern: str) -> bytes:
@@ -248,7 +298,8 @@ def find_pii(docs: DataFrame, few: int = 500_000, **settings) -> DataFrame:
         base = base_spans(text)
         spans = [(k, s, e, False) for k, s, e in base]
         if good:
-            met = [(k, s, e) for k, s, e in candidates(text, base, True) if k in KINDS and any(named(k, c) in good for c in contexts(text, s, e))]
+            could = [x for x in candidates(text, base, True) if x[0] in KINDS]
+            met = [x for x, patterns in zip(could, contexts(text, could), strict=True) if any(named(x[0], c) in good for c in patterns)]
             spans += [(*x, True) for x in longest(met)]
             spans.sort(key=lambda x: (KINDS.index(x[0]), x[1]))
         return [{"kind": k, "start": s, "end": e, "found": f} for k, s, e, f in spans]
@@ -267,7 +318,8 @@ def find_pii(docs: DataFrame, few: int = 500_000, **settings) -> DataFrame:
             rows, wanted = [], []
             for row, t in zip(batch.column("__row").to_pylist(), batch.column("text")):
                 text = t.as_py() or ""
-                own = {named(k, c) for k, s, e in candidates(text, base_spans(text), True) if k in KINDS for c in contexts(text, s, e)}
+                could = [x for x in candidates(text, base_spans(text), True) if x[0] in KINDS]
+                own = {named(x[0], c) for x, patterns in zip(could, contexts(text, could), strict=True) for c in patterns}
                 rows += [row] * len(own)
                 wanted += own
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(wanted, pa.binary())], ["__row", "name"])
