@@ -281,17 +281,141 @@ def test_neighbours(spark, nothing):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-def test_pipeline_stages(spark, tmp_path, docs):
+def plain_linked(rows):
+    """Smallest row of each component of (id, text), by sets of five words."""
+    sets, root = [], list(range(len(rows)))
+    for _, t in rows:
+        w = WORD.findall((t or "").translate({k: k + 32 for k in range(65, 91)}))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(rows))]
+
+
+def test_pipeline_equals_plain_stages(spark, tmp_path):
+    """run() against a plain version: the classifier's decisions are taken from its own scores, all else is done anew."""
     import corpus_pipeline
+    import public_tokenizers as P
+    import tiktoken
 
+    r = random.Random(8)
+    calm = lambda n: " ".join(r.choices([f"word{k}" for k in range(60)], k=n)) + ". "
+    rows = [(k, "".join(calm(9) for _ in range(r.randint(1, 8))) + ("you nasty fool ugly brute. " * 2 if k % 4 == 0 else "") + (f" mail a{k}@b.example.com now" if k % 5 == 0 else ""), f"s{k % 3}" if k % 7 else None, k * 7) for k in range(160)]
+    rows += [(1000 + k, rows[k][1] + (" one more" if k % 2 else ""), rows[k][2], -k) for k in range(1, 160, 9)] + [(2000, None, "s1", 1), (2001, "", "s1", 2), (2002, "  ", None, 3), (5, rows[5][1], rows[5][2], 35)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, score int")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(k, k % 2) for k in range(0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    left = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        left = stage(spark, left, str(tmp_path))
-        if k < len(corpus_pipeline.STAGES) - 1:
-            assert left.columns == docs.columns, name
-    assert left.count() > 0
+    spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(160)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    labels = spark.read.parquet(str(tmp_path / "labels.parquet"))
+    calm_ids = {q["doc_id"] for q in toxicity.score_toxicity(docs, labels).where("predicted = 0").collect()}
+    left = [q for q in rows if q[0] in calm_ids]
+    assert {k for k in range(160) if k % 4 == 0} & calm_ids == set()
+    assert len(calm_ids & {k for k in range(160) if k % 4}) > 110
+    left.sort(key=lambda q: q[0])
+    keep = plain_linked([(q[0], q[1]) for q in left])
+    left = [q for i, q in enumerate(left) if keep[i] == i]
+    assert sum(q[0] >= 1000 for q in left) <= 9
+    mask = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    left = [(q[0], None if q[1] is None else mask.sub("[email]", q[1]), *q[2:]) for q in left]
+    mixed = mixing.mix_to_weights(spark.createDataFrame(left, "doc_id long, text string, source string, score int")).collect()
+    times = {q["doc_id"]: q["copies"] for q in mixed}
+    coder = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    want = sorted((q[0], len(ids := coder.encode_ordinary(q[1] or "")), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()) for q in left for _ in range(times[q[0]]))
+    got = sorted((q["doc_id"], q["n_tokens"], q["ids_sha256"]) for q in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == want and len(got) > 50
+
+
+def test_stages_keep_columns_and_values(spark, tmp_path, docs):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    named = docs.selectExpr("doc_id", "text", "source", "n_chars", "doc_id * 3 as score", "'x' as spans", "array(doc_id) as worst", "cast(doc_id as string) as Predicted")
+    for empty in (False, True):
+        left = named.where("doc_id < -1") if empty else named
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            left = stage(spark, left, str(tmp_path))
+            assert left.columns == named.columns, name
+            for q in left.collect():
+                assert (q["score"], q["spans"], q["worst"], q["Predicted"]) == (q["doc_id"] * 3, "x", [q["doc_id"]], str(q["doc_id"])), name
+        assert (left.count() == 0) == empty
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """Operators that send models to workers, run where these can't import the package."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    script = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+spark.sparkContext.setLogLevel("ERROR")
+from tidepanel.llm import ann, toxicity, html_extract, ngram_join
+docs = spark.createDataFrame([(k, f"alpha beta gamma delta {k} " + ("nasty fool. " if k % 3 == 0 else "kind. ")) for k in range(60)], "doc_id long, text string")
+labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(60)], "doc_id long, toxic int")
+assert toxicity.score_toxicity(docs, labels).where("predicted = 1").count() >= 20
+x = spark.range(80).selectExpr("id vec_id", "array(cast(id % 7 + 1 as float), cast(id % 5 as float)) embedding")
+assert ann.search(x).where("rank = 1").count() == 4
+assert ngram_join.similar_documents(docs).count() == 60
+assert html_extract.extract_main_text(spark.createDataFrame([(1, "u", "<p>Some text.")], "page_id long, url string, html string")).first()["text"] == "Some text."
+"""
+    repo = str(Path(__file__).resolve().parents[2])
+    done = subprocess.run([sys.executable, "-c", script, repo], cwd=tmp_path, capture_output=True, text=True, timeout=600, check=False)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_density_decides_what_is_text():
+    long = [f"This line number {k} of the page goes on for quite a while and has no links in it." for k in range(6)]
+    body = "".join(f"<p>{t}</p>" for t in long)
+    links = "".join(f"<div><a href={k}>More {k}</a> <a href={k}>Next</a></div>" for k in range(12))
+    # without an article: lists of links are left out by their ratio alone
+    assert html_extract.main_text(f"<body>{links}<div>{body}</div>{links}</body>") == "\n\n".join(long)
+    # with several: those that are mostly links go, short lines of the others stay
+    page = f"<body><article>{links}</article><article><h1>Head</h1>{body}<p>Yes.</p></article><article><a href=1>Other</a> <a href=2>things</a></article></body>"
+    assert html_extract.main_text(page) == "\n\n".join(["Head", *long, "Yes."])
+
+
+def test_paragraphs_and_names_of_elements():
+    assert html_extract.main_text('<article><p class="ad">Buy<p>The first text goes on for a while.<p>And the second.</article>') == "The first text goes on for a while.\n\nAnd the second."
+    assert html_extract.main_text('<article><p class="share-price">The price of a share rose again.</p><p class="share-buttons">Tell all</p><p id="siteFooter">x</p></article>') == "The price of a share rose again."
+
+
+def test_pages_equal_their_articles(spark):
+    """Every page of a table against a plain reading of its article by patterns."""
+    import html
+    import os
+
+    path = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    pages = spark.read.parquet(path)
+    got = {q["page_id"]: q for q in html_extract.extract_main_text(pages.withColumn("text", pages["url"])).collect()}
+    for q in pages.collect():
+        inside = re.sub(r"<br\s*/?>", "\n", re.search(r"<article>(.*?)</article>", q["html"], re.S)[1])
+        parts = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", x))).strip() for x in re.split(r"</?(?:p|h1)>", inside)]
+        assert got[q["page_id"]]["text"] == "\n\n".join(x for x in parts if x) and got[q["page_id"]]["n_chars"] == len(got[q["page_id"]]["text"])
+    assert html_extract.extract_main_text(pages.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, None, None), (1, "u", ""), (1, "u", "<p>x")], "page_id long, url string, html string")
+    assert sorted((q["page_id"] or 0, q["text"]) for q in html_extract.extract_main_text(odd).collect()) == [(0, ""), (1, ""), (1, "x")]
+
+
+def test_pii_learns_forms(spark):
+    """A number that no fixed form takes, as another follows it, is found by the form it shares with known ones; numbers of a form that is
+    as often none stay."""
+    rows = [(k, f"w{k} +1 ({200 + k}) 555-{1000 + k} v{k}") for k in range(30)]
+    valid = [f"411111111111{k}" for k in range(1000, 1400) if pii.luhn(f"411111111111{k}")][:20]
+    wrong = [f"411111111111{k}" for k in range(1000, 1400) if not pii.luhn(f"411111111111{k}")][:20]
+    rows += [(100 + k, f"u{k} {c} t{k}") for k, c in enumerate(valid)] + [(200 + k, f"q{k} {c} p{k}") for k, c in enumerate(wrong)]
+    rows += [(300, "Here +1 (843) 555-7672 170.106.47.218 there")]
+    got = {q["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in q["spans"] if s["found"]] for q in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got.pop(300) == [("phone", 5, 22)]
+    assert not any(got.values())
 
 
 def test_few_vectors_have_all_neighbours(spark):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -88,13 +88,24 @@ class Index:
         return row, ids[row, at]
 
     def probes(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list): the lists at most `ratio` times as far as the nearest one, and more until they hold `least` ids."""
-        ids, dist = self.nearest(self.ask(q), len(self.centroids))
-        wanted = dist <= self.ratio * np.maximum(dist[:, :1], 1e-12)
-        if self.held is not None:
-            wanted |= np.cumsum(self.held[ids], axis=1) - self.held[ids] < self.least
-        row, at = np.nonzero(wanted)
-        return row, ids[row, at]
+        """(row, list): the lists at most `ratio` times as far as the nearest one, and more until they hold `least` ids.
+
+        The graph is searched with a beam, which widens for the queries whose beam ends before these lists do."""
+        asked, waiting, width = self.ask(q), np.arange(len(q)), 32
+        rows, lists = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        while len(waiting):
+            width = min(width, len(self.centroids))
+            ids, dist = self.nearest(asked[waiting], width)
+            held = np.zeros(ids.shape, np.int64) if self.held is None else np.cumsum(self.held[ids], axis=1)
+            wanted = dist <= self.ratio * np.maximum(dist[:, :1], 1e-12)
+            if self.held is not None:
+                wanted |= held - self.held[ids] < self.least
+            ended = ~wanted[:, -1] | (width == len(self.centroids))
+            row, at = np.nonzero(wanted & ended[:, None])
+            rows.append(waiting[row])
+            lists.append(ids[row, at])
+            waiting, width = waiting[~ended], 2 * width
+        return np.concatenate(rows), np.concatenate(lists)
 
 
 def _halves(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -157,47 +168,53 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.float32)
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, lists: int = 128, sample: int = 20_000, block: int = 4096, recall: float = 0.97) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, lists: int | None = None, sample: int = 20_000, block: int = 4096, recall: float = 0.97) -> DataFrame:
     """query_id, rank, vec_id, score: for each vector whose id `every` divides, the k others with the largest inner product.
 
-    The index is fitted on at most `sample` vectors, those whose id hashes lowest, and holds every vector; lists longer than `block`
-    are cut into blocks that each see the list's queries, so no list meets in one task. Scores are inner products of the
+    The index is fitted on at most `sample` vectors, those whose id hashes lowest, and holds every vector. Unless given, the number of
+    lists grows with the vectors, one for 256 of them, up to one for 8 of the sample. Lists longer than `block` are cut into blocks that each see the list's queries, so no list meets in one task. Scores are inner products of the
     original vectors in double precision; ties go to the smaller id. Vectors that are null, zero, or hold null or non-finite
     components take no part, nor do those of another length than most of the sample. Rows that repeat an id with the same vector
-    count once; with different vectors, each is a candidate of its own. Fewer than k candidates are all returned;
+    count once; with different vectors, each is a candidate of its own, and as queries they share one list of k, of the largest
+    products of any of them. Fewer than k candidates are all returned;
     an empty table gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
     arrow_batches(spark, 2000)
     vectors = usable(vectors)
-    drawn = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
+    total = vectors.count()
+    # thinned by hash first, so that partitions don't each send a whole sample; a quarter more than wanted on average
+    thin = vectors if total <= sample else vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 31)) < int((1 << 31) * min(1.0, 1.25 * sample / total)))
+    drawn = thin.orderBy(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 31)), "vec_id").limit(sample).toPandas()
     out = "query_id long, rank int, vec_id long, score double"
     if drawn.empty:
         return spark.createDataFrame([], out)
     length = int(drawn["embedding"].map(len).mode()[0])
     vectors = vectors.where(F.size("embedding") == length)
     facts = vectors.agg(F.max(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v)).alias("top"), F.count("*").alias("n")).first()
+    lists = lists or max(16, min(facts["n"] // 256, sample // 8))
     points = np.stack([np.asarray(v, np.float32) for v in drawn["embedding"] if len(v) == length])
     index = build(points, float(facts["top"]) ** 0.5, lists, recall)
     fitting = drawn[drawn["embedding"].map(len) == length]["vec_id"].to_numpy()
     row, at = index.lists_of(points[np.unique(fitting, return_index=True)[1]])
     index.held, index.least = np.bincount(at[np.unique(row, return_index=True)[1]], minlength=len(index.centroids)), k + 1
-    shared = spark.sparkContext.broadcast(index)  # `lists` centroids
+    shared = spark.sparkContext.broadcast(asdict(index))  # centroids of the lists, as plain data, so that workers need no import
     # the blocks of a list are as many as its share of the sample asks for; copies of one vector can make it longer, which hashing spreads as well
     row, at = index.lists_of(points)
     share = np.bincount(at, minlength=len(index.centroids)) / len(points)
     blocks = np.maximum(1, np.ceil(share * facts["n"] / block)).astype(np.int64)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(**shared.value)
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids, x = batch.column("vec_id"), _matrix(batch.column("embedding"))
-            row, at = shared.value.lists_of(x)
+            row, at = index.lists_of(x)
             keys = ids.to_numpy(zero_copy_only=False)[row]
             part = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % blocks[at]
             asks = np.flatnonzero(ids.to_numpy(zero_copy_only=False) % every == 0)
-            q_row, q_at = shared.value.probes(x[asks]) if len(asks) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            q_row, q_at = index.probes(x[asks]) if len(asks) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             times = blocks[q_at]
             q_part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
             q_row, q_at = np.repeat(asks[q_row] if len(asks) else q_row, times), np.repeat(q_at, times)

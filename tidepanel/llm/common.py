@@ -39,6 +39,22 @@ def once_per_worker(key, make):
     return kept[key]
 
 
+def latest_per_worker(name: str, token, make):
+    """What make() gave on its first call with this token in this Python worker; what it gave for another token goes."""
+    kept = once_per_worker(name, dict)
+    if kept.get("token") != token:
+        kept.clear()
+        kept.update(token=token, value=make())
+    return kept["value"]
+
+
+def set_aside(df: DataFrame, names) -> tuple[DataFrame, list]:
+    """df with other names for its columns that are called like one of names, in any case, and the columns that bring the old ones back."""
+    taken = {n.lower() for n in names}
+    new = {c: f"__own_{k}" for k, c in enumerate(df.columns) if c.lower() in taken}
+    return df.withColumnsRenamed(new), [F.col(f"`{new.get(c, c)}`").alias(c) for c in df.columns]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share. Only a session on this machine alone may do without the setting."""
     base = spark.conf.get("spark.checkpoint.dir", None)

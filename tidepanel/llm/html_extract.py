@@ -15,12 +15,24 @@ SKIPPED = frozenset("script style noscript template head title nav header footer
 BLOCKS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in an element's class, id or role that mark it as something else than the article.
-NOT_TEXT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|menu|nav\w*|breadcrumbs?|sidebar|footer|header|masthead|comments?|replies|disqus|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|sharing|social|related|recommended|widget|login|signup|pagination|toolbar)(?:$|[\s_-])", re.I)
+OTHER = frozenset("ad ads advert advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar footer header masthead comment comments replies disqus cookie cookies consent notice popup modal newsletter subscribe share sharing social related recommended widget login signup pagination toolbar".split())
+#: Words that only say how or where such an element stands.
+PLAIN = frozenset("a the site page main top bottom left right inner outer list box bar block area section wrap wrapper container content slot unit buttons button links link items item form group row col column panel message text small large sticky fixed floating primary secondary global user reader".split())
+_PART = re.compile(r"[a-z]+")
 _WHITE = re.compile(r"\s+")
 #: Elements that an opening tag of the key ends where they stand open, as browsers do.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 
 
+def says_other(value: str) -> bool:
+    """Whether a class, id or role names something else than the article: of some name in it, all words say so or say nothing."""
+    for name in value.split():
+        parts = _PART.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
+        if any(p in OTHER for p in parts) and all(p in OTHER or p in PLAIN for p in parts):
+            return True
+    return False
+
+
 class Lines(HTMLParser):
     """Turns parser events into lines: a line is what stands between two block boundaries, with its number of tags."""
 
@@ -48,8 +60,7 @@ class Lines(HTMLParser):
             self.end_line()
             if (ends := _ENDS.get(tag)) and self.open and self.open[-1][0] in ends:
                 self.pop()
-            if tag != "p" and self.open and self.open[-1][0] == "p":
-                self.pop()
+            self.end_paragraph()
         self.tags += 1
         if tag in EMPTY:
             if tag == "br":
@@ -57,7 +68,7 @@ class Lines(HTMLParser):
             return
         dark = tag in SKIPPED and not (tag == "header" and self.box)
         if not dark and attrs and tag not in ("body", "html", "article", "main"):
-            dark = any(k in ("class", "id", "role") and v and NOT_TEXT.search(v) or k == "hidden" for k, v in attrs)
+            dark = any(k in ("class", "id", "role") and v and says_other(v) or k == "hidden" for k, v in attrs)
         self.open.append((tag, self.box))
         self.dark.append(dark)
         self.skip += dark
@@ -72,6 +83,16 @@ class Lines(HTMLParser):
         if tag == "br":
             self.text.append("\n")
 
+    def end_paragraph(self) -> None:
+        """A block ends the paragraph that stands open, with what is open in it, as in browsers."""
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] == "p":
+                while len(self.open) > k:
+                    self.pop()
+                return
+            if self.open[k][0] in BLOCKS or self.open[k][0] in SKIPPED:
+                return
+
     def pop(self) -> str:
         tag, self.box = self.open.pop()
         self.skip -= self.dark.pop()
@@ -124,11 +145,22 @@ def smoothed(values: list[float], sigma: float) -> list[float]:
     return out
 
 
+def dense(lines: list[tuple[str, int, int]], sigma: float, threshold: float) -> list[bool]:
+    """Which lines belong to a cluster: their smoothed ratio of text to tags reaches `threshold` times the page's mean, and their own
+    half of that, so that a list of links isn't carried by a long neighbour."""
+    own = [len(t) / max(1, tags) for t, tags, _ in lines]
+    ratios = smoothed(own, sigma)
+    floor = threshold * sum(ratios) / len(ratios)
+    return [r >= floor and x >= floor / 2 for r, x in zip(ratios, own)]
+
+
 def main_text(html: str | None, sigma: float = 1.0, threshold: float = 0.5) -> str:
-    """The page's article. Lines in elements that are never text are gone already. The ratio of text to tags of the others is smoothed
-    over lines; lines at or over `threshold` times the page's mean form clusters. An article or main element that a cluster touches
-    is a region and is kept whole; on pages without such elements a region is a run of clusters with the gaps of at most two lines
-    between them."""
+    """The page's article. Lines in elements that are never text are gone already; of the others `dense` makes clusters.
+
+    An article or main element most of whose text lies in clusters is a region and is kept whole, with its short lines; if there are
+    such elements and none is mostly dense, the one with most text in clusters is (then the longest, then the first). On pages
+    without them a region is a run of clusters with the gaps of at most two lines between them.
+    """
     parser = Lines()
     try:
         parser.feed(html or "")
@@ -138,18 +170,20 @@ def main_text(html: str | None, sigma: float = 1.0, threshold: float = 0.5) -> s
     lines = parser.lines
     if not lines:
         return ""
-    ratios = smoothed([len(t) / max(1, tags) for t, tags, _ in lines], sigma)
-    floor = threshold * sum(ratios) / len(ratios)
-    picked = [k for k, r in enumerate(ratios) if r >= floor]
-    boxes: dict[int, float] = {}
-    for k in picked:
-        if box := lines[k][2]:
-            boxes[box] = boxes.get(box, 0) + len(lines[k][0])
+    picked = dense(lines, sigma, threshold)
+    boxes: dict[int, list[int]] = {}
+    for (text, _, box), hit in zip(lines, picked):
+        if box:
+            sums = boxes.setdefault(box, [0, 0])
+            sums[0] += len(text) * hit
+            sums[1] += len(text)
     if boxes:
-        chosen = [t for t, _, box in lines if box in boxes]
+        keep = {b for b, (inside, whole) in boxes.items() if 2 * inside >= whole} or {max(boxes, key=lambda b: (*boxes[b], -b))}
+        chosen = [t for t, _, box in lines if box in keep]
     else:
-        keep = set(picked)
-        for a, b in zip(picked, picked[1:]):
+        at = [k for k, hit in enumerate(picked) if hit]
+        keep = set(at)
+        for a, b in zip(at, at[1:]):
             if b - a <= 3:
                 keep.update(range(a, b))
         chosen = [lines[k][0] for k in sorted(keep)]

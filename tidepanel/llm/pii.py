@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_one
+from .common import cut, join_one, set_aside
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -271,6 +271,14 @@ def bootstrap(graph: DataFrame, rounds: int | None = None, confidence: float = 0
         trust = cut(seeds.unionByName(found).groupBy("kind", "instance").agg(F.max("trust").alias("trust")))
 
 
+def asked_for(text: str, base: list[tuple[str, int, int]]) -> list[tuple[tuple[str, int, int], list[str]]]:
+    """What could be personal data, with the patterns that could say so. Of what lies inside a run of digits only the words beside it
+    count, not its form: any run has parts of many forms."""
+    could = [x for x in candidates(text, base, True) if x[0] in KINDS]
+    whole = set(candidates(text, base)) if could else ()
+    return [(x, c if x in whole else c[:4]) for x, c in zip(could, contexts(text, could), strict=True)]
+
+
 def named(kind: str, pattern: str) -> bytes:
     """16 bytes that stand for a pattern of a kind."""
     return hashlib.sha256(f"{kind} {pattern}".encode()).digest()[:16]
@@ -298,8 +306,7 @@ def find_pii(docs: DataFrame, few: int = 500_000, **settings) -> DataFrame:
         base = base_spans(text)
         spans = [(k, s, e, False) for k, s, e in base]
         if good:
-            could = [x for x in candidates(text, base, True) if x[0] in KINDS]
-            met = [x for x, patterns in zip(could, contexts(text, could), strict=True) if any(named(x[0], c) in good for c in patterns)]
+            met = [x for x, patterns in asked_for(text, base) if any(named(x[0], c) in good for c in patterns)]
             spans += [(*x, True) for x in longest(met)]
             spans.sort(key=lambda x: (KINDS.index(x[0]), x[1]))
         return [{"kind": k, "start": s, "end": e, "found": f} for k, s, e, f in spans]
@@ -318,8 +325,7 @@ def find_pii(docs: DataFrame, few: int = 500_000, **settings) -> DataFrame:
             rows, wanted = [], []
             for row, t in zip(batch.column("__row").to_pylist(), batch.column("text")):
                 text = t.as_py() or ""
-                could = [x for x in candidates(text, base_spans(text), True) if x[0] in KINDS]
-                own = {named(x[0], c) for x, patterns in zip(could, contexts(text, could), strict=True) for c in patterns}
+                own = {named(x[0], c) for x, patterns in asked_for(text, base_spans(text)) for c in patterns}
                 rows += [row] * len(own)
                 wanted += own
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(wanted, pa.binary())], ["__row", "name"])
@@ -333,9 +339,12 @@ def find_pii(docs: DataFrame, few: int = 500_000, **settings) -> DataFrame:
 
 
 def redact(docs: DataFrame, **settings) -> DataFrame:
-    """docs with each span of personal data replaced by its kind in brackets; n_chars, where there is one, is the new length."""
-    found = find_pii(docs, **settings)
-    names = docs.columns
+    """docs with each span of personal data replaced by its kind in brackets; n_chars, where there is one, is the new length.
+
+    A null text stays null; repeated rows give repeated rows; an empty table gives no rows; all columns stay, one named spans too."""
+    apart, back = set_aside(docs, ["spans"])
+    found = find_pii(apart, **settings)
+    names = apart.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -352,11 +361,12 @@ def redact(docs: DataFrame, **settings) -> DataFrame:
                 columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
 
-    return found.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return found.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in apart.schema)).select(*back)
 
 
 def digests(found: DataFrame) -> DataFrame:
-    """doc_id, numbers of known spans by kind, digest of known spans, all spans as text."""
+    """doc_id, numbers of known spans by kind, digest of known spans, all spans as text, of each row of what `find_pii` gives; without
+    spans the counts are 0, the digest is that of no bytes and the text is empty."""
     spans = F.col("spans")
     joined = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter(spans, lambda s: ~s["found"])

@@ -7,12 +7,15 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import exp, log, log1p
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import latest_per_worker
+
 #: Words, or the ends of sentences.
 _TOKENS = re.compile(r"[^\W\d_]+|[.!?\n]")
 _ENDS = frozenset(".!?\n")
@@ -56,7 +59,7 @@ class NoisyOr:
         if got is None:
             get = self.weights.get
             got = sum(get(f, 0.0) for f in word_features(w))
-            if len(self.kept) > 300_000:
+            if len(self.kept) > 100_000:
                 self.kept.clear()
             self.kept[w] = got
         return got
@@ -142,13 +145,15 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> NoisyOr:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: int = 100_000) -> NoisyOr:
     """Fits on at most per_class toxic and 2 * per_class other labelled documents outside the held-out quarter, those whose
-    id hashes lowest; the sample's bound is this parameter, whatever the tables' size."""
+    id hashes lowest, of at most `longest` bytes each: the sample is bounded by these parameters, in rows and in bytes, whatever the
+    tables' size. The model has at most the 6000 words and beginnings of words that tell the labels apart best. Every document, of any
+    length, is scored with it."""
     known = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).distinct()
     pick = lambda y, n: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     sample = F.broadcast(pick(1, per_class).unionByName(pick(0, 2 * per_class)))  # at most 3 * per_class rows of two numbers
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "text", "toxic").collect()
+    rows = docs.select("doc_id", "text").join(sample, "doc_id").where(F.octet_length("text") <= longest).dropDuplicates(["doc_id", "toxic"]).select("doc_id", "text", "toxic").collect()
     return fit([(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))])
 
 
@@ -156,17 +161,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, p
     """docs with held_out, score, predicted and worst (numbers of sentences that are toxic by themselves, with their probability).
 
     Scores come from the text alone. A null or empty text has no sentence and scores 0; repeated rows score alike; labels that are
-    null, neither 0 nor 1, or of unknown documents don't count; a doc_id with both labels counts with both; without usable labels
-    of both kinds every sentence gets the base rate. An empty table gives no rows. Columns of docs stay; those of these names go.
+    null, neither 0 nor 1, or of unknown documents don't count; a doc_id with both labels counts with both; of rows that repeat an id one
+    is learnt from; without usable labels of both kinds every sentence gets the base rate. A null doc_id isn't held out and has no
+    label. An empty table gives no rows. Columns of docs stay; those of these names go.
     """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(train(docs, labels, per_class))  # bounded by the number of features
+    fitted, token = train(docs, labels, per_class), uuid4().hex
+    plain = spark.sparkContext.broadcast((fitted.bias, fitted.weights))  # bounded by the number of features; plain data, so that workers need no import
     docs = docs.drop("held_out", "score", "predicted", "worst").withColumn("held_out", held_out())
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = latest_per_worker("noisy-or", token, lambda: NoisyOr(*plain.value))
         for batch in batches:
-            got = [model.value.score(t.as_py()) for t in batch.column("text")]
+            got = [model.score(t.as_py()) for t in batch.column("text")]
             score = pa.array([g[0] for g in got], pa.float64())
             worst = pa.array([[{"sentence": k, "p": p} for k, p in g[1]] for g in got], pa.list_(pa.struct([("sentence", pa.int32()), ("p", pa.float64())])))
             yield pa.RecordBatch.from_arrays([*batch.columns, score, pa.array([int(g[0] >= threshold) for g in got], pa.int32()), worst], [*names, "score", "predicted", "worst"])
