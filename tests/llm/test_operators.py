@@ -103,7 +103,14 @@ def test_divide_skip_counts_exactly():
         t = int(r.integers(1, 6))
         count = np.bincount(np.concatenate(lists), minlength=40)
         assert dict(ngram_join.divide_skip(lists, t)) == {i: int(c) for i, c in enumerate(count) if c >= t}
-        assert dict(ngram_join.divide_skip([x.tolist() for x in lists], t, 0.9)) == {i: int(c) for i, c in enumerate(count) if c >= t}
+        weights = r.integers(1, 5, len(lists)).tolist()
+        again = [x for x, w in zip(lists, weights) for _ in range(w)]
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(ngram_join, "MERGED", 0)
+            assert dict(ngram_join.divide_skip(lists, t)) == {i: int(c) for i, c in enumerate(count) if c >= t}
+            assert dict(ngram_join.divide_skip(lists, 2 * t, weights)) == dict(ngram_join.divide_skip(again, 2 * t))
+        assert dict(ngram_join.divide_skip(lists, 2 * t, weights)) == dict(ngram_join.divide_skip(again, 2 * t))
+        assert dict(ngram_join.divide_skip([x.tolist() for x in lists], t, mu=0.9)) == {i: int(c) for i, c in enumerate(count) if c >= t}
 
 
 def test_linked_sets_share_enough_first_grams():

@@ -9,6 +9,7 @@ what its largest class leaves over is searched for in all blocks.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -27,6 +28,8 @@ from .segments import LAST, joined
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Grams in a task's block.
 BLOCK = 1_500_000
+#: Ids up to which short lists are merged on a heap, one by one.
+MERGED = 1024
 #: Grams that a worker gathers before it sends them on.
 GATHERED = 1_000_000
 #: Bytes of text in which frequent grams are looked for, and the nodes there that make a gram frequent.
@@ -62,40 +65,53 @@ def node_of(grams: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def divide_skip(lists: Sequence[Sequence[int]], t: int, mu: float = 0.05) -> list[tuple[int, int]]:
-    """(id, number of lists) of the ids that stand in at least t of the sorted lists.
+def divide_skip(lists: Sequence[Sequence[int]], t: int, weights: Sequence[int] | None = None, mu: float = 0.05) -> list[tuple[int, int]]:
+    """(id, number of lists) of the ids that stand in at least t of the sorted lists; a list of weight w counts as w equal ones.
 
-    The longest lists, fewer than t, are set apart. The others are merged on a heap of their heads; where a head stands in too few of
-    them, as many more are popped as can't make up an answer either, and all of these skip to the next head by binary search. An id
-    that stands in enough of the short lists is looked up in each long one. Where all lists are short none is set apart.
+    The longest lists, of less weight than t, are set apart. The others are merged on a heap of their heads; where a head stands in too
+    few of them, as many more are popped as can't make up an answer either, and all of these skip to the next head by binary search.
+    An id that stands in enough of the short lists is looked up in each long one. Where all lists are short none is set apart. Where
+    the short lists hold more than MERGED ids, the merge and the searches are of whole arrays, with the same result.
     """
-    if len(lists) < t:
+    weights = [1] * len(lists) if weights is None else weights
+    if sum(weights) < t:
         return []
-    lists = sorted(lists, key=len)
-    longest = len(lists[-1])
-    long = min(t - 1, int(t / (mu * log(longest) + 1))) if longest > 8 else 0
-    short, probed = lists[: len(lists) - long], lists[len(lists) - long :]
+    order = sorted(range(len(lists)), key=lambda k: len(lists[k]))
+    longest = len(lists[order[-1]])
+    most = min(t - 1, int(t / (mu * log(longest) + 1))) if longest > 8 else 0
+    probed, apart = [], 0
+    while order and apart + weights[order[-1]] <= most:
+        apart += weights[order[-1]]
+        probed.append(order.pop())
+    short = [lists[k] for k in order]
+    weight = [weights[k] for k in order]
+    if sum(map(len, short)) > MERGED:
+        return _merged_arrays([np.asarray(x) for x in short], weight, [(np.asarray(lists[k]), weights[k]) for k in probed[::-1]], t, apart)
     short = [x.tolist() if isinstance(x, np.ndarray) else x for x in short]
-    need, out, at = t - long, [], [0] * len(short)
+    need, left, out, at = t - apart, sum(weight), [], [0] * len(short)
     heap = [(x[0], k) for k, x in enumerate(short) if len(x)]
     heapify(heap)
-    while len(heap) >= need:
+    while heap and left >= need:
         value = heap[0][0]
-        popped = []
+        popped, n = [], 0
         while heap and heap[0][0] == value:
-            popped.append(heappop(heap)[1])
-        if len(popped) >= need:
-            n = len(popped)
-            for x in probed:
-                k = bisect_left(x, value)
-                n += k < len(x) and x[k] == value
+            k = heappop(heap)[1]
+            popped.append(k)
+            n += weight[k]
+        if n >= need:
+            for k in probed:
+                x = lists[k]
+                j = bisect_left(x, value)
+                n += weights[k] * bool(j < len(x) and x[j] == value)
             if n >= t:
                 out.append((value, n))
             for k in popped:
                 at[k] += 1
         else:
-            while heap and len(popped) < need - 1:
-                popped.append(heappop(heap)[1])
+            while heap and n + weight[heap[0][1]] < need:
+                k = heappop(heap)[1]
+                popped.append(k)
+                n += weight[k]
             if not heap:
                 break
             for k in popped:
@@ -103,9 +119,33 @@ def divide_skip(lists: Sequence[Sequence[int]], t: int, mu: float = 0.05) -> lis
         for k in popped:
             if at[k] < len(short[k]):
                 heappush(heap, (short[k][at[k]], k))
+            else:
+                left -= weight[k]
     return out
 
 
+def _merged_arrays(short: list[np.ndarray], weight: list[int], probed: list[tuple[np.ndarray, int]], t: int, apart: int) -> list[tuple[int, int]]:
+    """The same on arrays: sorted runs are merged by a stable sort, which finds the runs."""
+    ids = np.concatenate(short)
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    n = np.add.reduceat(np.repeat(np.array(weight, np.int64), [len(x) for x in short])[order], at)
+    ids = ids[at]
+    keep = n >= t - apart
+    ids, n = ids[keep], n[keep]
+    for x, w in probed:
+        if not len(ids):
+            break
+        spot = np.minimum(np.searchsorted(x, ids), len(x) - 1)
+        n = n + w * (x[spot] == ids)
+        apart -= w
+        keep = n >= t - apart
+        if not keep.all():
+            ids, n = ids[keep], n[keep]
+    return list(zip(ids.tolist(), n.tolist()))
+
+
 @dataclass
 class Roots:
     parent: list[int] = field(default_factory=list)
@@ -122,27 +162,35 @@ class Roots:
 
 
 class Inverted:
-    """Inverted lists over sets, by gram."""
+    """Inverted lists over sets, by gram; with `owner`, without the lists that sets of one owner only are in. Equal lists are kept once."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        grams = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    def __init__(self, sets: list[np.ndarray], owner: np.ndarray | None = None):
+        grams = np.concatenate([np.zeros(0, np.uint64), *sets])
         by = np.argsort(grams, kind="stable")
-        self.grams, self.who = grams[by], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[by]
-
-    def without_private(self, owner: np.ndarray) -> None:
-        """Drops the lists that sets of one owner only are in."""
-        if not len(self.grams):
-            return
-        new = np.flatnonzero(np.concatenate([[True], self.grams[1:] != self.grams[:-1]]))
-        mixed = np.minimum.reduceat(owner[self.who], new) != np.maximum.reduceat(owner[self.who], new)
-        keep = np.repeat(mixed, np.diff(np.append(new, len(self.grams))))
-        self.grams, self.who = self.grams[keep], self.who[keep]
+        grams, who = grams[by], np.repeat(np.arange(len(sets)), [len(s) for s in sets])[by]
+        new = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
+        ends = np.append(new[1:], len(grams))
+        if owner is not None and len(new):
+            mixed = np.minimum.reduceat(owner[who], new) != np.maximum.reduceat(owner[who], new)
+            new, ends = new[mixed], ends[mixed]
+        self.grams, self.lists, known = grams[new], [], {}
+        number = []
+        for a, b in zip(new.tolist(), ends.tolist()):
+            k = known.setdefault(who[a:b].tobytes(), len(self.lists))
+            if k == len(self.lists):
+                self.lists.append(who[a:b])
+            number.append(k)
+        self.number = np.array(number, np.int64)
 
     def search(self, grams: np.ndarray, t: int) -> list[tuple[int, int]]:
-        low, high = np.searchsorted(self.grams, grams), np.searchsorted(self.grams, grams, "right")
-        if np.count_nonzero(high > low) < t:
+        if not len(self.grams):
+            return []
+        spot = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        have = self.number[spot[self.grams[spot] == grams]]
+        if len(have) < t:
             return []
-        return divide_skip([self.who[a:b] for a, b in zip(low.tolist(), high.tolist()) if b > a], t)
+        which, times = np.unique(have, return_counts=True)
+        return divide_skip([self.lists[k] for k in which.tolist()], t, times.tolist())
 
 
 def needed(n: int, percent: int) -> int:
@@ -163,25 +211,24 @@ def linked(sets: list[np.ndarray], percent: int = 80) -> list[int]:
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), i))
     roots = Roots(list(range(len(sets))))
     size = [len(s) for s in sets]
-    leaders: dict[int, list[int]] = {}
+    leaders: dict[int, array] = {}
     rank: list[int] = []
     for i in order:
         grams = sets[i].tolist()
         hit = False
-        for k, both in divide_skip([x for x in map(leaders.get, grams) if x], needed(size[i], percent)):
+        for k, both in divide_skip([x for x in map(leaders.get, grams) if x is not None], needed(size[i], percent)):
             if fits(size[i], size[rank[k]], both, percent):
                 roots.join(i, rank[k])
                 hit = True
         if not hit:
-            rank.append(i)
             for g in grams:
-                leaders.setdefault(g, []).append(len(rank) - 1)
+                leaders.setdefault(g, array("q")).append(len(rank))
+            rank.append(i)
     del leaders
     own = np.array([roots.find(i) for i in range(len(sets))])
     names, at, counts = np.unique(own, return_inverse=True, return_counts=True)
     if len(names) > 1:
-        lists = Inverted(sets)
-        lists.without_private(at)
+        lists = Inverted(sets, at)
         for i in np.flatnonzero(at != int(np.argmax(counts))).tolist():
             for k, both in lists.search(sets[i], needed(size[i], percent)):
                 if k != i and fits(size[i], size[k], both, percent):
