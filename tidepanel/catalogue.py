@@ -6,24 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Settings
-from .operators import align, alloc, engine, grouping, inference, optimise, outlook, returns, symbols, windows
+from .operators import align, alloc, engine, grouping, inference, optimise, outlook, returns, study, symbols, windows
 from .sources import panel
 
 S = Settings()
 #: Draws of a null, as in the reference's reports.
 DRAWS = 1000
+NUMBERS = ("ann_return", "ann_vol", "sharpe", "max_drawdown", "avg_turnover")
 
 
 def _panel(spark: SparkSession, d: str, fill: str = "drop") -> DataFrame:
-    return returns.common_days(returns.simple_returns(panel.unit_prices(spark, d), fill))
+    prices = panel.once(spark, ("prices", d), lambda: panel.unit_prices(spark, d))
+    return panel.once(spark, ("panel", d, fill), lambda: returns.common_days(returns.simple_returns(prices, fill)))
 
 
 def _train(spark, d):
-    return windows.train_rows(_panel(spark, d), S)
+    return panel.once(spark, ("train", d), lambda: windows.train_rows(_panel(spark, d), S))
 
 
 def _forward(spark, d):
-    return windows.forward_rows(_panel(spark, d), S)
+    return panel.once(spark, ("forward", d), lambda: windows.forward_rows(_panel(spark, d), S))
 
 
 def _rounded(df: DataFrame, *names: str, digits: int = 8) -> DataFrame:
@@ -34,14 +36,31 @@ def _weights(spark, d, method="risk_parity", within="inverse_vol"):
     return alloc.two_stage(_train(spark, d), panel.sectors(spark, d), S, method, within)
 
 
+PLAIN = ("equal_weight", "inverse_vol", "sector")
+
+
+def _method_weights(spark, d, methods=PLAIN, **how):
+    """method, window_id, asset, w, gate_passed of several methods, kept as they are read more than once."""
+    return panel.once(spark, ("weights", d, methods, *sorted(how.items())), lambda: study.weights_of(_train(spark, d), panel.sectors(spark, d), S, methods, **_gate_for(spark, d, methods), **how))
+
+
+def _gate_for(spark, d, methods):
+    return {"gate": inference.gate(_draws(spark, d))} if "alignment" in methods else {}
+
+
+def _draws(spark, d):
+    return panel.once(spark, ("draws", d), lambda: inference.null_draws(_strings(spark, d), S, DRAWS))
+
+
+def _run(spark, d, methods=PLAIN):
+    """Daily returns and rebalances, kept: one row a day and one a window for each method."""
+    found = study.run(_forward(spark, d), _method_weights(spark, d, methods), S)
+    return tuple(panel.once(spark, (name, d, methods), lambda df=df: df) for name, df in zip(("net", "turns"), found))
+
+
 def _methods(spark, d):
     """method, window_id, dt, r net of costs, for methods that need no search."""
-    train, forward = _train(spark, d), _forward(spark, d)
-    out = None
-    for name, w in (("equal", alloc.equal_weight(train)), ("inverse_vol", alloc.inverse_vol(train)), ("sector", _weights(spark, d))):
-        one = engine.net_returns(engine.gross_returns(forward, w), engine.turnover(w), S.cost_bps).withColumn("method", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _run(spark, d)[0]
 
 
 def _strings(spark, d, **how):
@@ -49,7 +68,7 @@ def _strings(spark, d, **how):
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine.metrics(_methods(spark, sf_dir), S, ["method"])
+    return study.table(*_run(spark, sf_dir), S)
 
 
 def _price_panel(spark, d):
@@ -91,15 +110,12 @@ def _cost_sweep(spark, d):
 
 
 def _bootstrap(spark, d):
-    net = _methods(spark, d)
-    pos = F.row_number().over(engine.Window.orderBy("dt")) - 1
-    x = net.where("method = 'sector'").select("dt", F.col("r").alias("x"))
-    pairs = x.join(net.where("method = 'equal'").select("dt", F.col("r").alias("y")), "dt").select(pos.alias("pos"), "x", "y")
-    return _rounded(inference.bootstrap_sharpe(pairs, S), "lo", "hi", digits=6)
+    """Four intervals of the sector method against the others: 1,000 resamples of blocks of 5 months."""
+    return _rounded(study.intervals(_methods(spark, d), "sector", S, 1000, 5), "lo", "hi", digits=6)
 
 
 def _autocorrelations(spark, d):
-    net = _methods(spark, d).where("method = 'equal'").select((F.row_number().over(engine.Window.orderBy("dt")) - 1).alias("pos"), "r")
+    net = _methods(spark, d).where("method = 'equal_weight'").select((F.row_number().over(engine.Window.orderBy("dt")) - 1).alias("pos"), "r")
     return _rounded(inference.autocorrelations(net, 10), "rho", digits=7)
 
 
@@ -108,9 +124,7 @@ def _distances(spark, d):
 
 
 def _correlation_pairs(spark, d):
-    t = _train(spark, d)
-    a, b = t.select("window_id", "pos", F.col("asset").alias("a"), F.col("r").alias("x")), t.select("window_id", "pos", F.col("asset").alias("b"), F.col("r").alias("y"))
-    return a.join(b, ["window_id", "pos"]).where("a < b").groupBy("window_id", "a", "b").agg((1 - F.corr("x", "y")).alias("d"))
+    return study.correlation_pairs(_train(spark, d))
 
 
 def _alignment_clusters(spark, d):
@@ -145,18 +159,83 @@ def _random_clusters(spark, d):
 
 
 def _pair_pvalues(spark, d):
-    return _rounded(inference.benjamini_hochberg(inference.pair_pvalues(_strings(spark, d), S, DRAWS, inference.hashed_offset)), "d", "p")
+    return _rounded(inference.benjamini_hochberg(inference.drawn_pvalues(_draws(spark, d), DRAWS)), "d", "p")
+
+
+def _fdr_fraction(spark, d):
+    found = inference.benjamini_hochberg(inference.drawn_pvalues(_draws(spark, d), DRAWS))
+    return found.groupBy("window_id").agg(F.avg(F.col("significant").cast("int")).alias("fraction"))
 
 
 def _block_length(spark, d):
-    net = _methods(spark, d).where("method = 'equal'").select((F.row_number().over(engine.Window.orderBy("dt")) - 1).alias("pos"), "r")
+    net = _methods(spark, d).where("method = 'equal_weight'").select((F.row_number().over(engine.Window.orderBy("dt")) - 1).alias("pos"), "r")
     return inference.block_length(net)
 
 
+ALL = ("alignment", "equal_weight", "sector", "correlation", "random", "min_variance", "mean_variance")
+
+
 def _alignment_backtest(spark, d):
-    w = alloc.two_stage(_train(spark, d), _alignment_clusters(spark, d).select("window_id", "asset", "cluster"), S)
-    net = engine.net_returns(engine.gross_returns(_forward(spark, d), w), engine.turnover(w), S.cost_bps).withColumn("method", F.lit("alignment"))
-    return engine.metrics(net.unionByName(_methods(spark, d)), S, ["method"])
+    """All seven methods on the same windows, the alignment behind its gate."""
+    return _rounded(study.table(*_run(spark, d, ALL), S), *NUMBERS, digits=7)
+
+
+def _passed_view(spark, d):
+    return _rounded(study.passed_view(*_run(spark, d, ALL), S), *NUMBERS, digits=7)
+
+
+def _full_intervals(spark, d):
+    """The alignment against every other method, blocks of 5 months."""
+    return _rounded(study.intervals(_run(spark, d, ALL)[0], "alignment", S, 1000, 5), "lo", "hi", digits=6)
+
+
+def _variants(spark, d):
+    return panel.once(spark, ("variants", d), lambda: study.symbol_variants(_train(spark, d), S))
+
+
+def _symbol_ablation(spark, d):
+    w = panel.once(spark, ("variant weights", d), lambda: study.variant_weights(_train(spark, d), _variants(spark, d), S))
+    return _rounded(study.table(*study.run(_forward(spark, d), w, S, ("variant",)), S, ("variant",)), *NUMBERS, digits=7)
+
+
+def _allocator_sweep(spark, d):
+    clusters = panel.once(spark, ("clusters", d), lambda: study.alignment_clusters(_train(spark, d), S))
+    w = panel.once(spark, ("allocators", d), lambda: study.allocators(_train(spark, d), clusters, inference.gate(_draws(spark, d)), S))
+    return _rounded(study.table(*study.run(_forward(spark, d), w, S, ("variant",)), S, ("variant",)), *NUMBERS, digits=7)
+
+
+def _holdout(spark, d):
+    """Verdicts on the report's part of time: the variants of symbols against equal weights, for windows that hold after the cut."""
+    w = panel.once(spark, ("variant weights", d), lambda: study.variant_weights(_train(spark, d), _variants(spark, d), S))
+    late = returns.time_split(_panel(spark, d), S.tune_fraction).where("part = 'report'").select("dt").distinct()
+    net, _ = study.run(_forward(spark, d), w, S, ("variant",))
+    net = net.join(F.broadcast(late), "dt", "left_semi").withColumn("method", F.col("variant"))
+    out = None
+    for name in ("per_stock", "pooled_neutral"):
+        one = study.verdicts(study.intervals(net.where(F.col("method").isin(name, "equal_weight")), name, S, 1000, 5)).withColumn("variant", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return _rounded(out, "lo", "hi", digits=6)
+
+
+def report(spark, d, methods, draws=DRAWS, settings=S, bps=None, band_only=False) -> dict[str, DataFrame]:
+    """Tables of a full report by name: clusters by band, metrics, the view of passed windows, intervals and costs. Only the bands, with
+    band_only; views and intervals need the alignment among the methods."""
+    out = {"bands": _band_sweep(spark, d)}
+    if band_only:
+        return out
+    s, train = settings, windows.train_rows(_panel(spark, d), settings)
+    w = study.weights_of(train, panel.sectors(spark, d), s, tuple(methods), draws=draws, allocator=s.allocator).persist()
+    forward = windows.forward_rows(_panel(spark, d), s)
+    net, turns = study.run(forward, w, s, bps=bps)
+    out["metrics"] = study.table(net, turns, s)
+    if "alignment" in methods:
+        out["passed"] = study.passed_view(net, turns, s)
+        out["intervals"] = study.intervals(net, "alignment", s, s.resamples, s.block)
+    costs = None
+    for c in s.costs:
+        one = study.table(*study.run(forward, w, s, bps=c), s).withColumn("bps", F.lit(c))
+        costs = one if costs is None else costs.unionByName(one)
+    return out | {"costs": costs}
 
 
 def _composites(spark, d):
@@ -188,7 +267,7 @@ def queries() -> dict:
         "turnover": lambda s, d: _rounded(engine.turnover(_weights(s, d)), "turnover"),
         "gross_returns": lambda s, d: _rounded(engine.gross_returns(_forward(s, d), _weights(s, d)), "r"),
         "net_returns": lambda s, d: _rounded(_methods(s, d), "r"),
-        "metrics_table": lambda s, d: _rounded(entry(s, d), "ann_return", "ann_vol", "sharpe", "max_drawdown", digits=7),
+        "metrics_table": lambda s, d: _rounded(entry(s, d).drop("gate_pass_fraction"), *NUMBERS, digits=7),
         "cost_sweep": _cost_sweep,
         "correlation_distance": lambda s, d: _rounded(_correlation_pairs(s, d), "d"),
         "autocorrelations": _autocorrelations,
@@ -204,7 +283,16 @@ def queries() -> dict:
         "correlation_clusters": _correlation_clusters,
         "cluster_agreement": _agreement,
         "band_sweep": _band_sweep,
-        "null_gate": lambda s, d: inference.null_gate(_strings(s, d), S, DRAWS),
+        "null_gate": lambda s, d: inference.gate(_draws(s, d)),
+        "fdr_fraction": _fdr_fraction,
+        "gate_passed_view": _passed_view,
+        "report_intervals": _full_intervals,
+        "symbol_ablation": _symbol_ablation,
+        "symbol_agreement": lambda s, d: _rounded(study.mean_agreement(_variants(s, d)), "ari"),
+        "allocator_sweep": _allocator_sweep,
+        "holdout_verdicts": _holdout,
+        "cluster_map": lambda s, d: grouping.cluster_map(_alignment_clusters(s, d)).select("window_id", F.to_json("clusters").alias("clusters")),
+        "arima_forecast": lambda s, d: _rounded(outlook.forecasts(_composites(s, d), S.hold, 20, "arima"), "expected_return", digits=6),
         "alignment_backtest": _alignment_backtest,
         "hist_mean_forecast": lambda s, d: _rounded(outlook.historical_mean(_composites(s, d), S.hold), "expected_return"),
         # training windows have 24 months, so 20 returns are enough here
@@ -253,14 +341,17 @@ cap2 AS (
   SELECT window_id, asset, least(w, cap) + coalesce(sum(greatest(w - cap, 0)) OVER p * greatest(cap - w, 0) / nullif(sum(greatest(cap - w, 0)) OVER p, 0), 0) AS w
   FROM raw2 WINDOW p AS (PARTITION BY window_id, cluster)),
 ts AS (SELECT window_id, asset, w / sum(w) OVER (PARTITION BY window_id) AS w FROM cap2),
-allw AS (SELECT 'equal' AS method, * FROM eq UNION ALL SELECT 'inverse_vol', * FROM iv UNION ALL SELECT 'sector', * FROM ts),
-moves AS (SELECT method, window_id, abs(w - lag(w, 1, 0) OVER (PARTITION BY method, asset ORDER BY window_id)) AS m FROM allw),
+allw AS (SELECT 'equal_weight' AS method, * FROM eq UNION ALL SELECT 'inverse_vol', * FROM iv UNION ALL SELECT 'sector', * FROM ts),
+allgrid AS (
+  SELECT k.method, k.window_id, a.asset, coalesce(w.w, 0) AS w FROM (SELECT DISTINCT method, window_id FROM allw) k CROSS JOIN (SELECT DISTINCT asset FROM allw) a
+  LEFT JOIN allw w ON w.method = k.method AND w.window_id = k.window_id AND w.asset = a.asset),
+moves AS (SELECT method, window_id, abs(w - lag(w, 1, 0) OVER (PARTITION BY method, asset ORDER BY window_id)) AS m FROM allgrid),
 turns AS (SELECT method, window_id, sum(m) AS turnover FROM moves GROUP BY 1, 2),
 gross AS (SELECT method, window_id, dt, sum(r * w) AS r FROM fwd JOIN allw USING (window_id, asset) GROUP BY 1, 2, 3),
 firsts AS (SELECT *, row_number() OVER (PARTITION BY method, window_id ORDER BY dt) = 1 AS is_first FROM gross),
 net AS (SELECT method, window_id, dt, r - CASE WHEN is_first THEN turnover * 10.0 / 1e4 ELSE 0 END AS r FROM firsts JOIN turns USING (method, window_id)),
 swept AS (SELECT CAST(bps AS DOUBLE) AS bps, dt, r - CASE WHEN is_first THEN turnover * bps / 1e4 ELSE 0 END AS r FROM firsts JOIN turns USING (method, window_id), (VALUES (0.0), (5.0), (10.0), (15.0), (20.0), (25.0)) c(bps) WHERE method = 'sector'),
-pairs AS (SELECT CAST(row_number() OVER (ORDER BY a.dt) - 1 AS INTEGER) AS pos, a.r AS x, b.r AS y FROM net a JOIN net b ON a.dt = b.dt AND a.method = 'sector' AND b.method = 'equal')
+pairs AS (SELECT CAST(row_number() OVER (ORDER BY a.dt) - 1 AS INTEGER) AS pos, a.r AS x, b.r AS y FROM net a JOIN net b ON a.dt = b.dt AND a.method = 'sector' AND b.method = 'equal_weight')
 """
 
 
@@ -274,6 +365,7 @@ FROM (SELECT *, cum / max(cum) OVER (PARTITION BY {key} ORDER BY dt ROWS UNBOUND
 
 def oracle_sql() -> dict[str, str]:
     code = "CASE WHEN e[1] = e[4] THEN 2 ELSE CAST(r >= e[1] AS INT) + CAST(r >= e[2] AS INT) + CAST(r >= e[3] AS INT) + CAST(r >= e[4] AS INT) END"
+    sharpe = "CASE WHEN stddev_pop({0}) > 1e-12 THEN avg({0}) / stddev_pop({0}) * sqrt(12.0) END"
     four = ", ".join(f"round(e[{k}], 9) AS e{k}" for k in range(1, 5))
     tails = {
         "price_panel": "SELECT * FROM prices",
@@ -297,15 +389,22 @@ def oracle_sql() -> dict[str, str]:
         "turnover": "SELECT window_id, round(turnover, 8) AS turnover FROM turns WHERE method = 'sector'",
         "gross_returns": "SELECT window_id, dt, round(r, 8) AS r FROM gross WHERE method = 'sector'",
         "net_returns": "SELECT method, window_id, dt, round(r, 8) AS r FROM net",
-        "metrics_table": _metrics_sql("net", "method"),
+        "metrics_table": "SELECT m.*, round(t.avg_turnover, 7) AS avg_turnover FROM (" + _metrics_sql("net", "method") + ") m JOIN (SELECT method, avg(turnover) AS avg_turnover FROM turns GROUP BY method) t USING (method)",
+        "random_clusters": """SELECT window_id, asset, cluster FROM (
+  SELECT window_id, asset, row_number() OVER (PARTITION BY window_id ORDER BY md5('42:' || window_id || ':' || asset), asset) AS rank FROM (SELECT DISTINCT window_id, asset FROM train)) r
+  JOIN (SELECT cluster, size, sum(size) OVER (ORDER BY cluster) AS upto FROM (SELECT cluster, count(*) AS size FROM sectors GROUP BY cluster)) c ON rank > upto - size AND rank <= upto""",
         "cost_sweep": _metrics_sql("swept", "bps"),
         "correlation_distance": "SELECT a.window_id, a.asset AS a, b.asset AS b, round(1 - corr(a.r, b.r), 8) AS d FROM train a JOIN train b ON a.window_id = b.window_id AND a.pos = b.pos AND a.asset < b.asset GROUP BY 1, 2, 3",
         "hist_mean_forecast": "SELECT window_id, cluster, round(avg(r) * 3, 8) AS expected_return FROM comp GROUP BY 1, 2",
         "autocorrelations": "SELECT k AS lag, round(sum(a.y * b.y) / (SELECT sum(y * y) FROM cy), 7) AS rho FROM (SELECT pos, y - (SELECT avg(y) FROM pairs) AS y FROM pairs) a JOIN cy b ON b.pos > a.pos JOIN (SELECT CAST(k AS INTEGER) AS k FROM range(1, 11) t(k)) l ON b.pos = a.pos + k GROUP BY k",
-        "block_bootstrap_ci": """SELECT round(quantile_cont(gap, 0.025), 6) AS lo, round(quantile_cont(gap, 0.975), 6) AS hi FROM (
-  SELECT q, (avg(x) / stddev_pop(x) - avg(y) / stddev_pop(y)) * sqrt(12.0) AS gap FROM (
-    SELECT q, (q * 31 + b * 17 + q * b * 5) % (n - 4) + s AS pos FROM (SELECT count(*) AS n FROM pairs) c, range(0, 200) t(q), range(0, 100000) u(b), range(0, 5) v(s) WHERE b < ceil(n / 5.0) AND b * 5 + s < n) d
-  JOIN pairs USING (pos) GROUP BY q)""",
+        "block_bootstrap_ci": f"""SELECT baseline, stat, round(quantile_cont(value, 0.025), 6) AS lo, round(quantile_cont(value, 0.975), 6) AS hi FROM (
+  UNPIVOT (SELECT baseline, q, {sharpe.format('x')} AS sharpe_method, {sharpe.format('y')} AS sharpe_baseline, {sharpe.format('x')} - {sharpe.format('y')} AS sharpe_diff,
+    pow(product(1 + x), 12.0 / count(x)) - pow(product(1 + y), 12.0 / count(y)) AS return_diff
+  FROM (
+    SELECT q, CAST(('0x' || substr(md5('start:' || q || ':' || b), 1, 15))::BIGINT % (n - 4) AS INTEGER) + s AS pos
+    FROM (SELECT count(*) AS n FROM pairs) c, range(0, 1000) t(q), range(0, 100000) u(b), range(0, 5) v(s) WHERE b < ceil(n / 5.0) AND b * 5 + s < n) d
+  JOIN (SELECT row_number() OVER (PARTITION BY b.method ORDER BY a.dt) - 1 AS pos, b.method AS baseline, a.r AS x, b.r AS y FROM net a JOIN net b ON a.dt = b.dt AND a.method = 'sector' AND b.method <> 'sector') p
+  USING (pos) GROUP BY baseline, q) ON sharpe_method, sharpe_baseline, sharpe_diff, return_diff INTO NAME stat VALUE value) GROUP BY baseline, stat""",
     }
     base = _BASE + ", cy AS (SELECT pos, y - (SELECT avg(y) FROM pairs) AS y FROM pairs)\n"
     return {k: base + v for k, v in tails.items()}

@@ -109,3 +109,19 @@ def random_clusters(assets: DataFrame, sizes: DataFrame, seed: int = 42) -> Data
     bounds = sizes.select("cluster", (upto - F.col("size")).alias("after"), upto.alias("upto"))
     places = bounds.select("cluster", F.explode(F.sequence((F.col("after") + 1).cast("int"), F.col("upto").cast("int"))).alias("rank"))
     return ranked.join(places, "rank").select("window_id", "asset", "cluster")
+
+
+def shuffled_clusters(assets: DataFrame, sizes: DataFrame, seed: int = 42) -> DataFrame:
+    """The same with sizes of each window: window_id, cluster, size."""
+    order = Window.partitionBy("window_id").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "window_id", "asset").cast("binary")), "asset")
+    ranked = assets.select("window_id", "asset").distinct().withColumn("rank", F.row_number().over(order))
+    upto = F.sum("size").over(Window.partitionBy("window_id").orderBy("cluster"))
+    bounds = sizes.select("window_id", "cluster", (upto - F.col("size")).alias("after"), upto.alias("upto"))
+    places = bounds.select("window_id", "cluster", F.explode(F.sequence((F.col("after") + 1).cast("int"), F.col("upto").cast("int"))).alias("rank"))
+    return ranked.join(places, ["window_id", "rank"]).select("window_id", "asset", "cluster")
+
+
+def cluster_map(clusters: DataFrame, key: str = "window_id") -> DataFrame:
+    """key, clusters: a map from each cluster's number to its assets in order."""
+    inside = clusters.groupBy(key, "cluster").agg(F.array_sort(F.collect_list("asset")).alias("assets"))  # the assets of a window
+    return inside.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("cluster", "assets")))).alias("clusters"))

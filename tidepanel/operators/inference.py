@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -33,23 +35,64 @@ def shifted(strings: DataFrame, draws: int, s: Settings, offset=hashed_offset) -
     return each.withColumn("off", off).select("window_id", "draw", "asset", F.concat(F.slice("codes", F.col("off") * -1, F.col("off")), F.slice("codes", F.lit(1), n - F.col("off"))).alias("codes"))
 
 
-def null_gate(strings: DataFrame, s: Settings, draws: int, percentile: float = 0.95) -> DataFrame:
-    """window_id, silhouette, threshold, passed. Each window and draw is clustered on its own; draw -1 is the data itself."""
-    every = strings.select("window_id", F.lit(-1).alias("draw"), "asset", "codes").unionByName(shifted(strings, draws, s))
+def offset_of(window, draw, asset, length: int, band: int) -> int:
+    """The same offset as `hashed_offset`, in a kernel."""
+    room = length - 2 * band - 2
+    if room <= 0:
+        raise ValueError("strings are too short to turn beyond the band")
+    return band + 1 + int(hashlib.md5(f"{window}:{draw}:{asset}".encode()).hexdigest()[:15], 16) % room
+
+
+def null_draws(strings: DataFrame, s: Settings, draws: int, batch: int = 50) -> DataFrame:
+    """window_id, draw, silhouette, a, b, d, near. Rows with a draw hold a silhouette, draw -1 that of the data itself; rows with a pair
+    hold its distance and in how many draws of a batch it came as near.
+
+    A window's strings go to one task for each batch of draws and are turned there, so each is sent once a batch; all pairs of all
+    draws of the batch are aligned in one sweep."""
+    parts = strings.sparkSession.range(-(-draws // batch)).select(F.col("id").cast("int").alias("part"))
+    kind = strings.schema["asset"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("asset")
+        window, part, names = pdf["window_id"].iloc[0], int(pdf["part"].iloc[0]), pdf["asset"].tolist()
         x = np.stack(pdf["codes"]).astype(float)
-        i, j = np.triu_indices(len(x), 1)
-        d = np.zeros((len(x), len(x)))
-        d[i, j] = d[j, i] = np.maximum(0, 1 - banded_scores(x[i], x[j], s) / (s.match * x.shape[1]))
-        return pd.DataFrame({"window_id": pdf["window_id"].iloc[:1], "draw": pdf["draw"].iloc[:1], "silhouette": [constrained_labels(d, s)[1]]})
-
-    found = every.groupBy("window_id", "draw").applyInPandas(run, "window_id int, draw int, silhouette double")
+        length, n = x.shape[1], len(names)
+        i, j = np.triu_indices(n, 1)
+        which = list(range(part * batch, min(draws, (part + 1) * batch)))
+        turned = [x, *(np.stack([np.roll(row, offset_of(window, k, name, length, s.band)) for row, name in zip(x, names)]) for k in which)]
+        d = np.maximum(0, 1 - banded_scores(np.concatenate([t[i] for t in turned]), np.concatenate([t[j] for t in turned]), s) / (s.match * length)).reshape(len(turned), -1)
+        sils = []
+        for row in d:
+            full = np.zeros((n, n))
+            full[i, j] = full[j, i] = row
+            sils.append(constrained_labels(full, s)[1])
+        first = 0 if part == 0 else 1  # the data itself is told once
+        one = pd.DataFrame({"draw": [-1, *which][first:], "silhouette": sils[first:]})
+        near = (d[1:] <= d[0]).sum(0)
+        two = pd.DataFrame({"a": [names[k] for k in i], "b": [names[k] for k in j], "d": d[0], "near": near})
+        out = pd.concat([one, two], ignore_index=True).astype({"draw": "Int32", "near": "Int64"})
+        return out.assign(window_id=window)[["window_id", "draw", "silhouette", "a", "b", "d", "near"]]
+
+    schema = f"window_id int, draw int, silhouette double, a {kind}, b {kind}, d double, near long"
+    return strings.crossJoin(F.broadcast(parts)).groupBy("window_id", "part").applyInPandas(run, schema)
+
+
+def gate(found: DataFrame, percentile: float = 0.95) -> DataFrame:
+    """window_id, silhouette, threshold, passed: whether the data's silhouette exceeds the percentile of the draws'; without one it fails."""
     real = F.max(F.when(F.col("draw") < 0, F.nanvl("silhouette", F.lit(None))))
     null = F.percentile(F.when(F.col("draw") >= 0, F.nanvl("silhouette", F.lit(None))), F.lit(percentile))
-    gate = found.groupBy("window_id").agg(real.alias("silhouette"), null.alias("threshold"))
-    return gate.withColumn("passed", F.coalesce(F.col("silhouette") > F.col("threshold"), F.lit(False)))
+    out = found.where("draw is not null").groupBy("window_id").agg(real.alias("silhouette"), null.alias("threshold"))
+    return out.withColumn("passed", F.coalesce(F.col("silhouette") > F.col("threshold"), F.lit(False)))
+
+
+def null_gate(strings: DataFrame, s: Settings, draws: int, percentile: float = 0.95) -> DataFrame:
+    return gate(null_draws(strings, s, draws), percentile)
+
+
+def drawn_pvalues(found: DataFrame, draws: int) -> DataFrame:
+    """window_id, a, b, d, p of the pairs of `null_draws`: the share of draws, itself counted, that bring a pair as near as it is."""
+    near = found.where("draw is null").groupBy("window_id", "a", "b").agg(F.max("d").alias("d"), F.sum("near").alias("m"))
+    return near.select("window_id", "a", "b", "d", ((F.col("m") + 1) / (draws + 1)).alias("p"))
 
 
 def benjamini_hochberg(pvalues: DataFrame, alpha: float = 0.05, key: str = "window_id") -> DataFrame:
@@ -60,18 +103,38 @@ def benjamini_hochberg(pvalues: DataFrame, alpha: float = 0.05, key: str = "wind
     return ranked.withColumn("significant", F.coalesce(F.col("p") <= limit, F.lit(False))).drop("rank", "n")
 
 
-def bootstrap_sharpe(pairs: DataFrame, s: Settings, resamples: int = 200, block: int = 5) -> DataFrame:
-    """lo, hi of the difference of Sharpe ratios of x and y over moving blocks; starts are deterministic arithmetic. pairs: pos, x, y."""
+def hashed_start(resample, block, room):
+    """A start in 0 .. room - 1 from a hash of resample and block: resamples don't repeat each other."""
+    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("start"), resample, block).cast("binary")), 1, 15), 16, 10).cast("long")
+    return F.pmod(hashed, room).cast("int")
+
+
+def bootstrap_intervals(pairs: DataFrame, s: Settings, resamples: int = 5000, block: int = 20, confidence: float = 0.95, keys: tuple[str, ...] = (), by_dependence: bool = False) -> DataFrame:
+    """keys, stat, lo, hi for stats sharpe_method, sharpe_baseline, sharpe_diff and return_diff of x (method) and y (baseline): moving
+    blocks, the same ones for both. pairs: keys, pos (from 0 in each of keys), x, y.
+
+    Each resample draws ceil(n / block) starts by hash, the same for all keys, and is cut to n rows. With by_dependence a block's length is
+    Politis and White's choice for x, one for all keys of one x. Fewer than 10 rows give null bounds; a resample without variance has
+    no Sharpe ratio and is left out of its intervals.
+    """
     spark = pairs.sparkSession
-    n = F.broadcast(pairs.agg(F.count("*").cast("int").alias("n")))
-    base = spark.range(resamples).select(F.col("id").cast("int").alias("resample")).join(n)
-    blocks = base.withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1)))
-    start = F.pmod(F.col("resample") * 31 + F.col("block") * 17 + F.col("resample") * F.col("block") * 5, F.col("n") - block + 1)
-    rows = blocks.withColumn("start", start).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).where(F.col("block") * block + F.col("step") < F.col("n"))
-    drawn = rows.select("resample", (F.col("start") + F.col("step")).alias("pos")).join(F.broadcast(pairs), "pos")
-    sharpe = lambda c: F.avg(c) / F.nullif(F.stddev_pop(c), F.lit(0.0)) * float(s.periods) ** 0.5
-    each = drawn.groupBy("resample").agg((sharpe("x") - sharpe("y")).alias("gap"))
-    return each.agg(F.percentile("gap", F.lit(0.025)).alias("lo"), F.percentile("gap", F.lit(0.975)).alias("hi"))
+    if by_dependence:
+        one = pairs.select(*keys).distinct().limit(1) if keys else None
+        block = block_length((pairs.join(F.broadcast(one), list(keys)) if keys else pairs).select("pos", F.col("x").alias("r"))).first()[0]
+    sizes = pairs.groupBy(*keys).agg(F.count("*").cast("int").alias("n"))
+    width = F.least(F.lit(block), F.col("n"))
+    base = F.broadcast(sizes).crossJoin(spark.range(resamples).select(F.col("id").cast("int").alias("resample"))).withColumn("width", width)
+    blocks = base.withColumn("block", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / F.col("width")).cast("int") - 1)))
+    rows = blocks.withColumn("start", hashed_start(F.col("resample"), F.col("block"), F.col("n") - F.col("width") + 1)).withColumn("step", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
+    rows = rows.where(F.col("block") * F.col("width") + F.col("step") < F.col("n"))
+    drawn = rows.select(*keys, "resample", "n", (F.col("start") + F.col("step")).alias("pos")).join(F.broadcast(pairs), [*keys, "pos"])
+    year = float(s.periods)
+    sharpe = lambda c: F.when(F.stddev_pop(c) > 1e-12, F.avg(c) / F.stddev_pop(c) * year**0.5)
+    annual = lambda c: F.pow(F.product(1 + F.col(c)), year / F.count(c)) - 1
+    each = drawn.groupBy(*keys, "resample").agg(sharpe("x").alias("sharpe_method"), sharpe("y").alias("sharpe_baseline"), (sharpe("x") - sharpe("y")).alias("sharpe_diff"), (annual("x") - annual("y")).alias("return_diff"), F.max("n").alias("n"))
+    long = each.where("resample >= 0").unpivot([*keys, "resample", "n"], ["sharpe_method", "sharpe_baseline", "sharpe_diff", "return_diff"], "stat", "value")
+    bound = lambda p: F.when(F.max("n") >= 10, F.percentile("value", F.lit(p)))
+    return long.groupBy(*keys, "stat").agg(bound((1 - confidence) / 2).alias("lo"), bound((1 + confidence) / 2).alias("hi"))
 
 
 def autocorrelations(series: DataFrame, lags: int) -> DataFrame:

@@ -19,6 +19,21 @@ def unit_prices(spark: SparkSession, sf_dir: str, grain: str = "month") -> DataF
     return items.join(nations, "l_suppkey").groupBy("asset", period).agg((exact("l_extendedprice") / exact("l_quantity")).alias("price"))
 
 
+def once(spark: SparkSession, key: tuple, make) -> DataFrame:
+    """What make() gives, kept in the executors' storage under a key of this session; lost parts are computed again. For panels and windows
+    of them, which are small beside the fact tables they come from."""
+    kept = spark.__dict__.setdefault("_tidepanel_kept", {})
+    if key not in kept:
+        kept[key] = make().persist()
+    return kept[key]
+
+
+def forget(spark: SparkSession) -> None:
+    """Frees all that `once` keeps."""
+    for df in spark.__dict__.pop("_tidepanel_kept", {}).values():
+        df.unpersist()
+
+
 def from_csv(spark: SparkSession, path: str) -> DataFrame:
     """A wide file, first column the date and one column for each asset, as long rows; empty cells are null."""
     wide = spark.read.csv(path, header=True)
