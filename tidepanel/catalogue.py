@@ -39,13 +39,24 @@ def _weights(spark, d, method="risk_parity", within="inverse_vol"):
 PLAIN = ("equal_weight", "inverse_vol", "sector")
 
 
-def _method_weights(spark, d, methods=PLAIN, **how):
-    """method, window_id, asset, w, gate_passed of several methods, kept as they are read more than once."""
-    return panel.once(spark, ("weights", d, methods, *sorted(how.items())), lambda: study.weights_of(_train(spark, d), panel.sectors(spark, d), S, methods, **_gate_for(spark, d, methods), **how))
+def _method_weights(spark, d, methods=PLAIN):
+    """method, window_id, asset, w, gate_passed of several methods; each is kept, as it is read more than once."""
+    out = None
+    for m in methods:
+        how = {"gate": _gate(spark, d)} if m == "alignment" else {}
+        if m in ("alignment", "random"):
+            how["aligned"] = _aligned(spark, d)
+        one = panel.once(spark, ("weights", d, m), lambda m=m, how=how: study.weights_of(_train(spark, d), panel.sectors(spark, d), S, (m,), **how))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _aligned(spark, d):
+    return panel.once(spark, ("clusters", d), lambda: study.alignment_clusters(_train(spark, d), S))
 
 
-def _gate_for(spark, d, methods):
-    return {"gate": inference.gate(_draws(spark, d))} if "alignment" in methods else {}
+def _gate(spark, d):
+    return panel.once(spark, ("gate", d), lambda: inference.gate(_draws(spark, d)))
 
 
 def _draws(spark, d):
@@ -199,8 +210,7 @@ def _symbol_ablation(spark, d):
 
 
 def _allocator_sweep(spark, d):
-    clusters = panel.once(spark, ("clusters", d), lambda: study.alignment_clusters(_train(spark, d), S))
-    w = panel.once(spark, ("allocators", d), lambda: study.allocators(_train(spark, d), clusters, inference.gate(_draws(spark, d)), S))
+    w = panel.once(spark, ("allocators", d), lambda: study.allocators(_train(spark, d), _aligned(spark, d), _gate(spark, d), S))
     return _rounded(study.table(*study.run(_forward(spark, d), w, S, ("variant",)), S, ("variant",)), *NUMBERS, digits=7)
 
 
@@ -283,7 +293,7 @@ def queries() -> dict:
         "correlation_clusters": _correlation_clusters,
         "cluster_agreement": _agreement,
         "band_sweep": _band_sweep,
-        "null_gate": lambda s, d: inference.gate(_draws(s, d)),
+        "null_gate": _gate,
         "fdr_fraction": _fdr_fraction,
         "gate_passed_view": _passed_view,
         "report_intervals": _full_intervals,

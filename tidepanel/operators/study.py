@@ -37,13 +37,16 @@ def gated_weights(train: DataFrame, clusters: DataFrame, gate: DataFrame, s: Set
     return both.select("window_id", "asset", F.when(passed, F.coalesce("two", F.lit(0.0))).otherwise(F.col("w")).alias("w"), passed.alias("gate_passed"))
 
 
-def method_weights(train: DataFrame, sectors: DataFrame, s: Settings, method: str, draws: int = 1000, allocator: str = "risk_parity", gate: DataFrame | None = None) -> DataFrame:
-    """window_id, asset, w, gate_passed (null but for "alignment") of one of METHODS in every window. A gate that is known already may be given."""
+def method_weights(train: DataFrame, sectors: DataFrame, s: Settings, method: str, draws: int = 1000, allocator: str = "risk_parity", gate: DataFrame | None = None, aligned: DataFrame | None = None) -> DataFrame:
+    """window_id, asset, w, gate_passed (null but for "alignment") of one of METHODS in every window. A gate and clusters by alignment that
+    are known already may be given."""
     if method not in METHODS:
         raise ValueError(f"unknown method {method}; there are {', '.join(METHODS)}")
+    if method in ("alignment", "random") and aligned is None:
+        aligned = alignment_clusters(train, s)
     if method == "alignment":
         gate = inference.null_gate(strings(train, s), s, draws) if gate is None else gate
-        return gated_weights(train, alignment_clusters(train, s), gate, s, allocator)
+        return gated_weights(train, aligned, gate, s, allocator)
     if method == "equal_weight":
         w = alloc.equal_weight(train)
     elif method == "inverse_vol":
@@ -53,7 +56,7 @@ def method_weights(train: DataFrame, sectors: DataFrame, s: Settings, method: st
     elif method == "correlation":
         w = alloc.two_stage(train, grouping.clusters(correlation_pairs(train), s).select("window_id", "asset", "cluster"), s, allocator)
     elif method == "random":
-        sizes = alignment_clusters(train, s).groupBy("window_id", "cluster").agg(F.count("*").alias("size"))
+        sizes = aligned.groupBy("window_id", "cluster").agg(F.count("*").alias("size"))
         w = alloc.two_stage(train, grouping.shuffled_clusters(train, sizes), s, allocator)
     else:
         w = optimise.optimised(train, s, *((0.5, True) if method == "mean_variance" else ()))
