@@ -78,7 +78,7 @@ def _steady(x: np.ndarray) -> np.ndarray:
 
 def _covariances(ar: np.ndarray, ma: np.ndarray, lags: int) -> np.ndarray:
     """Autocovariances of lags 0 .. lags - 1 for innovations of variance 1: the psi weights' products, as far as they count."""
-    size = lags + 400
+    size = lags + 100
     psi = np.zeros(size)
     psi[0] = 1.0
     for k in range(1, size):
@@ -87,7 +87,7 @@ def _covariances(ar: np.ndarray, ma: np.ndarray, lags: int) -> np.ndarray:
     return np.array([psi[: size - k] @ psi[k:] for k in range(lags)])
 
 
-def _least(f, start: np.ndarray, steps: int = 150) -> tuple[np.ndarray, float]:
+def _least(f, start: np.ndarray, steps: int = 60) -> tuple[np.ndarray, float]:
     """A simplex search for the least value of f."""
     n = len(start)
     if not n:
@@ -97,7 +97,7 @@ def _least(f, start: np.ndarray, steps: int = 150) -> tuple[np.ndarray, float]:
     for _ in range(steps * n):
         order = np.argsort(values)
         points, values = points[order], values[order]
-        if values[-1] - values[0] < 1e-8:
+        if values[-1] - values[0] < 1e-6:
             break
         mid = points[:-1].mean(0)
         new = 2 * mid - points[-1]
