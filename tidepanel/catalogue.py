@@ -233,10 +233,10 @@ def report(spark, d, methods, draws=DRAWS, settings=S, bps=None, band_only=False
     out = {"bands": _band_sweep(spark, d)}
     if band_only:
         return out
-    s, train = settings, windows.train_rows(_panel(spark, d), settings)
-    w = study.weights_of(train, panel.sectors(spark, d), s, tuple(methods), draws=draws, allocator=s.allocator).persist()
-    forward = windows.forward_rows(_panel(spark, d), s)
-    net, turns = study.run(forward, w, s, bps=bps)
+    s, train = settings, panel.stored(windows.train_rows(_panel(spark, d), settings))
+    w = study.weights_of(train, panel.sectors(spark, d), s, tuple(methods), draws=draws, allocator=s.allocator)
+    w, forward = panel.stored(w), panel.stored(windows.forward_rows(_panel(spark, d), s))
+    net, turns = (panel.stored(df) for df in study.run(forward, w, s, bps=bps))
     out["metrics"] = study.table(net, turns, s)
     if "alignment" in methods:
         out["passed"] = study.passed_view(net, turns, s)

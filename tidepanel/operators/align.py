@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
+from ..sources.panel import spread
 
 _LOW = -1e18
 
@@ -89,4 +90,4 @@ def pair_distances(strings: DataFrame, s: Settings, keys: tuple[str, ...] = ("wi
 
     kinds = ", ".join(f"{k} {strings.schema[k].dataType.simpleString()}" for k in (*keys,))
     kind = strings.schema["asset"].dataType.simpleString()
-    return pairs.mapInPandas(run, f"{kinds}, a {kind}, b {kind}, score double, d double")
+    return spread(pairs, *keys, "a", "b").mapInPandas(run, f"{kinds}, a {kind}, b {kind}, score double, d double")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
+from ..sources.panel import spread
 
 
 def linkage_cuts(d: np.ndarray, ks: list[int]) -> dict[int, np.ndarray]:
@@ -86,7 +87,7 @@ def clusters(distances: DataFrame, s: Settings, key: str = "window_id") -> DataF
         labels, sil, ok = constrained_labels(d, s)
         return pd.DataFrame({key: pdf[key].iloc[0], "asset": names, "cluster": labels, "k": int(labels.max()) + 1, "silhouette": sil, "min_size_ok": ok})
 
-    return distances.groupBy(key).applyInPandas(run, f"{key} int, asset {kind}, cluster int, k int, silhouette double, min_size_ok boolean")
+    return spread(distances, key).groupBy(key).applyInPandas(run, f"{key} int, asset {kind}, cluster int, k int, silhouette double, min_size_ok boolean")
 
 
 def rand_index(left: DataFrame, right: DataFrame, key: str = "window_id") -> DataFrame:

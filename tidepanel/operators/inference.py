@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
+from ..sources.panel import spread
 from .align import banded_scores, pair_distances
 from .grouping import constrained_labels
 
@@ -74,7 +75,7 @@ def null_draws(strings: DataFrame, s: Settings, draws: int, batch: int = 50) ->
         return out.assign(window_id=window)[["window_id", "draw", "silhouette", "a", "b", "d", "near"]]
 
     schema = f"window_id int, draw int, silhouette double, a {kind}, b {kind}, d double, near long"
-    return strings.crossJoin(F.broadcast(parts)).groupBy("window_id", "part").applyInPandas(run, schema)
+    return spread(strings.crossJoin(F.broadcast(parts)), "window_id", "part").groupBy("window_id", "part").applyInPandas(run, schema)
 
 
 def gate(found: DataFrame, percentile: float = 0.95) -> DataFrame:

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..config import Settings
+from ..sources.panel import spread
 
 
 def shrunk_covariance(x: np.ndarray) -> np.ndarray:
@@ -65,4 +66,4 @@ def optimised(train: DataFrame, s: Settings, mean_share: float = 0.0, shrink_mea
         w = optimal_weights(x.to_numpy(float), s.cap(x.shape[1]), mean_share, shrink_means)
         return pd.DataFrame({"window_id": pdf["window_id"].iloc[0], "asset": x.columns.to_numpy(), "w": w})
 
-    return train.select("window_id", "asset", "pos", "r").groupBy("window_id").applyInPandas(run, f"window_id int, asset {kind}, w double")
+    return spread(train.select("window_id", "asset", "pos", "r"), "window_id").groupBy("window_id").applyInPandas(run, f"window_id int, asset {kind}, w double")

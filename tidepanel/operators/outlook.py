@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.panel import spread
+
 #: Asymptotic 5 % value of the Dickey-Fuller statistic with a constant.
 CRITICAL = -2.86
 
@@ -192,4 +194,4 @@ def forecasts(series: DataFrame, horizon: int, least: int = 30, model: str = "sp
         return pdf[["window_id", "cluster"]].head(1).assign(expected_return=value, model=name, p=order[0], d=d, q=order[1], fallback=name in ("empty", "historical_mean"))
 
     schema = "window_id int, cluster int, expected_return double, model string, p int, d int, q int, fallback boolean"
-    return series.select("window_id", "cluster", "pos", "r").groupBy("window_id", "cluster").applyInPandas(run, schema)
+    return spread(series.select("window_id", "cluster", "pos", "r"), "window_id", "cluster").groupBy("window_id", "cluster").applyInPandas(run, schema)
