@@ -6,6 +6,7 @@ import pytest
 from tidepanel.config import Settings
 from tidepanel.config import checked_sectors, load
 from tidepanel.operators import align, alloc, engine, grouping, inference, outlook, returns, study, windows
+from tidepanel.sources import panel
 
 S = Settings()
 
@@ -166,3 +167,22 @@ def test_settings_files_are_checked(tmp_path):
             load(str(file))
     with pytest.raises(ValueError):
         checked_sectors({"x": ["a", "b"], "y": ["c", "d", "e"], "z": ["f", "g", "h"]})
+
+
+def test_stored_tables_are_read_back_until_forgotten(spark):
+    import os
+
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.createDataFrame([(1, 2.5), (2, None)], "asset int, r double")
+
+    for _ in range(2):
+        assert sorted(map(tuple, panel.once(spark, ("a test",), make).collect())) == [(1, 2.5), (2, None)]
+    paths = [p for p in spark.__dict__["_tidepanel_paths"] if os.path.exists(p)]
+    assert made == [1] and paths
+    assert panel.spread(panel.once(spark, ("a test",), make), "asset").rdd.getNumPartitions() == 4
+    panel.forget(spark)
+    assert not any(map(os.path.exists, paths))
+    assert panel.once(spark, ("a test",), make).count() == 2 and made == [1, 1]
