@@ -432,6 +432,53 @@ def test_few_vectors_have_all_neighbours(spark):
         assert (got.groupby("query_id").size() == min(20, n - 1)).all() and got["query_id"].nunique() == n
 
 
+def test_searches_move_few_rows(spark):
+    """A query goes to each shard of lists once, and no vector to more lists than it gains from: moved rows don't grow with the lists searched."""
+    x = np.random.default_rng(5).normal(size=(4000, 32)).astype(np.float32)
+    sc = spark.sparkContext
+    sc.setJobGroup("moved rows", "")
+    try:
+        got = ann.search(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>"), lists=128).toPandas()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup("moved rows") for s in sc.statusTracker().getJobInfo(j).stageIds}
+    assert stages
+    moved = sum(sc._jsc.sc().statusStore().lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+    assert 4000 <= moved <= 5 * 4000
+    wide = x.astype(float)
+    hits = 0
+    for q, mine in got.groupby("query_id"):
+        s = wide @ wide[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20]) & set(mine["vec_id"]))
+        np.testing.assert_allclose(mine["score"], wide[mine["vec_id"]] @ wide[q])
+    assert got["query_id"].nunique() == 200 and hits / 4000 >= 0.9
+
+
+def test_neighbours_among_copies(spark):
+    """Of many copies of a vector, those of the smallest ids; repeated rows count and ask once; a shard larger than one batch."""
+    r = np.random.default_rng(6)
+    base = r.normal(size=(40, 8)).astype(np.float32)
+    base[1] = base[0] * np.float32(1 + 1e-6)
+    rows = [(k, base[k % 40].tolist()) for k in range(6000)]
+    rows += [rows[20]] * 30 + [(20, base[3].tolist()), (60, base[5].tolist()), (60, base[5].tolist()), (-40, base[0].tolist())]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), block=64).toPandas()
+    wide, by_id = base.astype(float), {}
+    for k, v in rows:
+        by_id.setdefault(k, set()).add(tuple(v))
+    own = [(k, np.array(v, np.float64)) for k, vs in by_id.items() for v in vs]
+    ids, x = np.array([k for k, _ in own]), np.stack([v for _, v in own])
+    assert set(got["query_id"]) == {k for k in by_id if k % 20 == 0}
+    for q in (-40, 0, 20, 40, 60, 1220, 5980):
+        pairs = {(-float(np.einsum("j,j->", v, y)), int(k)) for v in x[ids == q] for k, y in zip(ids, x, strict=True) if k != q}
+        mine = got[got["query_id"] == q].sort_values("rank")
+        assert list(mine["rank"]) == list(range(1, 21))
+        want = sorted((round(s, 9), k) for s, k in pairs)[:20]
+        assert list(mine["vec_id"]) == [k for _, k in want], q
+        np.testing.assert_allclose(mine["score"], [-s for s, _ in want], rtol=1e-7)
+
+
 def test_unknown_sections_do_not_end_a_page():
     for odd in ("<![foo[ x>", "<![ x>", "<![>"):
         page = f"<article><p>The first text goes on for a while.</p>{odd}<p>The second text goes on for a while.</p></article>"
