@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batches
 
-POSTED = "shard int, is_query boolean, part int, vec_id long, parts binary, embedding binary"
+POSTED = "shard int, is_query boolean, part int, vec_id long, floor double, parts binary, embedding binary"
 #: Bytes of vectors that one task of the search holds.
 SHARD = 160 << 20
+#: Scores that are computed at once, and rows whose graph search goes in step: as much as caches hold.
+TILE, STEP = 1 << 19, 500
+#: Width of the beam that looks for the list of a vector; a narrower one puts too many vectors into lists that aren't their nearest.
+BEAM = 16
 
 
 @dataclass
@@ -58,12 +62,15 @@ class Index:
             dist = np.sqrt(np.maximum(0, own + square - 2 * (x @ self.centroids.T)))
             order = np.argsort(dist, axis=1, kind="stable")[:, :width]
             return order, np.take_along_axis(dist, order, 1)
+        if n > STEP:
+            found = [self.nearest(x[at : at + STEP], width) for at in range(0, n, STEP)]
+            return np.concatenate([ids for ids, _ in found]), np.concatenate([dist for _, dist in found])
         far = lambda x, own, ids: np.sqrt(np.maximum(0, own + square[ids] - 2 * np.einsum("ij,ikj->ik", x, self.centroids[ids])))
         out_ids, out_dist, left = np.zeros((n, width), np.int64), np.zeros((n, width), np.float32), np.arange(n)
         seen = np.zeros((n, k), np.bool_)
         ids = np.broadcast_to(self.entry, (n, len(self.entry))).copy()
         seen[left[:, None], ids] = True
-        dist = far(x, own, ids)
+        dist = np.sqrt(np.maximum(0, own + square[self.entry] - 2 * (x @ self.centroids[self.entry].T)))
         done = np.zeros(ids.shape, np.bool_)
         while len(left):
             rows = np.arange(len(left))
@@ -88,7 +95,7 @@ class Index:
 
     def lists_of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list): the nearest list, and up to copies - 1 others nearly as near unless a chosen list's centroid is much nearer to theirs."""
-        ids, dist = self.nearest(self.lift(x), 4 * self.copies)
+        ids, dist = self.nearest(self.lift(x), max(BEAM, 4 * self.copies))
         keep = np.zeros(ids.shape, np.bool_)
         keep[:, 0] = True
         for j in range(1, ids.shape[1] if self.copies > 1 else 1):
@@ -178,15 +185,18 @@ def build(sample: np.ndarray, top: float, lists: int, seed: int = 7) -> Index:
         near = np.argsort(apart, axis=1, kind="stable")[:, 1 : 1 + min(k - 1, 24)]
         # a link from each centroid to the next one keeps the graph in one piece
         index.graph = np.concatenate([near, ((np.arange(k) + 1) % k)[:, None]], axis=1)
-        index.entry = np.unique(np.linspace(0, k - 1, min(k, 8)).astype(np.int64))
+        index.entry = np.unique(np.linspace(0, k - 1, min(k, max(8, k // 8))).astype(np.int64))
     return index
 
 
+#: Sum of squares: null where a component is, NaN or infinite where one isn't finite, as squares of floats don't overflow a double.
+SQUARE = "aggregate(embedding, 0D, (a, v) -> a + cast(v AS double) * v)"
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and embedding of vectors that take part: not null, of finite components, not all zero, with an id."""
-    x = F.col("embedding")
-    fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.cast("array<float>").alias("embedding")).where(F.col("vec_id").isNotNull() & x.isNotNull() & fine & F.exists(x, lambda v: v != 0))
+    found = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    return found.where(F.col("vec_id").isNotNull() & (F.expr(SQUARE) > 0) & (F.expr(SQUARE) < float("inf")))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -265,28 +275,32 @@ class Part:
 class Hits:
     """The k best of each query of a batch over the parts searched so far: (row, id, score) in double precision."""
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray):
         self.ids, self.q, self.k = ids, q.astype(np.float64), k
         self.norm = np.linalg.norm(self.q, axis=1)
         self.unit = (self.q / self.norm[:, None]).astype(np.float32)
-        self.floor = np.full(len(ids), -np.inf)  # k hits of the row are known to be at least so large, for a query of length 1
+        self.floor = floor.copy()  # k hits of the row are known to be at least so large, for a query of length 1
         self.kept = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         self.fresh, self.many = [], 0
+        # a tile of scores is written to the same memory again, small enough for a cache
+        self.tile, self.below = np.zeros(0, np.float32), np.zeros(0, np.bool_)
 
     def search(self, rows: np.ndarray, part: Part) -> None:
         """Single precision finds what may be among the k best, with room for its error; these are scored in double precision."""
         slack = (self.q.shape[1] + 8) * 1.2e-7 * part.top
-        for at in range(0, len(rows), 512):
-            own = rows[at : at + 512]
-            scores = self.unit[own] @ part.x.T
+        n, step = len(part.x), max(16, TILE // len(part.x))
+        if len(self.tile) < n * step:
+            self.tile, self.below = np.zeros(n * step, np.float32), np.zeros(n * step + 7, np.bool_)
+        for at in range(0, len(rows), step):
+            own = rows[at : at + step]
+            scores = np.matmul(self.unit[own], part.x.T, out=self.tile[: n * len(own)].reshape(len(own), n))
             new = np.flatnonzero(np.isneginf(self.floor[own]))
-            if len(new) and part.x.shape[0] >= self.k + part.own:
-                place = part.x.shape[0] - self.k - part.own
+            if len(new) and n >= self.k + part.own:
+                place = n - self.k - part.own
                 self.floor[own[new]] = np.partition(scores[new], place, axis=1)[:, place] - slack
-            # a product that has overflowed is looked at as well
-            hit = np.flatnonzero(~(scores < (self.floor[own] - slack).astype(np.float32)[:, None]))
+            hit = _few(scores, np.nextafter((self.floor[own] - slack).astype(np.float32), np.float32(-np.inf))[:, None], self.below)
             for some in range(0, len(hit), 1 << 15):
-                r, c = np.divmod(hit[some : some + (1 << 15)], part.x.shape[0])
+                r, c = np.divmod(hit[some : some + (1 << 15)], n)
                 r = own[r]
                 exact = np.einsum("ij,ij->i", self.q[r], part.x[c].astype(np.float64))
                 count = part.count[c]
@@ -308,6 +322,17 @@ class Hits:
         self.floor[full] = np.maximum(self.floor[full], score[last] / self.norm[full] - slack)
 
 
+def _few(scores: np.ndarray, floor: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Places in the flat scores that aren't below the floor; a product that has overflowed is one of them."""
+    whole = -(-scores.size // 8) * 8
+    fine = room[: scores.size].reshape(scores.shape)
+    np.less(scores, floor, out=fine)
+    np.logical_not(fine, out=fine)
+    room[scores.size : whole] = False
+    eight = np.flatnonzero(room[:whole].view(np.uint64))
+    return (8 * eight[:, None] + np.arange(8))[room[:whole].reshape(-1, 8)[eight]]
+
+
 def best_of(row: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k largest scores of each row, ties to smaller ids, each id and score once; sorted."""
     order = np.lexsort((ids, -score, row))
@@ -320,12 +345,25 @@ def best_of(row: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tupl
     return row, ids, score
 
 
+def known_floor(ids: np.ndarray, q: np.ndarray, probed: np.ndarray, known_ids: np.ndarray, known: np.ndarray, lists: np.ndarray, k: int) -> np.ndarray:
+    """What the k-th best hit of each query, at length 1, comes to at least: vectors of the sample in the lists it searches are sure to be
+    found. Four more than k have to be as good, in case that rounding put one into another list."""
+    if len(known_ids) <= k + 4:
+        return np.full(len(ids), -np.inf)
+    q = q.astype(np.float64)
+    scores = (q / np.linalg.norm(q, axis=1, keepdims=True)).astype(np.float32) @ known.T
+    scores[~probed[:, lists] | (ids[:, None] == known_ids) | np.isnan(scores)] = -np.inf
+    place = len(known_ids) - k - 4
+    slack = (q.shape[1] + 8) * 1.2e-7 * float(np.sqrt(np.einsum("ij,ij->i", known, known, dtype=np.float64).max()))
+    return np.partition(scores, place, axis=1)[:, place].astype(np.float64) - slack
+
+
 def search(vectors: DataFrame, every: int = 20, k: int = 20, lists: int | None = None, sample: int = 20_000, block: int = 4096, recall: float = 0.97) -> DataFrame:
     """query_id, rank, vec_id, score: for each vector whose id `every` divides, the k others with the largest inner product.
 
     The index is fitted on at most `sample` vectors, those whose id hashes lowest, and holds every vector. Unless given, the number of
     lists grows with the vectors, one for 256 of them, up to one for 8 of the sample. How far searches go is fitted on 200 vectors of the
-    sample, against their true neighbours in the whole table. Lists longer than `block` are cut into blocks that each see the list's queries,
+    sample that are kept out of the centroids, against their true neighbours in the whole table. Lists longer than `block` are cut into blocks that each see the list's queries,
     so no list meets in one task. Neighbouring lists and blocks make shards, which a query is sent to once with the names of those it
     searches there; a shard grows to 160 MB of vectors before there are more than 16. Scores are inner products of the
     original vectors in double precision; ties go to the smaller id. Vectors that are null, zero, or hold null or non-finite
@@ -338,8 +376,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, lists: int | None =
     arrow_batches(spark, 2000)
     vectors = usable(vectors)
     out = "query_id long, rank int, vec_id long, score double"
-    square = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v)
-    facts = vectors.groupBy(F.size("embedding").alias("length")).agg(F.count("*").alias("n"), F.max(square).alias("top")).orderBy(F.desc("n"), "length").first()
+    facts = vectors.groupBy(F.size("embedding").alias("length")).agg(F.count("*").alias("n"), F.max(F.expr(SQUARE)).alias("top")).orderBy(F.desc("n"), "length").first()
     if facts is None:
         return spark.createDataFrame([], out)
     total, length = facts["n"], facts["length"]
@@ -348,13 +385,16 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, lists: int | None =
     thin = vectors if total <= sample else vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 31)) < int((1 << 31) * min(1.0, 1.25 * sample / total)))
     drawn = thin.orderBy(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 31)), "vec_id").limit(sample).toPandas()
     points, names = np.stack([np.asarray(v, np.float32) for v in drawn["embedding"]]), drawn["vec_id"].to_numpy()
-    index = build(points, float(facts["top"]) ** 0.5, lists or max(16, min(total // 256, sample // 8)))
-    asked = np.argsort(names % every != 0, kind="stable")[:200]  # queries first
+    # the vectors on which the ratio is fitted, queries first, have no part in the centroids: they would be nearer to them than others are
+    asked, others = np.split(np.argsort(names % every != 0, kind="stable"), [min(200, -(-len(names) // 10))])
+    index = build(points[np.sort(others)] if len(others) else points, float(facts["top"]) ** 0.5, lists or max(16, min(total // 256, sample // 8)))
     score, near = true_neighbours(vectors, names[asked], points[asked], k) if total > len(points) else closest(names[asked], points[asked], [(names, points)], k)
     index.fit(points, points[asked], near, np.isfinite(score), recall)
     row, at = index.lists_of(points)
     nearest = at[np.unique(row, return_index=True)[1]]
-    index.held, index.least = np.bincount(nearest[np.unique(names, return_index=True)[1]], minlength=len(index.centroids)), k + 1
+    once = np.unique(names, return_index=True)[1]
+    known = names[once], points[once], nearest[once]
+    index.held, index.least = np.bincount(known[2], minlength=len(index.centroids)), k + 1
     # the blocks of a list are as many as its share of the sample asks for; copies of one vector can make it longer, which hashing spreads as well
     rows = np.bincount(at, minlength=len(index.centroids)) / len(points) * total
     blocks = np.maximum(1, np.ceil(rows / block)).astype(np.int64)
@@ -364,16 +404,16 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, lists: int | None =
     shard_of = np.minimum((np.cumsum(size) - size / 2) / size.sum() * shards, shards - 1).astype(np.int64)
     local = np.arange(len(size)) - np.searchsorted(shard_of, shard_of)
     octets = -(-np.bincount(shard_of, minlength=shards) // 8)
-    shared = spark.sparkContext.broadcast((asdict(index), blocks, first, shard_of, local, octets))  # plain data, so that workers need no import
+    shared = spark.sparkContext.broadcast((asdict(index), blocks, first, shard_of, local, octets, known))  # plain data, so that workers need no import
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, blocks, first, shard_of, local, octets = shared.value
+        kept, blocks, first, shard_of, local, octets, known = shared.value
         index = Index(**kept)
 
-        def rows(part, is_query, at, ids, x, bits):
+        def rows(part, is_query, at, ids, x, floor, bits):
             n = len(ids)
-            columns = [pa.array(shard_of[part] if at is None else at, pa.int32()), pa.array(np.full(n, is_query)), pa.array(np.full(n, -1) if part is None else local[part], pa.int32()), pa.array(ids, pa.int64()), bits, _binary(x, np.arange(1, n + 1) * 4 * length)]
-            return pa.RecordBatch.from_arrays(columns, ["shard", "is_query", "part", "vec_id", "parts", "embedding"])
+            columns = [pa.array(shard_of[part] if at is None else at, pa.int32()), pa.array(np.full(n, is_query)), pa.array(np.full(n, -1) if part is None else local[part], pa.int32()), pa.array(ids, pa.int64()), pa.array(floor, pa.float64()), bits, _binary(x, np.arange(1, n + 1) * 4 * length)]
+            return pa.RecordBatch.from_arrays(columns, ["shard", "is_query", "part", "vec_id", "floor", "parts", "embedding"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -381,19 +421,23 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, lists: int | None =
             ids, x = batch.column("vec_id").to_numpy(zero_copy_only=False), _matrix(batch.column("embedding"))
             row, at = index.lists_of(x)
             part = first[at] + (ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % blocks[at]
-            yield rows(part, False, None, ids[row], x[row], pa.nulls(len(row), pa.binary()))
+            yield rows(part, False, None, ids[row], x[row], np.zeros(len(row)), pa.nulls(len(row), pa.binary()))
             asks = np.flatnonzero(ids % every == 0)
             if not len(asks):
                 continue
             row, at = index.probes(x[asks])
+            probed = np.zeros((len(asks), len(blocks)), np.bool_)
+            probed[row, at] = True
+            floor = np.concatenate([known_floor(ids[some], x[some], probed[a : a + 256], *known, k) for a in range(0, len(asks), 256) for some in [asks[a : a + 256]]])
             times = blocks[at]
             part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times - first[at], times)
             to, which = np.unique(np.repeat(row, times) * len(octets) + shard_of[part], return_inverse=True)
-            who, shard = asks[to // len(octets)], to % len(octets)
+            which_ask, shard = np.divmod(to, len(octets))
+            who = asks[which_ask]
             ends = np.cumsum(octets[shard])
             bits = np.zeros(8 * ends[-1], np.bool_)
             bits[8 * (ends - octets[shard])[which] + local[part]] = True
-            yield rows(None, True, shard, ids[who], x[who], _binary(np.packbits(bits), ends))
+            yield rows(None, True, shard, ids[who], x[who], floor[which_ask], _binary(np.packbits(bits), ends))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of one shard, by part, then its queries by id: its candidates are held, its queries pass."""
@@ -424,7 +468,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, lists: int | None =
                     fine[i] = key not in seen
                     seen.add(key)
                 asks, bits = asks[fine], bits[fine]
-                hits = Hits(ids[asks], x[asks], k)
+                hits = Hits(ids[asks], x[asks], k, batch.column("floor").to_numpy(zero_copy_only=False)[asks])
                 for p, held in parts.items():
                     rows = np.flatnonzero(bits[:, p])
                     if len(rows):
