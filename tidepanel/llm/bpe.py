@@ -10,8 +10,7 @@ from heapq import heappop, heappush
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import once_per_worker
-
+from .common import free_memory, latest_per_worker
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -175,12 +174,13 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))  # a vocabulary, whatever the data's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = once_per_worker(("bpe", ranks_path, pattern), lambda: ByteBPE(ranks.value, pattern))
+        bpe = latest_per_worker(("bpe", ranks_path, pattern), lambda: ByteBPE(ranks.value, pattern))
         for batch in batches:
             ids = [bpe.encode_packed(t or "") for t in batch.column("text").to_pylist()]
             sha = [hashlib.sha256(x).hexdigest() for x in ids]
             back = [hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(sha, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+        free_memory()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")

@@ -39,9 +39,10 @@ def once_per_worker(key, make):
     return kept[key]
 
 
-def latest_per_worker(name: str, token, make):
-    """What make() gave on its first call with this token in this Python worker; what it gave for another token goes."""
-    kept = once_per_worker(name, dict)
+def latest_per_worker(token, make):
+    """What make() gave on its first call with this token in this Python worker; what it gave for any other token goes, so that a worker
+    that outlives a stage doesn't hold the models and tables of all stages."""
+    kept = once_per_worker("latest", dict)
     if kept.get("token") != token:
         kept.clear()
         kept.update(token=token, value=make())

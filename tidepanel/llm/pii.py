@@ -6,13 +6,13 @@ import hashlib
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Collection, Iterator
+from collections.abc import Callable, Collection, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_one, set_aside
+from .common import cut, free_memory, join_one
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -234,6 +234,7 @@ def context_graph(docs: DataFrame) -> DataFrame:
                             edges[pattern, kind, name, seed] += 1
             columns = list(zip(*[(*k, n) for k, n in edges.items()], strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64()], strict=True)], ["pattern", "kind", "instance", "seed", "n"])
+        free_memory()
 
     return docs.select("text").mapInArrow(run, "pattern string, kind string, instance string, seed boolean, n long").groupBy("pattern", "kind", "instance", "seed").agg(F.sum("n").alias("n"))
 
@@ -294,13 +295,19 @@ def find_pii(docs: DataFrame, few: int = 500_000, **settings) -> DataFrame:
     16 bytes each, and scanning needs no shuffle; more are joined with the candidates, with the same result, and the documents are
     written once and joined with what was found.
     """
-    spark = docs.sparkSession
     docs = docs.drop("spans")
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("found", pa.bool_())]))
+    return scanned(docs, lambda texts, spans, columns: columns | {"spans": pa.array(spans, kind)}, "spans array<struct<kind:string,start:int,end:int,found:boolean>>", few, **settings)
+
+
+def scanned(docs: DataFrame, finish: Callable, more: str = "", few: int = 500_000, **settings) -> DataFrame:
+    """What finish(texts, spans, columns by name) makes of each batch of docs, in the pass that finds the spans: with one Python worker for a
+    task, not one for the search and one for its use. The result has the columns of docs and those that `more` declares."""
+    spark = docs.sparkSession
     names = docs.columns
     patterns = cut(bootstrap(context_graph(docs), **settings).select(F.unhex(F.substring(F.sha2(F.concat_ws(" ", "kind", "pattern").cast("binary"), 256), 1, 32)).alias("name")))
     many = patterns.count() > few
     shared = spark.sparkContext.broadcast(None if many else frozenset(bytes(r["name"]) for r in patterns.collect()))  # at most `few` rows
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("found", pa.bool_())]))
 
     def spans_of(text: str, good: Collection[bytes]) -> list[dict]:
         base = base_spans(text)
@@ -317,8 +324,11 @@ def find_pii(docs: DataFrame, few: int = 500_000, **settings) -> DataFrame:
                 good = [frozenset(x or ()) for x in batch.column("__good").to_pylist()]
             else:
                 good = [shared.value] * batch.num_rows
-            spans = [spans_of(t.as_py() or "", g) for t, g in zip(batch.column("text"), good, strict=True)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(spans, kind)], [*names, "spans"])
+            texts = batch.column("text").to_pylist()
+            spans = [spans_of(t or "", g) for t, g in zip(texts, good, strict=True)]
+            out = finish(texts, spans, {n: batch.column(n) for n in names})
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+        free_memory()
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,38 +340,34 @@ def find_pii(docs: DataFrame, few: int = 500_000, **settings) -> DataFrame:
                 wanted += own
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(wanted, pa.binary())], ["__row", "name"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *([more] if more else [])])
     if many:
         docs = cut(docs.withColumn("__row", F.monotonically_increasing_id()))  # written, so that ids stay
         met = docs.select("__row", "text").mapInArrow(asked, "__row long, name binary").join(patterns, "name")
         docs = docs.join(met.groupBy("__row").agg(F.collect_list("name").alias("__good")), "__row", "left")
-    return docs.mapInArrow(run, f"{fields}, spans array<struct<kind:string,start:int,end:int,found:boolean>>")
+    return docs.mapInArrow(run, fields)
 
 
 def redact(docs: DataFrame, **settings) -> DataFrame:
     """docs with each span of personal data replaced by its kind in brackets; n_chars, where there is one, is the new length.
 
     A null text stays null; repeated rows give repeated rows; an empty table gives no rows; all columns stay, one named spans too."""
-    apart, back = set_aside(docs, ["spans"])
-    found = find_pii(apart, **settings)
-    names = apart.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for t, s in zip(batch.column("text"), batch.column("spans"), strict=True):
-                text, out, at = t.as_py(), [], 0
-                for x in sorted(s.as_py() or [], key=lambda x: (x["start"], -x["end"])):
-                    if x["start"] >= at:
-                        out += [text[at : x["start"]], f"[{x['kind']}]"]
-                    at = max(at, x["end"])
-                texts.append(text if not out else "".join(out) + text[at:])
-            columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"text": pa.array(texts, pa.string())}
-            if "n_chars" in names:
-                columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(batch.schema.field("n_chars").type)
-            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
-
-    return found.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in apart.schema)).select(*back)
+    def masked(texts: list, spans: list, columns: dict) -> dict:
+        done = []
+        for text, found in zip(texts, spans, strict=True):
+            out, at = [], 0
+            for x in sorted(found, key=lambda x: (x["start"], -x["end"])):
+                if x["start"] >= at:
+                    out += [text[at : x["start"]], f"[{x['kind']}]"]
+                at = max(at, x["end"])
+            done.append(text if not out else "".join(out) + text[at:])
+        new = {"text": pa.array(done, pa.string())}
+        if "n_chars" in columns:
+            new["n_chars"] = pa.array([None if t is None else len(t) for t in done], pa.int64()).cast(columns["n_chars"].type)
+        return columns | new
+
+    return scanned(docs, masked, **settings)
 
 
 def digests(found: DataFrame) -> DataFrame:

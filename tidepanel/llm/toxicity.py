@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import latest_per_worker
+from .common import free_memory, latest_per_worker
 
 #: Words, or the ends of sentences.
 _TOKENS = re.compile(r"[^\W\d_]+|[.!?\n]")
@@ -172,12 +172,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, p
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = latest_per_worker("noisy-or", token, lambda: NoisyOr(*plain.value))
+        model = latest_per_worker(token, lambda: NoisyOr(*plain.value))
         for batch in batches:
             got = [model.score(t.as_py()) for t in batch.column("text")]
             score = pa.array([g[0] for g in got], pa.float64())
             worst = pa.array([[{"sentence": k, "p": p} for k, p in g[1]] for g in got], pa.list_(pa.struct([("sentence", pa.int32()), ("p", pa.float64())])))
             yield pa.RecordBatch.from_arrays([*batch.columns, score, pa.array([int(g[0] >= threshold) for g in got], pa.int32()), worst], [*names, "score", "predicted", "worst"])
+        free_memory()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{fields}, score double, predicted int, worst array<struct<sentence:int,p:double>>")
