@@ -165,9 +165,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def eights(data: np.ndarray) -> np.ndarray:
-    """A view of the 8 bytes from each position on, zeros behind the end; index it, copy and view as uint64."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    return np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))
+    """The 8 bytes from each position on as one number, zeros behind the end: a view of overlapping numbers, to be indexed or copied."""
+    return np.ndarray(len(data) + 1, np.uint64, np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -181,7 +180,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     live, at = np.arange(len(starts)), starts.copy()
     while len(live):
         left = ends[live] - at[live]
-        piece = np.ascontiguousarray(eight[at[live]]).view(np.uint64).ravel()
+        piece = eight[at[live]]
         short = left < 8
         keep = np.where(short, (np.uint64(1) << (np.uint64(8) * np.minimum(left, 7).astype(np.uint64))) - np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF))
         h[live] = mix64(h[live] * np.uint64(0x9E3779B97F4A7C15) ^ (piece & keep))

@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, raw_bytes, sliding_min
+from .common import eights, mix64, raw_bytes, sliding_min
 
 LAST = (1 << 63) - 1
 _A = np.uint64(0x9E3779B97F4A7C15)
 #: Text whose segments a worker gathers before it packs them.
 GATHERED = 12 << 20
+#: Text whose grams are computed at once; their arrays stay in a core's cache.
+READ = 1 << 16
 
 
 def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -55,9 +57,10 @@ def runs(units: Units, window: int, per_window: int, hot: np.ndarray) -> tuple[n
     if n <= 0:
         none = np.zeros(0, np.int64)
         return none, none, none.astype(np.uint64), none
-    bits = np.uint64(max(1, len(units.grams).bit_length()))
+    # 32 bits of order and 32 of place, however many units there are, so that equal windows of any two runs choose alike
+    low = np.uint64((1 << 32) - 1)
     at = np.arange(len(units.grams), dtype=np.uint64)
-    place = lambda g: (sliding_min((g >> bits) << bits | at, per_window)[:n] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    place = lambda g: (sliding_min(g & ~low | at, per_window)[:n] & low).astype(np.int64)
     pos = place(units.grams)
     ok = units.doc[:n] == units.doc[window - 1 :]
     split = (pos[1:] != pos[:-1]) | (units.doc[1:n] != units.doc[: n - 1]) | (ok[1:] != ok[:-1])
@@ -99,6 +102,38 @@ def covered(blobs, n: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
+def copies(names: np.ndarray, ids: np.ndarray, start: np.ndarray, data: bytes, begin: np.ndarray, end: np.ndarray, same_document: bool) -> np.ndarray:
+    """Which of the byte strings [begin, end) an earlier one equals, of a smaller id or, with `same_document`, of a smaller start there.
+
+    Only those of one name are compared, each with its first; one that merely shares its name is no copy.
+    """
+    out = np.zeros(len(names), np.bool_)
+    at = repeated(names)
+    if not len(at):
+        return out
+    at = at[np.lexsort((start[at], ids[at], names[at]))]
+    head = np.concatenate([[True], names[at[1:]] != names[at[:-1]]])
+    lead = at[np.flatnonzero(head)[np.cumsum(head) - 1]]
+    earlier = ids[lead] < ids[at]
+    if same_document:
+        earlier |= (ids[lead] == ids[at]) & (start[lead] < start[at])
+    at, lead = at[earlier], lead[earlier]
+    spots = zip(begin[at].tolist(), end[at].tolist(), begin[lead].tolist(), end[lead].tolist())
+    out[at] = np.fromiter((data[a:b] == data[c:d] for a, b, c, d in spots), np.bool_, len(at))
+    return out
+
+
+def repeated(names: np.ndarray) -> np.ndarray:
+    """Where names stand that stand elsewhere too, by name."""
+    order = np.argsort(names)
+    own = names[order]
+    same = own[1:] == own[:-1]
+    keep = np.zeros(len(own), np.bool_)
+    keep[1:] = same
+    keep[:-1] |= same
+    return order[keep]
+
+
 def chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
     """Documents in portions of about `limit` bytes, by id within each: order ids, row keys, texts."""
     ids, keys, texts, size = [], [], [], 0
@@ -157,7 +192,7 @@ class Search:
     read: Reader
     window: int
     per_window: int
-    judge: Callable  # of a bucket's segments: windows that are to go, by document and start
+    judge: Callable  # of a bucket's segments: ids, keys, starts and ends of ranges that are to go
     same_document: bool  # whether an earlier window of the same document counts
     chunk: int
     bucket_bytes: int
@@ -167,6 +202,24 @@ class Search:
         text = F.coalesce(F.col("text"), F.lit(""))
         return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), F.xxhash64(text).alias("key"), text.cast("binary").alias("data"))
 
+    def cut_up(self, texts: list[bytes], hot: np.ndarray) -> tuple:
+        """Text, and of the segments in it, by document and start: first byte, end, number of document, first unit, windows, routing key,
+        place of the minimiser."""
+        parts, data, base, k = [], [], 0, 0
+        while k < len(texts):
+            until, size = k, 0
+            while until < len(texts) and (size < READ or until == k):
+                size += len(texts[until])
+                until += 1
+            units = self.read(texts[k:until])
+            first, last, key, place = runs(units, self.window, self.per_window, hot)
+            owner = units.doc[first]
+            parts.append((base + units.starts[first], base + units.ends[last + self.window - 1], k + owner, first - units.first[owner], last - first + 1, key, place))
+            data.append(units.data)
+            base += len(units.data)
+            k = until
+        return b"".join(data), *(np.concatenate(x) for x in zip(*parts))
+
     def hot(self, docs: DataFrame, raw: int, buckets: int, sample_bytes: int = 16 << 20) -> np.ndarray:
         """Minimisers of more than an eighth of a bucket's share of a bounded sample of documents. They only decide where windows are
         compared, as sampled bounds of ranges do; they change no result."""
@@ -174,9 +227,9 @@ class Search:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _, _, texts in chunks(batches, self.chunk):
-                first, last, key, _ = runs(self.read(texts), self.window, self.per_window, np.zeros(0, np.uint64))
+                _, _, _, _, _, windows, key, _ = self.cut_up(texts, np.zeros(0, np.uint64))
                 names, at = np.unique(key, return_inverse=True)
-                n = np.bincount(at, last - first + 1, len(names)).astype(np.int64)
+                n = np.bincount(at, windows, len(names)).astype(np.int64)
                 total = int(n.sum())
                 keep = n * 16 * buckets > total
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(names[keep].view(np.int64), 0)), pa.array(np.append(n[keep], 0)), pa.array(np.append(np.zeros(keep.sum(), np.int64), total))], ["minimiser", "n", "total"])
@@ -194,45 +247,36 @@ class Search:
         hot = docs.sparkSession.sparkContext.broadcast(self.hot(docs, raw, buckets))
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: dict[bytes, int] = {}  # segment -> the id of its first document
-            held, size = [], 0
-            for ids, keys, texts in chunks(batches, self.chunk):
-                units = self.read(texts)
-                first, last, key, place = runs(units, self.window, self.per_window, hot.value)
-                owner, data = units.doc[first], units.data
-                start = first - units.first[owner]
-                slices = [data[a:b] for a, b in zip(units.starts[first].tolist(), units.ends[last + self.window - 1].tolist())]
-                mine = list(zip(ids[owner].tolist(), start.tolist()))
-                known = [seen.setdefault(s, m) for s, m in zip(slices, mine)]
+            for ids, keys, texts in chunks(batches, GATHERED):
+                data, begin, end, owner, start, windows, key, place = self.cut_up(texts, hot.value)
+                del texts
+                if not len(begin):
+                    continue
+                word, third = eights(np.frombuffer(data, np.uint8)), (end - begin) // 3
+                names = key
+                for spot in (begin, begin + third, end - 8 - third, end - 8):
+                    names = mix64(names * _A ^ word[np.maximum(spot, begin)])
                 # an earlier copy answers for a segment; repeats within a document may stay with their first one
-                again = np.fromiter((a < b for a, b in zip(known, mine)) if self.same_document else (a[0] < b[0] for a, b in zip(known, mine)), np.bool_, len(slices))
+                again = copies(names, ids[owner], start, data, begin, end, self.same_document)
+                del word, third, names
                 if again.any():
-                    who, a, b = owner[again], start[again], (last - first + start)[again] + self.window
+                    who, a = owner[again], start[again]
+                    b = a + windows[again] + self.window - 1
                     cut = np.flatnonzero(np.diff(who)) + 1
                     heads = np.concatenate([[0], cut])
                     blobs = [spans_bytes(x, y) for x, y in zip(np.split(a, cut), np.split(b, cut))]
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(heads)) % buckets, pa.int32()), pa.array(ids[who[heads]]), pa.array(keys[who[heads]]), pa.array(blobs, pa.binary())], ["bucket", "did", "key", "blob"])
                 go = np.flatnonzero(~again)
-                held.append(((mix64(key[go]) % np.uint64(buckets)).astype(np.int64), ids[owner[go]], keys[owner[go]], start[go], place[go], [slices[i] for i in go.tolist()]))
-                size += len(data)
-                if size >= GATHERED:
-                    yield from packed(held)
-                    seen, held, size = {}, [], 0
-            yield from packed(held)
-
-        def packed(held: list) -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            bucket, ids, keys, start, place = (np.concatenate([h[k] for h in held]) for k in range(5))
-            slices = [s for h in held for s in h[5]]
-            order = np.lexsort((start, keys, ids, bucket))
-            bucket, ids, keys, start, place = (x[order] for x in (bucket, ids, keys, start, place))
-            at = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(order)]]) if len(order) else np.zeros(1, np.int64)
-            for k in range(0, len(at) - 1, 64):
-                ends = at[k : k + 65]
-                blobs = [pack(ids[a:b], keys[a:b], start[a:b], place[a:b], [slices[i] for i in order[a:b].tolist()]) for a, b in zip(ends[:-1], ends[1:])]
-                none = pa.nulls(len(blobs), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[ends[:-1]], pa.int32()), none, none, pa.array(blobs, pa.binary())], ["bucket", "did", "key", "blob"])
+                # by bucket, and in it by document and start, as they stand
+                order = np.sort((mix64(key[go]) % np.uint64(buckets)) << np.uint64(32) | go.astype(np.uint64))
+                bucket, order = (order >> np.uint64(32)).astype(np.int64), (order & np.uint64((1 << 32) - 1)).astype(np.int64)
+                begin, end, owner, start, place = (x[order] for x in (begin, end, owner, start, place))
+                at = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(order)]])
+                for k in range(0, len(at) - 1, 64):
+                    ends = at[k : k + 65].tolist()
+                    blobs = [pack(ids[owner[a:b]], keys[owner[a:b]], start[a:b], place[a:b], [data[x:y] for x, y in zip(begin[a:b].tolist(), end[a:b].tolist())]) for a, b in zip(ends[:-1], ends[1:])]
+                    none = pa.nulls(len(blobs), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[ends[:-1]], pa.int32()), none, none, pa.array(blobs, pa.binary())], ["bucket", "did", "key", "blob"])
 
         def settle(group: pa.Table) -> pa.Table:
             local = group.filter(group["did"].is_valid())
@@ -242,14 +286,18 @@ class Search:
                 ids, keys, start, lengths, place = (np.concatenate([p[k] for p in parts]) for k in range(5))
                 text = b"".join(p[5] for p in parts)
                 del parts
-                did, key, a = self.judge(ids, keys, start, lengths, place, text)
+                did, key, a, b = self.judge(ids, keys, start, lengths, place, text)
                 if len(did):
+                    order = np.lexsort((a, key, did))
+                    did, key, a, b = did[order], key[order], a[order], b[order]
                     other = np.concatenate([[True], (did[1:] != did[:-1]) | (key[1:] != key[:-1])])
+                    base = np.cumsum(other) << 32  # documents side by side
+                    reach = np.maximum.accumulate(b + base)
                     apart = other.copy()
-                    apart[1:] |= a[1:] > a[:-1] + self.window
+                    apart[1:] |= (a + base)[1:] > reach[:-1]
                     at = np.flatnonzero(apart)
-                    stop = a[np.append(at[1:], len(a)) - 1] + self.window
-                    pairs = np.stack([a[at], stop], 1).astype(np.int32)
+                    last = np.append(at[1:], len(a)) - 1
+                    pairs = np.stack([a[at], reach[last] - base[last]], 1).astype(np.int32)
                     first = np.flatnonzero(other)
                     ends = np.append(np.cumsum(apart)[first] - 1, len(at)).astype(np.int32) * 8
                     blobs = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(pairs.tobytes())])

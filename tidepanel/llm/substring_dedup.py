@@ -54,13 +54,13 @@ def judge_words(window: int):
         first = np.searchsorted(starts, begin)
         n = len(h) - window + 1
         if n <= 0:
-            return (np.zeros(0, np.int64),) * 3
+            return (np.zeros(0, np.int64),) * 4
         at = np.flatnonzero(seg[:n] == seg[window - 1 :])
         name = window_names(h, window)[at]
         ordered = np.sort(name)
         twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
         if not len(twice):
-            return (np.zeros(0, np.int64),) * 3
+            return (np.zeros(0, np.int64),) * 4
         spot = np.minimum(np.searchsorted(twice, name), len(twice) - 1)
         live = twice[spot] == name
         at, name = at[live], name[live]
@@ -75,9 +75,7 @@ def judge_words(window: int):
         if not same.all():
             raise ValueError("two windows have one name; change the scramble")
         later = (did > did[lead]) | (pos > pos[lead])
-        did, key, pos = did[later], keys[seg[at]][later], pos[later]
-        order = np.lexsort((pos, key, did))
-        return did[order], key[order], pos[order]
+        return did[later], keys[seg[at]][later], pos[later], pos[later] + window
 
     return judge
 

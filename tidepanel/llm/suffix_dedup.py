@@ -7,11 +7,13 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import eights, mix64
-from .segments import Search, Units, covered, joined
+from .common import eights, mix64, word_hashes
+from .segments import LAST, Search, Units, copies, covered, joined, repeated
 
 #: Bytes of a gram, 8 to 16.
 GRAM = 8
+#: Bytes of segments whose suffixes are sorted at once; those of one minimiser stay together.
+SORTED = 1 << 20
 
 
 def gram_names(low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -24,95 +26,109 @@ def read_bytes(texts: list[bytes]) -> Units:
     array = np.frombuffer(data, np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     at = np.arange(len(array))
-    eight = np.ascontiguousarray(eights(array)[:-1]).view(np.uint64).ravel()
+    eight = eights(array)[:-1].copy()
     grams = gram_names(eight[: len(array) - GRAM + 1], eight[GRAM - 8 : len(array) - 7]) if len(array) >= GRAM else eight[:0]
     return Units(data, at, at + 1, grams, np.repeat(np.arange(len(texts)), sizes), np.cumsum(sizes) - sizes)
 
 
-def refine(names: np.ndarray, live: np.ndarray) -> np.ndarray:
-    """The positions of `live` whose bucket, given by its name, holds another of them; by bucket."""
-    own = names[live]
-    order = np.argsort(own)
-    own = own[order]
-    same = own[1:] == own[:-1]
-    keep = np.zeros(len(own), np.bool_)
-    keep[1:] = same
-    keep[:-1] |= same
-    return live[order[keep]]
+def words(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on, first byte highest, zeros behind the end."""
+    return eights(data)[:-1].view(">u8").astype(np.uint64)
 
 
-def equal_suffixes(data: np.ndarray, live: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions whose next `depth` bytes stand at another position of `live` too, sorted by bucket, and the bucket's number of each.
+def split(key: np.ndarray, live: np.ndarray, start: np.ndarray, pointer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts `live` by key and sets each position's pointer to the last place of its bucket in the order of all suffixes; `start` is the
+    place of each in ascending order. Positions that share their bucket, and their places."""
+    order = np.argsort(key)
+    live, key = live[order], key[order]
+    last = np.append(key[1:] != key[:-1], True)
+    ends = np.flatnonzero(last)
+    sizes = np.diff(ends, prepend=-1)
+    pointer[live] = np.repeat(start[ends], sizes)
+    shared = np.repeat(sizes > 1, sizes)
+    return live[shared], start[shared]
 
-    Bucket-pointer refinement: buckets of 8-grams first; then each position's bucket is split by the bucket that it points to
-    further on, 8, 16 and so on bytes away, and the names of the new buckets serve as pointers of the next round. Positions alone
-    in their bucket are settled and leave. Members of the last buckets are held against each other byte by byte.
+
+def bucket_pointers(data: np.ndarray, depth: int) -> np.ndarray:
+    """For each position a number, equal for those whose next `depth` bytes are equal (zeros behind the end), ascending with the bytes.
+
+    Bucket-pointer refinement: suffixes go to buckets by their first 8 bytes, and each points to the last place of its bucket. A pass
+    sorts every bucket with several members by the buckets that these point to as far on as the buckets are deep, and sets the new
+    pointers; so depth doubles, up to `depth`. Suffixes alone in their bucket are settled and leave.
     """
-    eight = eights(data)
-    names, reach = np.ascontiguousarray(eight[:-1]).view(np.uint64).ravel(), 8
+    n = len(data)
+    pointer = np.zeros(n + depth, np.int64)
+    pointer[n:] = -1
+    live, place = split(words(data), np.arange(n), np.arange(n), pointer)
+    reach = 8
     while reach < depth and len(live):
         step = min(reach, depth - reach)
-        names = np.concatenate([joined(names[:-step], names[step:]), names[-step:]])
+        live, place = split(pointer[live] << 32 | pointer[live + step] + 1, live, place, pointer)
         reach += step
-        live = refine(names, live)
-    own = names[live]
-    head = np.ones(len(live), np.bool_)
-    head[1:] = own[1:] != own[:-1]
-    number = np.cumsum(head) - 1
-    lead = live[np.flatnonzero(head)[number]] if len(live) else live
-    for k in [*range(0, depth - 7, 8), depth - 8]:
-        if not np.array_equal(eight[live + k], eight[lead + k]):
-            raise ValueError("two buckets have one name; change the scramble")
-    return live, number
+    return pointer[:n]
 
 
 def judge_bytes(window: int):
     def judge(ids, keys, start, lengths, place, text):
-        """Windows of a bucket that also start in a document of smaller id.
+        """Ranges of windows of a bucket that also start in a document of smaller id.
 
-        A window holds its minimiser, and on one side of it at least half of its other bytes. Segments of which no other document has
-        the minimiser with that many bytes on either side can't match and are left out before suffixes are sorted.
+        A segment that a document of smaller id has whole goes whole, and what it holds is left to the other one. A window holds its
+        minimiser, and on one side of it at least half of its other bytes. Segments of which no other document has the minimiser with
+        that many bytes on either side can't match and are left out too. The suffixes of all others are sorted.
         """
         array = np.frombuffer(text, np.uint8)
         stops = np.cumsum(lengths)
         begin = stops - lengths
+        whole = copies(word_hashes(array, begin, stops), ids, start, text, begin, stops, False)
+        rest = np.flatnonzero(~whole)
         middle = begin + place
         side = (window - GRAM + 1) // 2
         shared = np.zeros(len(ids), np.bool_)
-        eight = eights(array)
-        word = lambda at: np.ascontiguousarray(eight[at]).view(np.uint64).ravel()
+        word = eights(array)
         for low, high in ((middle - side, middle + GRAM), (middle, middle + GRAM + side)):
-            inside = np.flatnonzero((low >= begin) & (high <= stops))
+            inside = rest[(low[rest] >= begin[rest]) & (high[rest] <= stops[rest])]
             a, b = low[inside], high[inside]
-            name = word(a)
+            name = word[a]
             for k in range(8, GRAM + side, 8):
-                name = joined(name, word(np.minimum(a + k, b - 8)))
-            order = np.argsort(name, kind="stable")
-            name, who = name[order], ids[inside][order]
-            new = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else inside
-            if not len(new):
+                name = joined(name, word[np.minimum(a + k, b - 8)])
+            twice = repeated(name)
+            if not len(twice):
                 continue
-            several = np.minimum.reduceat(who, new) != np.maximum.reduceat(who, new)
-            shared[inside[order]] |= np.repeat(several, np.diff(np.append(new, len(name))))
+            name, inside = name[twice], inside[twice]
+            new = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+            several = np.minimum.reduceat(ids[inside], new) != np.maximum.reduceat(ids[inside], new)
+            shared[inside] |= np.repeat(several, np.diff(np.append(new, len(name))))
+        found = [(ids[whole], keys[whole], start[whole], start[whole] + lengths[whole])]
         pick = np.flatnonzero(shared)
-        if not len(pick):
-            return (np.zeros(0, np.int64),) * 3
-        pick = pick[np.lexsort((start[pick], keys[pick], ids[pick]))]
-        data = np.frombuffer(b"".join([text[a:b] for a, b in zip(begin[pick].tolist(), stops[pick].tolist())]), np.uint8)
-        sizes = lengths[pick]
-        base = np.cumsum(sizes) - sizes
-        windows = sizes - window + 1
-        seg = np.repeat(np.arange(len(pick)), windows)
-        offset = np.arange(len(seg)) - np.repeat(np.cumsum(windows) - windows, windows)
-        live, number = equal_suffixes(data, base[seg] + offset, window)
-        if not len(live):
-            return (np.zeros(0, np.int64),) * 3
-        seg = np.searchsorted(base, live, "right") - 1
-        did = ids[pick][seg]
-        low = np.minimum.reduceat(did, np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])))
-        live = np.sort(live[did > low[number]])  # segments lie by document and start, and so do the windows in them
-        seg = np.searchsorted(base, live, "right") - 1
-        return ids[pick][seg], keys[pick][seg], start[pick][seg] + live - base[seg]
+        gram = word[middle[pick]]
+        order = np.argsort(gram, kind="stable")
+        pick, gram = pick[order], gram[order]
+        size = np.cumsum(lengths[pick])
+        at = 0
+        while at < len(pick):
+            until = max(at + 1, int(np.searchsorted(size, size[at] - lengths[pick[at]] + SORTED, "right")))
+            until = int(np.searchsorted(gram, gram[until - 1], "right"))
+            some, at = pick[at:until], until
+            found.append(in_smaller(ids[some], keys[some], start[some], lengths[some], [text[a:b] for a, b in zip(begin[some].tolist(), stops[some].tolist())]))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def in_smaller(ids, keys, start, lengths, slices):
+        """Ranges of the windows of these segments that also stand in one of a document of smaller id."""
+        data = np.frombuffer(b"".join(slices), np.uint8)
+        windows = lengths - window + 1
+        seg = np.repeat(np.arange(len(ids)), windows)
+        at = np.arange(len(seg)) + np.repeat(np.cumsum(lengths) - lengths - np.cumsum(windows) + windows, windows)
+        bucket = bucket_pointers(data, window)[at]
+        low = np.full(len(data), LAST)
+        np.minimum.at(low, bucket, ids[seg])
+        gone = ids[seg] > low[bucket]
+        seg, at = seg[gone], at[gone]
+        new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (seg[1:] != seg[:-1])])[: len(at)]
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(at))[: len(first)] - 1
+        seg = seg[first]
+        move = start[seg] - (np.cumsum(lengths) - lengths)[seg]
+        return ids[seg], keys[seg], at[first] + move, at[last] + move + window
 
     return judge
 
