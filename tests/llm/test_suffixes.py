@@ -62,6 +62,20 @@ def test_whole_copies_are_not_sorted(monkeypatch):
     assert sum(sizes) == 0
 
 
+def test_repeats_in_a_document_are_sorted_once(monkeypatch):
+    """A long run of one byte makes as many equal segments; the first stands for all that its document has."""
+    sizes, real = [], suffix_dedup.bucket_pointers
+    monkeypatch.setattr(suffix_dedup, "bucket_pointers", lambda data, depth: sizes.append(len(data)) or real(data, depth))
+    n = 3000
+    ids = np.append(np.zeros(1, np.int64), np.ones(n - 1, np.int64))
+    lengths = np.append([51], np.full(n - 1, 50))
+    text = b"b" + b"a" * 50 + b"a" * 50 * (n - 1)
+    place = np.append([1], np.zeros(n - 1, np.int64))
+    got = ids, ids, np.append([0], np.arange(n - 1)), lengths, place, text
+    assert units(suffix_dedup.judge_bytes(50)(*got)) == by_hand(*got) == {(1, 1, k) for k in range(n + 48)}
+    assert 0 < sum(sizes) < 200
+
+
 @pytest.mark.parametrize("depth", [8, 16, 50])
 def test_bucket_pointers_follow_the_bytes(depth):
     data = np.random.default_rng(depth).integers(0, 2, 3000).astype(np.uint8)
@@ -84,3 +98,44 @@ def test_equal_windows_choose_alike_wherever_they_stand():
         return key[0], at[0]
 
     assert place(0) == place(1 << 20)
+
+
+@pytest.mark.parametrize("most", [0, 1000])
+def test_rows_that_repeat_an_id(spark, monkeypatch, most):
+    """Rows of one id, null among them, are of one document, whether all rows are known by their texts or only these."""
+    monkeypatch.setattr(segments, "REPEATED", most)
+    r = random.Random(5)
+    part = ["".join(r.choices("abcde ", k=90)) for _ in range(6)]
+    rows = [(7, part[0]), (7, part[1]), (3, part[1] + part[2]), (None, part[0] + "x"), (None, part[3]), (9, part[3]), (9, None), (4, part[4]), (5, part[5] + part[4]), (7, part[0] + part[4])]
+    first = {}
+    for i, t in rows:
+        for k in range(len(t or "") - 49):
+            w = t[k : k + 50]
+            first[w] = min(first.get(w, segments.LAST), segments.LAST if i is None else i)
+    want = []
+    for i, t in rows:
+        t = t or ""
+        gone = {k + j for k in range(len(t) - 49) if first[t[k : k + 50]] < (segments.LAST if i is None else i) for j in range(50)}
+        want.append((i, len(t), len(gone)))
+    got = suffix_dedup.dedup_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by = lambda x: (x[0] is None, x)
+    assert sorted(((x["doc_id"], x["n_bytes"], x["n_removed"]) for x in got), key=by) == sorted(want, key=by)
+
+
+def test_packs_carry_no_hash_of_a_text(spark):
+    docs = spark.range(50).selectExpr("id doc_id", "concat('text ', id) text")
+    search = segments.Search(suffix_dedup.read_bytes, 50, 43, suffix_dedup.judge_bytes(50), False, 2 << 20, 10 << 20, 3.3)
+    assert search.repeated_ids(docs) == []
+    assert search.documents(docs, []).agg({"key": "max"}).first()[0] == 0
+
+
+def test_packs_come_back():
+    r = np.random.default_rng(2)
+    ids = np.sort(np.concatenate([r.integers(-(1 << 63), segments.LAST, 40), [segments.LAST, -(1 << 63), 0, 0]])).repeat(3)
+    n = len(ids)
+    keys, start, place = r.integers(0, 2, n), r.integers(0, 1 << 31, n), r.integers(0, 43, n)
+    slices = [bytes(r.integers(0, 256, r.integers(50, 92), dtype=np.uint8)) for _ in range(n)]
+    got = segments.unpack(segments.pack(ids, keys, start, place, slices))
+    for x, y in zip(got, (ids, keys, start, [len(s) for s in slices], place)):
+        assert np.array_equal(x, y)
+    assert got[5] == b"".join(slices)

@@ -22,9 +22,11 @@ from .common import eights, mix64, raw_bytes, sliding_min
 LAST = (1 << 63) - 1
 _A = np.uint64(0x9E3779B97F4A7C15)
 #: Text whose segments a worker gathers before it packs them.
-GATHERED = 12 << 20
+GATHERED = 24 << 20
 #: Text whose grams are computed at once; their arrays stay in a core's cache.
 READ = 1 << 16
+#: Ids of several rows that are told to the executors; if there are more, every row is known by its text too.
+REPEATED = 1000
 
 
 def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -102,25 +104,22 @@ def covered(blobs, n: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def copies(names: np.ndarray, ids: np.ndarray, start: np.ndarray, data: bytes, begin: np.ndarray, end: np.ndarray, same_document: bool) -> np.ndarray:
-    """Which of the byte strings [begin, end) an earlier one equals, of a smaller id or, with `same_document`, of a smaller start there.
+def leads(names: np.ndarray, ids: np.ndarray, start: np.ndarray, data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each byte string [begin, end) the number of its first copy, that of the smallest id and start; its own if there is none.
 
-    Only those of one name are compared, each with its first; one that merely shares its name is no copy.
+    Only those of one name are compared, each with its first; one that merely shares its name leads itself.
     """
-    out = np.zeros(len(names), np.bool_)
+    lead = np.arange(len(names))
     at = repeated(names)
     if not len(at):
-        return out
+        return lead
     at = at[np.lexsort((start[at], ids[at], names[at]))]
     head = np.concatenate([[True], names[at[1:]] != names[at[:-1]]])
-    lead = at[np.flatnonzero(head)[np.cumsum(head) - 1]]
-    earlier = ids[lead] < ids[at]
-    if same_document:
-        earlier |= (ids[lead] == ids[at]) & (start[lead] < start[at])
-    at, lead = at[earlier], lead[earlier]
-    spots = zip(begin[at].tolist(), end[at].tolist(), begin[lead].tolist(), end[lead].tolist())
-    out[at] = np.fromiter((data[a:b] == data[c:d] for a, b, c, d in spots), np.bool_, len(at))
-    return out
+    first = at[np.flatnonzero(head)[np.cumsum(head) - 1]]
+    spots = zip(begin[at].tolist(), end[at].tolist(), begin[first].tolist(), end[first].tolist())
+    same = np.fromiter((data[a:b] == data[c:d] for a, b, c, d in spots), np.bool_, len(at))
+    lead[at[same]] = first[same]
+    return lead
 
 
 def repeated(names: np.ndarray) -> np.ndarray:
@@ -155,13 +154,15 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[np.n
         yield portion()
 
 
-def planes(x: np.ndarray) -> bytes:
-    """32-bit integers, lowest bytes first, then the next and so on; small numbers leave planes of zeros."""
-    return np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def planes(x: np.ndarray, kind: str = "<i4") -> bytes:
+    """Integers, lowest bytes first, then the next and so on; small numbers leave planes of zeros."""
+    x = x.astype(kind)
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
 
 
-def from_planes(body: bytes, n: int, at: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(body, np.uint8, 4 * n, at).reshape(4, n).T).view("<i4").ravel().astype(np.int64)
+def from_planes(body: bytes, n: int, at: int, kind: str = "<i4") -> np.ndarray:
+    wide = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8, wide * n, at).reshape(wide, n).T).view(kind).ravel().astype(np.int64)
 
 
 def pack(ids: np.ndarray, keys: np.ndarray, start: np.ndarray, place: np.ndarray, slices: list[bytes]) -> bytes:
@@ -170,7 +171,7 @@ def pack(ids: np.ndarray, keys: np.ndarray, start: np.ndarray, place: np.ndarray
     text = b"".join(slices)
     lengths = np.fromiter(map(len, slices), np.int64, len(slices))
     head = np.array([new.sum(), len(slices), len(text)], np.int64)
-    body = b"".join([head.tobytes(), ids[new].tobytes(), keys[new].tobytes(), planes(new), planes(np.diff(start, prepend=0)), planes(lengths), place.astype(np.uint8).tobytes(), text])
+    body = b"".join([head.tobytes(), planes(np.diff(ids[new], prepend=0), "<i8"), keys[new].tobytes(), planes(new), planes(np.diff(start, prepend=0)), planes(lengths), place.astype(np.uint8).tobytes(), text])
     return np.int64(len(body)).tobytes() + pa.Codec("zstd", compression_level=5).compress(body, asbytes=True)
 
 
@@ -178,13 +179,18 @@ def unpack(blob: bytes):
     body = pa.Codec("zstd").decompress(blob[8:], int(np.frombuffer(blob[:8], np.int64)[0]), asbytes=True)
     docs, n, size = (int(x) for x in np.frombuffer(body, np.int64, 3))
     at = 24
-    ids, keys = np.frombuffer(body, np.int64, docs, at), np.frombuffer(body, np.int64, docs, at + 8 * docs)
+    ids, keys = np.cumsum(from_planes(body, docs, at, "<i8")), np.frombuffer(body, np.int64, docs, at + 8 * docs)
     at += 16 * docs
     new, start, lengths = (from_planes(body, n, at + 4 * n * k) for k in range(3))
     owner = np.cumsum(new) - 1
     return ids[owner], keys[owner], np.cumsum(start), lengths, np.frombuffer(body, np.uint8, n, at + 12 * n), body[at + 13 * n : at + 13 * n + size]
 
 
+def order_id():
+    """Column doc_id, with null as larger than all others."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+
+
 @dataclass
 class Search:
     """What to look for: windows of `window` units with `per_window` grams each."""
@@ -198,9 +204,16 @@ class Search:
     bucket_bytes: int
     growth: float  # bytes of segments for each byte of text
 
-    def documents(self, docs: DataFrame) -> DataFrame:
+    def repeated_ids(self, docs: DataFrame) -> list[int] | None:
+        """Ids of more than one row, null as LAST; None if they are more than REPEATED."""
+        found = docs.select(order_id().alias("did")).groupBy("did").count().where("count > 1").select("did").limit(REPEATED + 1).collect()
+        return [r["did"] for r in found] if len(found) <= REPEATED else None
+
+    def documents(self, docs: DataFrame, twice: list[int] | None) -> DataFrame:
+        """Rows are known by id and, where several have one id, by text. Other keys are 0, as hashes would make up a sixth of the packs."""
         text = F.coalesce(F.col("text"), F.lit(""))
-        return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), F.xxhash64(text).alias("key"), text.cast("binary").alias("data"))
+        key = F.xxhash64(text) if twice is None else F.when(order_id().isin(twice), F.xxhash64(text)).otherwise(F.lit(0)) if twice else F.lit(0)
+        return docs.select("doc_id", order_id().alias("did"), key.cast("long").alias("key"), text.cast("binary").alias("data"))
 
     def cut_up(self, texts: list[bytes], hot: np.ndarray) -> tuple:
         """Text, and of the segments in it, by document and start: first byte, end, number of document, first unit, windows, routing key,
@@ -234,13 +247,13 @@ class Search:
                 keep = n * 16 * buckets > total
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(names[keep].view(np.int64), 0)), pa.array(np.append(n[keep], 0)), pa.array(np.append(np.zeros(keep.sum(), np.int64), total))], ["minimiser", "n", "total"])
 
-        drawn = self.documents(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == 0)) if parts > 1 else self.documents(docs)
+        drawn = self.documents(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == 0) if parts > 1 else docs, [])
         counts = drawn.select("did", "key", "data").mapInArrow(run, "minimiser long, n long, total long").groupBy("minimiser").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
         total = counts.agg(F.sum("total")).first()[0] or 0
         found = counts.where(F.col("n") * 8 * buckets > total).select("minimiser").collect()  # at most 8 * buckets
         return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
 
-    def ranges(self, docs: DataFrame) -> DataFrame:
+    def ranges(self, docs: DataFrame, twice: list[int] | None) -> DataFrame:
         """did, key, spans: for documents with windows to go, ranges that cover them, in one or more rows."""
         raw = raw_bytes(docs)
         buckets = max(8, int(raw * self.growth / self.bucket_bytes) + 1)
@@ -257,8 +270,11 @@ class Search:
                 for spot in (begin, begin + third, end - 8 - third, end - 8):
                     names = mix64(names * _A ^ word[np.maximum(spot, begin)])
                 # an earlier copy answers for a segment; repeats within a document may stay with their first one
-                again = copies(names, ids[owner], start, data, begin, end, self.same_document)
-                del word, third, names
+                lead = leads(names, ids[owner], start, data, begin, end)
+                again = ids[owner[lead]] < ids[owner]
+                if self.same_document:
+                    again |= (ids[owner[lead]] == ids[owner]) & (start[lead] < start)
+                del word, third, names, lead
                 if again.any():
                     who, a = owner[again], start[again]
                     b = a + windows[again] + self.window - 1
@@ -304,12 +320,13 @@ class Search:
                     out.append(pa.table({"did": did[first], "key": key[first], "blob": blobs}))
             return pa.concat_tables(out)
 
-        routed = self.documents(docs).select("did", "key", "data").mapInArrow(route, "bucket int, did long, key long, blob binary")
+        routed = self.documents(docs, twice).select("did", "key", "data").mapInArrow(route, "bucket int, did long, key long, blob binary")
         return routed.groupBy("bucket").applyInArrow(settle, "did long, key long, blob binary")
 
     def apply(self, docs: DataFrame, finish: Callable, schema: str, names: list[str]) -> DataFrame:
         """finish(text bytes, blobs of ranges) -> values of `names` for each row of docs."""
-        ranges = self.ranges(docs).groupBy("did", "key").agg(F.collect_list("blob").alias("blobs"))  # within one document
+        twice = self.repeated_ids(docs)
+        ranges = self.ranges(docs, twice).groupBy("did", "key").agg(F.collect_list("blob").alias("blobs"))  # within one document
         kind = docs.schema["doc_id"].dataType.simpleString()
 
         def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +335,7 @@ class Search:
                 data = [np.int64(len(d)).tobytes() + codec.compress(d, asbytes=True) for d in batch.column("data").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(data, pa.binary())], ["doc_id", "did", "key", "data"])
 
-        texts = self.documents(docs).mapInArrow(shrink, f"doc_id {kind}, did long, key long, data binary")  # texts cross the shuffle compressed
+        texts = self.documents(docs, twice).mapInArrow(shrink, f"doc_id {kind}, did long, key long, data binary")  # texts cross the shuffle compressed
         rows = texts.join(ranges, ["did", "key"], "left").select("doc_id", "data", "blobs")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import eights, mix64, word_hashes
-from .segments import LAST, Search, Units, copies, covered, joined, repeated
+from .segments import LAST, Search, Units, covered, joined, leads, repeated
 
 #: Bytes of a gram, 8 to 16.
 GRAM = 8
@@ -72,15 +72,17 @@ def judge_bytes(window: int):
     def judge(ids, keys, start, lengths, place, text):
         """Ranges of windows of a bucket that also start in a document of smaller id.
 
-        A segment that a document of smaller id has whole goes whole, and what it holds is left to the other one. A window holds its
-        minimiser, and on one side of it at least half of its other bytes. Segments of which no other document has the minimiser with
+        A segment that a document of smaller id has whole goes whole, and what it holds is left to the other one; of those that repeat
+        in one document, the first is judged. A window holds its minimiser, and on one side of it at least half of its other bytes. Segments of which no other document has the minimiser with
         that many bytes on either side can't match and are left out too. The suffixes of all others are sorted.
         """
         array = np.frombuffer(text, np.uint8)
         stops = np.cumsum(lengths)
         begin = stops - lengths
-        whole = copies(word_hashes(array, begin, stops), ids, start, text, begin, stops, False)
-        rest = np.flatnonzero(~whole)
+        lead = leads(word_hashes(array, begin, stops), ids, start, text, begin, stops)
+        alone = lead == np.arange(len(lead))
+        whole = np.flatnonzero(ids[lead] < ids)
+        rest, again = np.flatnonzero(alone), np.flatnonzero(~alone & (ids[lead] == ids))
         middle = begin + place
         side = (window - GRAM + 1) // 2
         shared = np.zeros(len(ids), np.bool_)
@@ -98,7 +100,8 @@ def judge_bytes(window: int):
             new = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
             several = np.minimum.reduceat(ids[inside], new) != np.maximum.reduceat(ids[inside], new)
             shared[inside] |= np.repeat(several, np.diff(np.append(new, len(name))))
-        found = [(ids[whole], keys[whole], start[whole], start[whole] + lengths[whole])]
+        none = np.zeros(0, np.int64)
+        found = [(none, none, none)]
         pick = np.flatnonzero(shared)
         gram = word[middle[pick]]
         order = np.argsort(gram, kind="stable")
@@ -109,11 +112,20 @@ def judge_bytes(window: int):
             until = max(at + 1, int(np.searchsorted(size, size[at] - lengths[pick[at]] + SORTED, "right")))
             until = int(np.searchsorted(gram, gram[until - 1], "right"))
             some, at = pick[at:until], until
-            found.append(in_smaller(ids[some], keys[some], start[some], lengths[some], [text[a:b] for a, b in zip(begin[some].tolist(), stops[some].tolist())]))
-        return tuple(np.concatenate(x) for x in zip(*found))
-
-    def in_smaller(ids, keys, start, lengths, slices):
-        """Ranges of the windows of these segments that also stand in one of a document of smaller id."""
+            seg, a, b = in_smaller(ids[some], lengths[some], [text[a:b] for a, b in zip(begin[some].tolist(), stops[some].tolist())])
+            found.append((some[seg], a, b))
+        seg, a, b = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(seg, kind="stable")
+        seg, a, b = seg[order], a[order], b[order]
+        low = np.searchsorted(seg, lead[again])
+        n = np.searchsorted(seg, lead[again], "right") - low
+        like = np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)
+        seg = np.concatenate([whole, seg, np.repeat(again, n)])
+        a, b = np.concatenate([np.zeros(len(whole), np.int64), a, a[like]]), np.concatenate([lengths[whole], b, b[like]])
+        return ids[seg], keys[seg], start[seg] + a, start[seg] + b
+
+    def in_smaller(ids, lengths, slices):
+        """Ranges of the windows of these segments that also stand in one of a document of smaller id: segments, starts and ends in them."""
         data = np.frombuffer(b"".join(slices), np.uint8)
         windows = lengths - window + 1
         seg = np.repeat(np.arange(len(ids)), windows)
@@ -127,8 +139,8 @@ def judge_bytes(window: int):
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(at))[: len(first)] - 1
         seg = seg[first]
-        move = start[seg] - (np.cumsum(lengths) - lengths)[seg]
-        return ids[seg], keys[seg], at[first] + move, at[last] + move + window
+        base = (np.cumsum(lengths) - lengths)[seg]
+        return seg, at[first] - base, at[last] - base + window
 
     return judge
 
